@@ -2,8 +2,8 @@
 
 The reference is the corpus itself, cut into blocks at content-defined anchors,
 so equal passages are cut alike wherever they stand. An anchor is the least hash
-among 20 consecutive 16-word sequences; a block holds all windows of `min_words`
-(35) words whose anchor it is, at most 20 windows. Steps:
+among the 8-word sequences of a window of `min_words` (35) words; a block holds all
+windows whose anchor it is, at most 28. Steps:
 
 1. Each document lists the hashes of its anchors. Only an anchor that occurs twice
    in the corpus can lie in a repeated window; the others are left out.
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from ridgeline.llm import textkit
 from ridgeline.llm.sentencepiece_codec import _spread
 
-MIN_WORDS, ANCHOR_WORDS = 35, 16
+MIN_WORDS, ANCHOR_WORDS = 35, 8
 _KEY = ["__k1", "__k2"]
 
 
@@ -85,7 +85,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = ("n_words", "n_removed", "spans", "kept_text")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
     fields = {c: docs.schema[c] for c in kept}
-    key = [F.coalesce(F.hash(docs[id_col]).cast("long"), F.lit(0)) if docs.schema[id_col].dataType != T.LongType() else F.coalesce(docs[id_col], F.lit(0)), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))]
+    key = [F.coalesce(F.hash(docs[id_col]).cast("long"), F.lit(0)) if docs.schema[id_col].dataType != T.LongType() else F.coalesce(docs[id_col], F.lit(0)), F.hash(F.coalesce(docs[text_col], F.lit(""))).cast("long")]
     rows = docs.select(*[k.alias(n) for k, n in zip(key, _KEY, strict=True)], docs[text_col].alias("__text"), *[docs[c].alias(f"__c{i}") for i, c in enumerate(kept)])
     longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
 
