@@ -18,7 +18,7 @@ import pyarrow as pa
 
 #: Texts are processed in pieces of about this many bytes, so that the working
 #: arrays stay within a core's cache. One longer text is one piece.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _BASE, _WORD_BASE = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93 | 1)
 _INV = {int(b): np.uint64(pow(int(b), -1, 1 << 64)) for b in (_BASE, _WORD_BASE)}
