@@ -57,6 +57,18 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.join_components(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import quality_classifier as op
+
+    return op.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import url_filters as op
+
+    return op.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm import sentencepiece_codec, token_counts as op
 
@@ -121,7 +133,7 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op2_quality_rules, op3_sentencepiece, op4_decontamination, op6_ngram_jaccard, op9_token_counts, op10_language_id]
+    found = [op1_substring_dedup, op2_quality_rules, op3_sentencepiece, op4_decontamination, op6_ngram_jaccard, op7_quality_classifier, op8_url_filters, op9_token_counts, op10_language_id]
     return {f.__name__: f for f in found}
 
 
