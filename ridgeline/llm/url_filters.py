@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm.lineage import cut
+
 #: The query's rules: host and path prefix, verdict. Fixed values.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 DEPTH, MANY_CHILDREN, RARE_SHARE = 6, 16, 0.02
@@ -65,7 +67,9 @@ def template_tree(urls: DataFrame, good: Column, depth: int = DEPTH) -> DataFram
     """host, shape (generalised path), template, n_labels, purity, rejected. urls: with host and path; good: 1, 0 or null."""
     shapes = urls.select("host", generalised(F.col("path"), depth).alias("segments"), good.cast("double").alias("good"))
     shapes = shapes.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("good").alias("labels"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("goods")).withColumn("prefix", F.lit(""))
-    for level in range(1, depth + 2):
+    shapes = cut(shapes)
+    deepest = shapes.agg(F.max(F.size("segments"))).first()[0] or 0
+    for level in range(1, deepest + 1):
         segment = F.coalesce(F.try_element_at("segments", F.lit(level)), F.lit(""))
         shapes = shapes.withColumn("seg", segment)
         sums = [F.sum(c).alias(c) for c in ("n", "labels", "goods")]
@@ -81,6 +85,7 @@ def template_tree(urls: DataFrame, good: Column, depth: int = DEPTH) -> DataFram
         branch = F.when(F.col("seg") == "", "").when(F.coalesce(similar, F.lit(False)) | rare, "*").otherwise(F.col("seg"))
         shapes = shapes.join(b.select("host", "prefix", "seg", branch.alias("branch")), ["host", "prefix", "seg"])
         shapes = shapes.withColumn("prefix", F.when(F.col("branch") == "", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "branch"))).drop("branch", "seg")
+        shapes = cut(shapes)  # each level reads its predecessor several times
     leaves = shapes.groupBy("host", "prefix").agg(F.sum("labels").alias("n_labels"), F.sum("goods").alias("goods"))
     purity = (F.col("goods") + SMOOTHING / 2) / (F.col("n_labels") + SMOOTHING)
     leaves = leaves.select("host", "prefix", "n_labels", purity.alias("purity"), ((F.col("n_labels") >= MIN_LABELS) & (purity < LEAST_PURITY)).alias("rejected"))
