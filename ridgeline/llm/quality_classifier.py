@@ -36,16 +36,21 @@ from pyspark.sql import types as T
 from ridgeline.llm import textkit
 
 MOST_ROWS, MAX_DOC_BYTES = 8_000, 30_000
-BUCKETS_LOG2, EPOCHS, RATE, PENALTY = 17, 12, 0.5, 1e-6
+BUCKETS_LOG2, EPOCHS, RATE, PENALTY = 20, 12, 0.3, 1e-5
+#: A word bucket is used if its rate among bad rows differs from that among others by so many standard errors.
+LEAST_Z, LEAST_ROWS = 4.0, 4
 #: Strength limits of the Beta priors, in labels.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1_000.0
 _SHAPES = 5
+_BARE = np.arange(256, dtype=np.uint8)
+_BARE[[b for b in range(128) if not chr(b).isalnum()]] = 32  # ASCII marks part words here
 
 
 def features(w: textkit.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text its distinct word buckets (flat, with bounds) and its shares of characters."""
-    h = (w.hashes(lower=True) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
-    of = textkit.owner(w.first, len(h))
+    bare = textkit.split(_BARE[w.data], w.offsets)
+    h = (bare.hashes(lower=True) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
+    of = textkit.owner(bare.first, len(h))
     pairs = np.unique(of << BUCKETS_LOG2 | h)
     bounds = np.searchsorted(pairs >> BUCKETS_LOG2, np.arange(len(w) + 1))
     data = w.data
@@ -70,6 +75,16 @@ def fit(texts: list[bytes], bad: list[bool]) -> np.ndarray:
     shapes = np.concatenate([p[2] for p in parts])
     y = np.array(bad, float)
     n_words = 1 << BUCKETS_LOG2
+    of_all = np.repeat(np.arange(len(y)), lens)
+    rows_with = np.bincount(words, minlength=n_words)
+    bad_with = np.bincount(words, y[of_all], n_words)
+    rate = y.mean()
+    spread = np.sqrt(np.maximum(rows_with * rate * (1 - rate), 1e-9))
+    used = (np.abs(bad_with - rows_with * rate) >= LEAST_Z * spread) & (rows_with >= LEAST_ROWS)
+    sel = used[words]
+    words, of_all = words[sel], of_all[sel]
+    lens = np.bincount(of_all, minlength=len(y))
+    bounds = np.concatenate([[0], np.cumsum(lens)])
     weights, gains = np.zeros(n_words + _SHAPES + 1), np.full(n_words + _SHAPES + 1, 1e-3)
     weights[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     order, size = np.random.default_rng(7), 64
@@ -77,27 +92,25 @@ def fit(texts: list[bytes], bad: list[bool]) -> np.ndarray:
         shuffled = order.permutation(len(y))
         for at in range(0, len(y), size):
             rows = shuffled[at : at + size]
-            flat = np.concatenate([words[bounds[r] : bounds[r + 1]] for r in rows])
+            flat = words[np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in rows])]
             of = np.repeat(np.arange(len(rows)), lens[rows])
-            scale = 1 / np.sqrt(np.maximum(lens[rows], 1))
-            z = np.bincount(of, weights[flat], len(rows)) * scale + shapes[rows] @ weights[n_words:-1] + weights[-1]
+            z = np.bincount(of, weights[flat], len(rows)) + shapes[rows] @ weights[n_words:-1] + weights[-1]
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]
-            used, inverse = np.unique(flat, return_inverse=True)
-            grad = np.bincount(inverse, (error * scale)[of], len(used)) / len(rows) + PENALTY * weights[used]
-            gains[used] += grad * grad
-            weights[used] -= RATE * grad / np.sqrt(gains[used])
+            own, inverse = np.unique(flat, return_inverse=True)
+            grad = np.bincount(inverse, error[of], len(own)) / len(rows) + PENALTY * weights[own]
+            gains[own] += grad * grad
+            weights[own] -= RATE * grad / np.sqrt(gains[own])
             dense = np.append(error @ shapes[rows], error.sum()) / len(rows)
             gains[n_words:] += dense * dense
             weights[n_words:] -= RATE * dense / np.sqrt(gains[n_words:])
-    return weights
+    return weights.astype(np.float32)
 
 
 def scores(weights: np.ndarray, w: textkit.Words) -> np.ndarray:
     """The classifier's log odds of bad for each text."""
     words, bounds, shapes = features(w)
-    n = np.diff(bounds)
-    total = np.diff(np.concatenate([[0.0], np.cumsum(weights[words])])[bounds])
-    return total / np.sqrt(np.maximum(n, 1)) + shapes @ weights[1 << BUCKETS_LOG2 : -1] + weights[-1]
+    total = np.diff(np.concatenate([[0.0], np.cumsum(weights[words], dtype=float)])[bounds])
+    return total + shapes @ weights[1 << BUCKETS_LOG2 : -1] + weights[-1]
 
 
 def _strength(stats: DataFrame, bad: str, n: str, mean: Column) -> float:

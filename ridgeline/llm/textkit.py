@@ -125,24 +125,27 @@ def pieces(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
+def split(own: np.ndarray, off: np.ndarray, row: int = 0) -> Words:
+    """Split texts, given as bytes with offsets from 0, into words."""
+    solid = ~WHITE[own]
+    begin, end = solid.copy(), np.zeros(len(own) + 1, bool)
+    begin[1:] &= ~solid[:-1]
+    bounds = off[1:-1]
+    bounds = bounds[(bounds > 0) & (bounds < len(own))]
+    begin[bounds] = solid[bounds]
+    end[1:-1] = solid[:-1] & ~solid[1:]
+    if len(own):
+        end[-1] = solid[-1]
+    end[bounds] |= solid[bounds - 1]
+    starts = np.flatnonzero(begin)
+    return Words(own, off, starts, np.flatnonzero(end), np.searchsorted(starts, off), row)
+
+
 def words(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Words]:
     """Split whole texts into words, piece by piece. column: as from utf8()."""
     data, offsets = buffers(column)
     for lo, hi in pieces(column, most):
-        own = data[offsets[lo] : offsets[hi]]
-        off = offsets[lo : hi + 1] - offsets[lo]
-        solid = ~WHITE[own]
-        begin, end = solid.copy(), np.zeros(len(own) + 1, bool)
-        begin[1:] &= ~solid[:-1]
-        bounds = off[1:-1]
-        bounds = bounds[(bounds > 0) & (bounds < len(own))]
-        begin[bounds] = solid[bounds]
-        end[1:-1] = solid[:-1] & ~solid[1:]
-        if len(own):
-            end[-1] = solid[-1]
-        end[bounds] |= solid[bounds - 1]
-        starts = np.flatnonzero(begin)
-        yield Words(own, off, starts, np.flatnonzero(end), np.searchsorted(starts, off), lo)
+        yield split(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo)
 
 
 def valid_windows(first: np.ndarray, k: int, n_grams: int) -> np.ndarray:
