@@ -51,6 +51,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import html_extract as op
+
+    found = op.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm import ngram_jaccard as op
 
@@ -133,7 +140,7 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op2_quality_rules, op3_sentencepiece, op4_decontamination, op6_ngram_jaccard, op7_quality_classifier, op8_url_filters, op9_token_counts, op10_language_id]
+    found = [op1_substring_dedup, op2_quality_rules, op3_sentencepiece, op4_decontamination, op5_html_extract, op6_ngram_jaccard, op7_quality_classifier, op8_url_filters, op9_token_counts, op10_language_id]
     return {f.__name__: f for f in found}
 
 
