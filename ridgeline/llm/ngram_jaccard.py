@@ -46,6 +46,8 @@ from ridgeline.llm.lineage import components, cut
 SHINGLE_WORDS, PERCENT = 4, 85
 #: A prefix shingle in more lists than this may count as hot; at most so many do.
 HOT_LIST, HOT_LIMIT = 8, 250_000
+#: Ids to look up are broadcast up to this many (8 bytes each), and shuffled beyond.
+BROADCAST_IDS = 500_000
 _HOT = np.int64(1) << np.int64(62)
 
 
@@ -119,6 +121,11 @@ def _summaries(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
+def _sized(ids: DataFrame) -> DataFrame:
+    """The ids, to be broadcast if they were counted to be few; else the join shuffles."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """id, shingles of the wanted ids only."""
 
@@ -129,7 +136,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(sets)))], names=["id", "shingles"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("shingles", T.ArrayType(T.LongType(), False))])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(_sized(wanted), "id", "left_semi")
     return rows.mapInArrow(run, schema)
 
 
@@ -145,6 +152,9 @@ def _possible(na: Column, ia: Column, nb: Column, ib: Column, percent: int) -> C
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Of the pairs a, b those that link. reps: id, n, prefix."""
+    pairs = cut(pairs)
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    reps = reps.join(_sized(ids), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("prefix").alias(f"p{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     # up to the smaller of the last prefix shingles both sets are known: what they don't share there is lost
@@ -153,7 +163,7 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text
     lost = known - 2 * F.size(F.array_intersect("pa", "pb"))
     close = both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (lost <= F.col("na") + F.col("nb") - 2 * _least_shared(F.col("na"), F.col("nb"), percent)))
     close = cut(close.select("a", "b", "na", "nb"))
-    ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+    ids = cut(close.select(F.col("a").alias("id")).union(close.select("b")).distinct())
     sets = _whole_sets(docs, ids, id_col, text_col, k)
     checked = close.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
     shared = F.size(F.array_intersect("xa", "xb"))
@@ -169,13 +179,12 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = members.groupBy("g1", "g2", "n").agg(F.min("id").alias("gid"), F.first("prefix").alias("prefix"))
     in_group = cut(members.drop("prefix").join(groups.drop("prefix"), ["g1", "g2", "n"]).select("id", "gid"))
     listed = groups.select("gid", "n", F.posexplode("prefix").alias("i", "h"))
-    lists = listed.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("n", "gid", "i")).alias("first"))
-    long_lists = lists.where("c > 1").select("h", "first")
+    long_lists = listed.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     postings = cut(listed.join(long_lists, "h"))
-    one = postings.where((F.col("gid") != F.col("first.gid")) & _possible(F.col("first.n"), F.col("first.i"), F.col("n"), F.col("i"), percent)).select(F.col("first.gid").alias("a"), F.col("gid").alias("b"))
+    first = postings.groupBy("h").agg(F.min(F.struct("n", "gid", "i")).alias("first"))
+    one = postings.join(first, "h").where((F.col("gid") != F.col("first.gid")) & _possible(F.col("first.n"), F.col("first.i"), F.col("n"), F.col("i"), percent)).select(F.col("first.gid").alias("a"), F.col("gid").alias("b"))
     one = one.union(in_group.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))).distinct()
-    prefixes = reps.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    links = cut(_links(one, prefixes, docs, id_col, text_col, k, percent))
+    links = cut(_links(one, reps, docs, id_col, text_col, k, percent))
     label = components(links)
     # lists and groups that still hold several components
     of = in_group.join(label, "id", "left").select("id", "gid", F.coalesce("component", "id").alias("c"))
@@ -189,7 +198,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = of.join(open_groups, "gid")
     ga, gb = (left.select("gid", F.col("id").alias(s), F.col("c").alias(f"c{s}")) for s in "ab")
     two = two.union(ga.join(gb, "gid").where("ca < cb").select("a", "b")).distinct()
-    more = _links(two.join(one, ["a", "b"], "left_anti"), prefixes, docs, id_col, text_col, k, percent)
+    more = _links(two.join(one, ["a", "b"], "left_anti"), reps, docs, id_col, text_col, k, percent)
     label = components(links.union(more))
     nodes = reps.select("s1", "s2", "n", F.col("id").alias("rep"))
     out = rows.drop("prefix").join(nodes, ["s1", "s2", "n"], "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
