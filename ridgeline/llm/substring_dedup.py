@@ -117,11 +117,14 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(block.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - w.first[text]).astype(np.int32)), lists], names=["a", "block", *_KEY, "start", "windows"])
 
     parsed = rows.join(wanted, _KEY).mapInArrow(list_blocks, T.StructType([*longs("a", "block", *_KEY), T.StructField("start", T.IntegerType()), T.StructField("windows", T.ArrayType(T.LongType(), False))]))
-    index = parsed.groupBy("a", "block").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
-    single = index.select("a", "block", "n", F.posexplode("windows").alias("at", "h"))
+    index = parsed.select("a", "block", F.size("windows").alias("c")).groupBy("a", "block").agg(F.count("*").alias("n"), F.first("c").alias("c"))
+    # windows are compared only below anchors with several distinct blocks of which one stands alone
+    mixed = index.groupBy("a").agg(F.count("*").alias("blocks"), F.min("n").alias("least")).where("blocks > 1 AND least = 1").select("a")
+    distinct = parsed.select("a", "block", "windows").join(mixed, "a").groupBy("a", "block").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
+    single = distinct.select("a", "block", "n", F.posexplode("windows").alias("at", "h"))
     again = single.groupBy("a", "h").agg(F.sum("n").alias("n")).where("n > 1").select("a", "h")
     partly = single.where("n = 1").join(again, ["a", "h"]).groupBy("a", "block").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
-    whole = index.where("n > 1").select("a", "block", F.expr("if(size(windows) = 63, 9223372036854775807L, shiftleft(1L, size(windows)) - 1L)").alias("mask"))
+    whole = index.where("n > 1").select("a", "block", F.expr("if(c = 63, 9223372036854775807L, shiftleft(1L, c) - 1L)").alias("mask"))
     matches = parsed.select("a", "block", *_KEY, "start").join(whole.unionByName(partly), ["a", "block"]).groupBy(*_KEY).agg(F.collect_set(F.struct("start", "mask")).alias("__found"))
     out_schema = T.StructType([T.StructField(c, f.dataType, f.nullable) for c, f in fields.items()] + longs("n_words", "n_removed") + [T.StructField("spans", T.ArrayType(T.StructType(longs("begin", "end")))), T.StructField("kept_text", T.StringType())])
 
