@@ -66,16 +66,23 @@ def _on_train(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column]) -> Da
     return df.join(fitted, list(keys), "left")
 
 
-def target_quantile_flag(df: DataFrame, col: str, q: float, shift: int = 0, keys: Sequence[str] = ("series",), order: Sequence[str] = ("datetime",)) -> DataFrame:
-    """1 above the training split's (1 - q) quantile ('nearest'), then shifted within the split (-1: from the next row)."""
-    df = _on_train(df, keys, {"__cut": q_nearest(col, 1.0 - q)})
-    df = df.withColumn("quantile_flag", (C(col) > C("__cut")).cast("int")).drop("__cut")
+def target_quantile_flags(df: DataFrame, targets: dict[str, tuple[str, float]], shift: int = 0, keys: Sequence[str] = ("series",), order: Sequence[str] = ("datetime",)) -> DataFrame:
+    """{name: (column, q)}: 1 above the training split's (1 - q) quantile ('nearest'), then shifted within the split (-1: from the next row).
+
+    All cut-offs come from one aggregation, however many targets there are.
+    """
+    df = _on_train(df, keys, {f"__cut_{n}": q_nearest(c, 1.0 - q) for n, (c, q) in targets.items()})
+    df = df.withColumns({n: (C(c) > C(f"__cut_{n}")).cast("int") for n, (c, _) in targets.items()}).drop(*(f"__cut_{n}" for n in targets))
     if shift:
         w = Window.partitionBy(*keys, "split").orderBy(*order)
-        df = df.withColumn("quantile_flag", F.lead("quantile_flag", -shift).over(w) if shift < 0 else F.lag("quantile_flag", shift).over(w))
+        df = df.withColumns({n: F.lead(n, -shift).over(w) if shift < 0 else F.lag(n, shift).over(w) for n in targets})
     return df
 
 
+def target_quantile_flag(df: DataFrame, col: str, q: float, shift: int = 0, keys: Sequence[str] = ("series",), order: Sequence[str] = ("datetime",)) -> DataFrame:
+    return target_quantile_flags(df, {"quantile_flag": (col, q)}, shift, keys, order)
+
+
 def shift_column(df: DataFrame, column: str, shift: int, keys: Sequence[str] = ("series",), order: Sequence[str] = ("datetime",)) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(column, F.lag(column, shift).over(w) if shift >= 0 else F.lead(column, -shift).over(w))

@@ -284,12 +284,15 @@ def iqr_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # models and composites
 
 
+def _flag(p: dict) -> str:
+    return f"flag_{p['roc_period']}_{round(p['q'] * 100)}"
+
+
 def _prepared(spark: SparkSession, sf_dir: str, rounds: list[dict]) -> DataFrame:
     s = Series(("series", "split"))
     df = _split_frame(spark, sf_dir)
     df = sweep.compute_features(df, [(ind.roc, {"period": "roc_period"}), (ind.atr, {"period": 14}), (ft.kline_imbalance, {}), (ft.volume_ratio, {})], rounds, s)
-    for p in {(p["roc_period"], p["q"]) for p in rounds}:
-        df = prep.target_quantile_flag(df, f"roc_{p[0]}", p[1], -1).withColumnRenamed("quantile_flag", f"flag_{p[0]}_{p[1]}")
+    df = prep.target_quantile_flags(df, {_flag(p): (f"roc_{p['roc_period']}", p["q"]) for p in rounds}, -1)
     return df.withColumn("next_close", s.lag("close", -1))
 
 
@@ -302,7 +305,7 @@ FEATURES = lambda p: [f"roc_{p['roc_period']}", "atr_14", "imbalance", "volume_r
 
 def sweep_predictions(spark: SparkSession, sf_dir: str, n: int = 8, model: str = "logreg") -> DataFrame:
     rounds = _rounds(n)
-    target = (lambda p: "next_close") if model == "boosted" else (lambda p: f"flag_{p['roc_period']}_{p['q']}")
+    target = (lambda p: "next_close") if model == "boosted" else _flag
     return sweep.run_sweep(_prepared(spark, sf_dir, rounds), rounds, FEATURES, target, model)
 
 
