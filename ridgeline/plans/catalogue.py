@@ -309,6 +309,11 @@ def sweep_predictions(spark: SparkSession, sf_dir: str, n: int = 8, model: str =
     return sweep.run_sweep(_prepared(spark, sf_dir, rounds), rounds, FEATURES, target, model)
 
 
+def _by_round(df: DataFrame) -> DataFrame:
+    """A table of one row per listed round, held by the driver, so that later steps don't train again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def sweep_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sweep_predictions(spark, sf_dir)
     return sweep.experiment_log(ev.binary_metrics(got), _rounds(8))
@@ -328,18 +333,18 @@ def sweep_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parameter_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = sweep_logreg(spark, sf_dir)
+    log = _by_round(sweep_logreg(spark, sf_dir))
     return ev.parameter_correlation(log, "auc", ["roc_period", "q", "c"], heads=(0.99, 0.5), n_boot=30)
 
 
 def pools_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = ev.binary_metrics(sweep_predictions(spark, sf_dir, 12))
+    got = _by_round(ev.binary_metrics(sweep_predictions(spark, sf_dir, 12)))
     return pools.offline_pools(got, ["recall", "precision", "accuracy"], 2, 2)
 
 
 def pools_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sweep_predictions(spark, sf_dir, 12)
-    chosen = pools.offline_pools(ev.binary_metrics(got), ["recall", "precision", "accuracy"], 2, 2)
+    chosen = pools.offline_pools(_by_round(ev.binary_metrics(got)), ["recall", "precision", "accuracy"], 2, 2)
     return pools.online_pools(got, chosen, "majority", ("series", "datetime"))
 
 
