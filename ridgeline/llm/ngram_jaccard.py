@@ -5,7 +5,7 @@ words the whole sequence is one). Two documents link when 100 * |A & B| >=
 percent * |A | B|. Steps:
 
 1. Frequent shingles: the counts of all shingles that stand in a prefix by hash
-   order. The at most `hot_limit` most frequent ones go to the end of the global
+   order, of twice the length because moving shingles lets others in. The at most `hot_limit` most frequent ones go to the end of the global
    order (any order gives right results; this one keeps posting lists short).
 2. Each document gives its set's size, a 128-bit digest of the set and its prefix:
    the n - ceil(percent * n / 100) + 1 first shingles in the global order.
@@ -74,12 +74,12 @@ def prefix_length(n: int | np.ndarray, percent: int) -> int | np.ndarray:
 
 
 def hot_shingles(docs: DataFrame, text_col: str, k: int, percent: int, hot_list: int, hot_limit: int) -> np.ndarray:
-    """The most frequent shingles of prefixes by hash order, sorted; counted over all documents."""
+    """The most frequent shingles of doubled prefixes by hash order, sorted; counted over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in _sets(textkit.utf8(batch.column(0)), k):
-                prefixes = [s[: prefix_length(len(s), percent)] for s in sets if len(s)]
+                prefixes = [s[: 2 * prefix_length(len(s), percent)] for s in sets if len(s)]
                 if prefixes:
                     h, n = np.unique(np.concatenate(prefixes), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
