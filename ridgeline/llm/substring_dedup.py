@@ -85,7 +85,10 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = ("n_words", "n_removed", "spans", "kept_text")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
     fields = {c: docs.schema[c] for c in kept}
-    key = [F.coalesce(F.hash(docs[id_col]).cast("long"), F.lit(0)) if docs.schema[id_col].dataType != T.LongType() else F.coalesce(docs[id_col], F.lit(0)), F.hash(F.coalesce(docs[text_col], F.lit(""))).cast("long")]
+    key = F.coalesce(F.hash(docs[id_col]).cast("long") if docs.schema[id_col].dataType != T.LongType() else docs[id_col], F.lit(0))
+    # where ids tell rows apart, the text's hash need not travel along
+    unique = docs.select(key.alias("k")).groupBy("k").count().where("count > 1").isEmpty()
+    key = [key, F.lit(0).cast("long") if unique else F.hash(F.coalesce(docs[text_col], F.lit(""))).cast("long")]
     rows = docs.select(*[k.alias(n) for k, n in zip(key, _KEY, strict=True)], docs[text_col].alias("__text"), *[docs[c].alias(f"__c{i}") for i, c in enumerate(kept)])
     longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
 
