@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ridgeline.llm import textkit
+from ridgeline.llm.lineage import few
 
 #: Fixed masks: 1 looks at the word, 0 ignores it. Each spans at most MIN_WORDS words.
 MASKS = ("11111111", "1101100101011", "110010111011", "1110010110111")
@@ -153,4 +154,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without a leak (rows with a null id have no known leak and stay)."""
     leaked = find_leaks(docs, benchmark, id_col, **options).select(id_col).distinct()
-    return docs.join(leaked, id_col, "left_anti").select(*docs.columns)
+    return docs.join(few(leaked), id_col, "left_anti").select(*docs.columns)

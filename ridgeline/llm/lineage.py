@@ -21,6 +21,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Ids to look up are broadcast up to this many (8 bytes each), and shuffled beyond.
+BROADCAST_IDS = 500_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """The ids, written once and counted: to be broadcast if they are few, else the join shuffles."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """The connected component of each id that has an edge: columns id, component (its smallest id).
 

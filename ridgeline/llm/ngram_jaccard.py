@@ -41,13 +41,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm import textkit
-from ridgeline.llm.lineage import components, cut
+from ridgeline.llm.lineage import components, cut, few
 
 SHINGLE_WORDS, PERCENT = 4, 85
 #: A prefix shingle in more lists than this may count as hot; at most so many do.
 HOT_LIST, HOT_LIMIT = 8, 250_000
-#: Ids to look up are broadcast up to this many (8 bytes each), and shuffled beyond.
-BROADCAST_IDS = 500_000
 _HOT = np.int64(1) << np.int64(62)
 
 
@@ -121,11 +119,6 @@ def _summaries(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
-def _sized(ids: DataFrame) -> DataFrame:
-    """The ids, to be broadcast if they were counted to be few; else the join shuffles."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """id, shingles of the wanted ids only."""
 
@@ -136,7 +129,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(sets)))], names=["id", "shingles"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("shingles", T.ArrayType(T.LongType(), False))])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(_sized(wanted), "id", "left_semi")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi")
     return rows.mapInArrow(run, schema)
 
 
@@ -153,8 +146,8 @@ def _possible(na: Column, ia: Column, nb: Column, ib: Column, percent: int) -> C
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Of the pairs a, b those that link. reps: id, n, prefix."""
     pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    reps = reps.join(_sized(ids), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    ids = few(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    reps = reps.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("prefix").alias(f"p{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     # up to the smaller of the last prefix shingles both sets are known: what they don't share there is lost
@@ -163,7 +156,7 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text
     lost = known - 2 * F.size(F.array_intersect("pa", "pb"))
     close = both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (lost <= F.col("na") + F.col("nb") - 2 * _least_shared(F.col("na"), F.col("nb"), percent)))
     close = cut(close.select("a", "b", "na", "nb"))
-    ids = cut(close.select(F.col("a").alias("id")).union(close.select("b")).distinct())
+    ids = few(close.select(F.col("a").alias("id")).union(close.select("b")).distinct())
     sets = _whole_sets(docs, ids, id_col, text_col, k)
     checked = close.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
     shared = F.size(F.array_intersect("xa", "xb"))
@@ -209,4 +202,4 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The document with the smallest id of each component; documents without id or words stay."""
     gone = join_components(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(few(gone), id_col, "left_anti").select(*docs.columns)
