@@ -16,8 +16,8 @@ percent * |A | B|. Steps:
    lists' lengths. Pairs are filtered by size, by position and by the
    prefixes' own differences (all exact bounds), then verified on the whole sets.
 5. Second round: lists whose members are all in one component by now are done.
-   In the others, all pairs of members from different components are filtered and
-   verified the same way. No link between components is lost; a pair within one
+   In the others, pairs of members from different components are filtered, also by
+   a sketch that bounds the sets' difference from below, and verified the same way. No link between components is lost; a pair within one
    component needs no check, as it can't change the result.
 6. Components by star contraction.
 
@@ -46,6 +46,7 @@ from ridgeline.llm.lineage import components, cut, few
 SHINGLE_WORDS, PERCENT = 4, 85
 #: A prefix shingle in more lists than this may count as hot; at most so many do.
 HOT_LIST, HOT_LIMIT = 8, 250_000
+_BINS = 512
 _HOT = np.int64(1) << np.int64(62)
 
 
@@ -88,7 +89,11 @@ def hot_shingles(docs: DataFrame, text_col: str, k: int, percent: int, hot_list:
 
 
 def _summaries(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """id, n, digest s1 s2, prefix of each document."""
+    """id, n, digest s1 s2, prefix and sketch of each document.
+
+    The sketch has the parity of the number of shingles in each of 512 bins. Where
+    two sketches differ, the sets differ in at least one shingle of that bin.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +106,10 @@ def _summaries(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
                 u = flat.view(np.uint64)
                 s1, s2 = (np.concatenate([[np.uint64(0)], np.cumsum(textkit.mix(u ^ np.uint64(c)))]) for c in (0x1234567, 0xABCDEF01234))
                 digest = [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in (s1, s2)]
+                bins = np.repeat(np.arange(len(sets)), n) * _BINS + (flat & (_BINS - 1))
+                odd = (np.bincount(bins, minlength=len(sets) * _BINS) & 1).astype(np.uint8)
+                sketch = np.packbits(odd).view(np.int64)
+                sketches = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sketch) + 1, _BINS // 64, dtype=np.int32)), pa.array(sketch))
                 is_hot = np.zeros(len(flat), bool)
                 if len(hot) and len(flat):
                     is_hot = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat
@@ -113,9 +122,9 @@ def _summaries(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
                     prefixes.append(own[:p])
                 lens = np.array([len(p) for p in prefixes], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(np.concatenate(prefixes) if prefixes else flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(n), *map(pa.array, digest), lists], names=["id", "n", "s1", "s2", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(n), *map(pa.array, digest), lists, sketches], names=["id", "n", "s1", "s2", "prefix", "sketch"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "s1", "s2")), T.StructField("prefix", T.ArrayType(T.LongType(), False))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "s1", "s2")), *(T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("prefix", "sketch"))])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
@@ -143,6 +152,12 @@ def _possible(na: Column, ia: Column, nb: Column, ib: Column, percent: int) -> C
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (1 + F.least(na - ia, nb - ib) - 1 >= _least_shared(na, nb, percent))
 
 
+def _similar(na: Column, sa: str, nb: Column, sb: str, percent: int) -> Column:
+    """Whether the sketches sa, sb leave room for a link: a lower bound of the sets' difference."""
+    differ = sum((F.bit_count(F.element_at(sa, i).bitwiseXOR(F.element_at(sb, i))) for i in range(2, _BINS // 64 + 1)), F.bit_count(F.element_at(sa, 1).bitwiseXOR(F.element_at(sb, 1))))
+    return differ <= na + nb - 2 * _least_shared(na, nb, percent)
+
+
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Of the pairs a, b those that link. reps: id, n, prefix."""
     pairs = cut(pairs)
@@ -167,7 +182,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id_col, n_shingles, component_id (the smallest id reachable by links)."""
     hot = hot_shingles(docs, text_col, k, percent, hot_list, hot_limit)
     rows = cut(_summaries(docs, id_col, text_col, k, percent, hot))
-    reps = cut(rows.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix")))
+    reps = cut(rows.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
     members = reps.select("id", "n", F.xxhash64("prefix").alias("g1"), F.hash("prefix").alias("g2"), "prefix")
     groups = members.groupBy("g1", "g2", "n").agg(F.min("id").alias("gid"), F.first("prefix").alias("prefix"))
     in_group = cut(members.drop("prefix").join(groups.drop("prefix"), ["g1", "g2", "n"]).select("id", "gid"))
@@ -183,18 +198,19 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = in_group.join(label, "id", "left").select("id", "gid", F.coalesce("component", "id").alias("c"))
     expanded = cut(postings.select("h", "gid", "n", "i").join(of, "gid").select("h", "id", "n", "i", "c"))
     open_lists = expanded.groupBy("h").agg((F.min("c") != F.max("c")).alias("open")).where("open").select("h")
-    left = expanded.join(open_lists, "h")
-    a, b = (left.select("h", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "i", "c"))) for s in "ab")
-    wanted = (F.col("ca") < F.col("cb")) & _possible(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), percent)
+    sketches = reps.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    left = expanded.join(open_lists, "h").join(sketches.select("id", "sketch"), "id")
+    a, b = (left.select("h", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "i", "c", "sketch"))) for s in "ab")
+    wanted = (F.col("ca") < F.col("cb")) & _possible(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), percent) & _similar(F.col("na"), "sketcha", F.col("nb"), "sketchb", percent)
     two = a.join(b, "h").where(wanted).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
     open_groups = of.groupBy("gid").agg((F.min("c") != F.max("c")).alias("open")).where("open").select("gid")
-    left = of.join(open_groups, "gid")
-    ga, gb = (left.select("gid", F.col("id").alias(s), F.col("c").alias(f"c{s}")) for s in "ab")
-    two = two.union(ga.join(gb, "gid").where("ca < cb").select("a", "b")).distinct()
+    left = of.join(open_groups, "gid").join(sketches, "id")
+    ga, gb = (left.select("gid", F.col("id").alias(s), *(F.col(c).alias(f"{c}{s}") for c in ("n", "c", "sketch"))) for s in "ab")
+    two = two.union(ga.join(gb, "gid").where((F.col("ca") < F.col("cb")) & _similar(F.col("na"), "sketcha", F.col("nb"), "sketchb", percent)).select("a", "b")).distinct()
     more = _links(two.join(one, ["a", "b"], "left_anti"), reps, docs, id_col, text_col, k, percent)
     label = components(links.union(more))
     nodes = reps.select("s1", "s2", "n", F.col("id").alias("rep"))
-    out = rows.drop("prefix").join(nodes, ["s1", "s2", "n"], "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    out = rows.drop("prefix", "sketch").join(nodes, ["s1", "s2", "n"], "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
