@@ -18,6 +18,8 @@ from ridgeline.llm.lineage import shared_folder
 
 #: A document whose language is undetermined, or less likely than this, is rejected.
 LEAST_SCORE = 0.5
+#: Near duplicates share at least so many percent of their sequences of so many words (op6 has its own values).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: the one with the smallest id."""
-    return ngram_jaccard.keep_one(docs)
+    return ngram_jaccard.keep_one(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
