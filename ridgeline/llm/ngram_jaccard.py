@@ -216,6 +216,23 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The document with the smallest id of each component; documents without id or words stay."""
-    gone = join_components(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(few(gone), id_col, "left_anti").select(*docs.columns)
+    """Exactly one row of each component: the one with the smallest id (a row without id only if no other has one).
+
+    The nodes are the distinct texts, by a 64-bit hash, so rows may lack ids or share
+    them. Of rows with one id and one text any stays. Rows without words stay.
+    """
+    node, i = F.xxhash64(F.col(text_col)), F.col(id_col)
+    options = {**options, "id_col": "__node", "text_col": "__text"}
+    label = join_components(docs.select(node.alias("__node"), F.col(text_col).alias("__text")), **options).where("n_shingles > 0").select("__node", F.col("component_id").alias("c")).distinct()
+    # the best row of each text, and how many rows the text and this id have
+    rows = docs.groupBy(node.alias("__node"), i.alias("id")).agg(F.count("*").alias("n"))
+    texts = rows.groupBy("__node").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "n")).alias("best"), F.sum("n").alias("n"))
+    texts = cut(texts.join(label, "__node"))
+    groups = texts.groupBy("c").agg(F.min(F.struct("best.lost", "best.id", "__node", "best.n")).alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    known = few(texts.join(groups, "c").select("__node", (F.col("__node") == F.col("first.__node")).alias("__stays"), F.col("first.id").alias("__id"), F.col("first.n").alias("__n")))
+    found = docs.withColumn("__node", node).join(known, "__node", "left")
+    one = found.where(F.col("__stays").isNull() | (F.col("__stays") & i.eqNullSafe(F.col("__id")) & (F.col("__n") == 1)))
+    if known.where("__stays AND __n > 1").isEmpty():
+        return one.select(*docs.columns)
+    again = found.where(F.col("__stays") & i.eqNullSafe(F.col("__id")) & (F.col("__n") > 1)).dropDuplicates(["__node"])
+    return one.select(*docs.columns).unionByName(again.select(*docs.columns))

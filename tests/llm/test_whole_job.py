@@ -29,3 +29,14 @@ def test_near_copies_just_above_the_pipelines_threshold_are_one(spark):
     rows += [(7, unlike("d", 48)), (8, changed(unlike("d", 48), 24))]  # 39/49: below
     kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 7, 8]
+
+
+def test_one_row_stays_of_copies_with_shared_or_null_ids(spark):
+    a, b, c, d, e = (unlike(x, 60) for x in "abcde")
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (None, c), (7, c), (5, d), (5, e), (6, e), (None, changed(e, 30)), (None, None), (None, None), (9, []), (9, [])]
+    one = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "")
+    expected = [(1, a), (None, b), (7, c), (5, d), (5, e), (None, None), (None, None), (9, []), (9, [])]
+    text = lambda t: t if t is None else " ".join(t)
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in one.collect()))) == sorted(str((i, text(t))) for i, t in expected)
+    left = corpus_pipeline.remove_repeated_passages(spark, one, "")
+    assert sorted(r["text"] for r in left.collect()) == sorted(text(t) for t in (a, b, c, d, e))
