@@ -23,8 +23,8 @@ Every grouping is pre-aggregated, so a passage in a third of all documents is
 one index entry; no group is gathered in one task.
 
 Defined results: a null or empty text has no words and is left as it is. Repeated
-rows are occurrences of each other. Rows are told apart by id and text, so ids
-may be null or occur twice. Very long texts are parsed whole. Input columns are
+rows are occurrences of each other. Rows are told apart by id and text (where ids
+repeat or are null, by 128 bits of hashes of both), so ids may be null or occur twice. Very long texts are parsed whole. Input columns are
 kept; the operator's own columns replace columns of the same name.
 """
 
@@ -86,9 +86,9 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
     fields = {c: docs.schema[c] for c in kept}
     key = F.coalesce(F.hash(docs[id_col]).cast("long") if docs.schema[id_col].dataType != T.LongType() else docs[id_col], F.lit(0))
-    # where ids tell rows apart, the text's hash need not travel along
+    # where ids tell rows apart, the text's hash need not travel along; elsewhere two hashes of id and text, 128 bits together, do it
     unique = docs.select(key.alias("k")).groupBy("k").count().where("count > 1").isEmpty()
-    key = [key, F.lit(0).cast("long") if unique else F.hash(F.coalesce(docs[text_col], F.lit(""))).cast("long")]
+    key = [key, F.lit(0).cast("long")] if unique else [F.xxhash64(docs[id_col], docs[text_col]), F.xxhash64(docs[text_col], docs[id_col])]
     rows = docs.select(*[k.alias(n) for k, n in zip(key, _KEY, strict=True)], docs[text_col].alias("__text"), *[docs[c].alias(f"__c{i}") for i, c in enumerate(kept)])
     longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from ridgeline.llm import substring_dedup
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -40,3 +42,12 @@ def test_one_row_stays_of_copies_with_shared_or_null_ids(spark):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in one.collect()))) == sorted(str((i, text(t))) for i, t in expected)
     left = corpus_pipeline.remove_repeated_passages(spark, one, "")
     assert sorted(r["text"] for r in left.collect()) == sorted(text(t) for t in (a, b, c, d, e))
+
+
+def test_texts_with_one_32_bit_hash_under_one_id_are_told_apart(spark):
+    a, b = (" ".join(f"w{n}_{i}" for i in range(40)) for n in (60599, 114291))
+    for one in (None, 5):
+        df = spark.createDataFrame([(one, a), (one, b), (1, a)], "doc_id long, text string")
+        assert df.select(F.hash("text")).where(f"doc_id IS NOT DISTINCT FROM {'NULL' if one is None else one}").distinct().count() == 1
+        got = substring_dedup.find_spans(df).select("text", "n_removed").collect()
+        assert sorted(map(tuple, got)) == sorted([(b, 0), (a, 40), (a, 40)])
