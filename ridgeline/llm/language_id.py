@@ -14,9 +14,12 @@ the least code length; the score is its posterior under equal priors.
 Bytes: A-Z count as a-z, a digit as 0, white space as one space. Bytes that no
 training text has share one symbol.
 
-Training is bounded: at most `docs_per_lang` texts and `bytes_per_lang` bytes per
-language, texts over `max_doc_bytes` bytes left out, taken in the order of a hash
-of the id. Prediction reads whole texts.
+Every language of the labelled rows is learned. Training is bounded per language:
+at most `docs_per_lang` texts and about `bytes_per_lang` bytes, taken in the order
+of a hash of the id; texts over `max_doc_bytes` bytes only where a language has no
+shorter ones (of each the first `bytes_per_lang` bytes). Languages whose table would
+exceed BLOCK_CELLS are held as several tables over the same symbols, with the same
+code lengths; a worker unpacks one of them at a time. Prediction reads whole texts.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or
 when nothing could be learned; ties go to the first language in byte order. Input
@@ -25,6 +28,8 @@ columns are kept; the operator's own columns replace columns of the same name.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,7 +47,8 @@ ORDER = 3
 DOCS_PER_LANG = 400
 BYTES_PER_LANG = 600_000
 MAX_DOC_BYTES = 20_000
-MAX_LANGS = 64
+#: Cells (4 bytes each) of a table of several languages.
+BLOCK_CELLS = 60_000_000
 UNDETERMINED = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -62,16 +68,40 @@ class Model:
     bits: np.ndarray
 
 
-def train(samples: dict[str, list[bytes]]) -> Model | None:
-    """Count and freeze the context trees. samples: texts by language."""
+def seen_bytes(samples: dict[str, list[bytes]]) -> np.ndarray:
+    """Which bytes, after folding, the texts have."""
+    seen = np.zeros(256, bool)
+    for texts in samples.values():
+        for t in texts:
+            seen[_FOLD[np.frombuffer(t, np.uint8)]] = True
+    return seen
+
+
+def train_blocks(samples: dict[str, list[bytes]], block_cells: int = BLOCK_CELLS) -> list[Model]:
+    """Models of the languages in blocks, in order of the languages; code lengths don't depend on the blocks."""
+    langs = sorted(k for k, v in samples.items() if v)
+    seen = seen_bytes(samples)
+    a = int(seen.sum()) + 1
+    blocks: list[list[str]] = []
+    contexts = 0
+    for lang in langs:
+        # at most so many contexts: the distinct sequences of ORDER bytes
+        own = 1 + len(np.unique(np.concatenate([np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(ORDER, 32, np.uint8), _FOLD[np.frombuffer(t, np.uint8)]]).astype(np.int64), ORDER) @ (256 ** np.arange(ORDER)) for t in samples[lang]])))
+        contexts += own
+        if not blocks or (a ** (ORDER - 1) + contexts) * a * (len(blocks[-1]) + 1) > block_cells:
+            blocks.append([])
+            contexts = own
+        blocks[-1].append(lang)
+    return [train({k: samples[k] for k in block}, seen) for block in blocks]
+
+
+def train(samples: dict[str, list[bytes]], seen: np.ndarray | None = None) -> Model | None:
+    """Count and freeze the context trees. samples: texts by language; seen: the bytes that count as seen (default: theirs)."""
     langs = sorted(k for k, v in samples.items() if v)
     if not langs:
         return None
-    folded = {k: [_FOLD[np.frombuffer(t, np.uint8)] for t in samples[k]] for k in langs}
-    seen = np.zeros(256, bool)
-    for texts in folded.values():
-        for t in texts:
-            seen[t] = True
+    if seen is None:
+        seen = seen_bytes({k: samples[k] for k in langs})
     symbol = np.zeros(256, np.int64)  # 0: the bytes not seen
     symbol[seen] = np.arange(1, int(seen.sum()) + 1)
     symbol = symbol[_FOLD]
@@ -157,59 +187,73 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return out
 
 
-def sample(docs: DataFrame, lang: Column, usable: Column, id_col: str, text_col: str, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG, max_doc_bytes: int = MAX_DOC_BYTES, max_langs: int = MAX_LANGS) -> dict[str, list[bytes]]:
-    """The bounded training sample, by language, on the driver.
+def sample(docs: DataFrame, lang: Column, usable: Column, id_col: str, text_col: str, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG, max_doc_bytes: int = MAX_DOC_BYTES) -> dict[str, list[bytes]]:
+    """The training sample of every language, bounded per language, on the driver.
 
     Only ids, languages and lengths are ranked (the ranking keeps at most
     docs_per_lang rows per language and task before the shuffle); the texts of
     the chosen ids are read afterwards.
     """
     size = F.octet_length(text_col)
-    rows = docs.where(usable & lang.isNotNull() & (size > 0) & (size <= max_doc_bytes)).select(lang.alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"), size.alias("n"))
-    order = Window.partitionBy("lang").orderBy("h", "id")
+    labelled = docs.where(usable & lang.isNotNull() & (size > 0))
+    rows = labelled.select(lang.alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"), size.alias("n"), (size > max_doc_bytes).alias("long"))
+    order = Window.partitionBy("lang").orderBy("long", "h", "id")  # long texts only after all others
     chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang)
     totals: dict[str, int] = {}
+    is_long: dict[str, bool] = {}
     ids: dict = {}
-    for r in chosen.orderBy("lang", "k").limit(docs_per_lang * max_langs).collect():  # bounded by both parameters
-        if r["lang"] not in totals and len(totals) >= max_langs:
+    for r in chosen.orderBy("lang", "k").collect():  # no texts; docs_per_lang rows per language
+        if r["long"] and not is_long.setdefault(r["lang"], True):
             continue
+        is_long[r["lang"]] = r["long"]
         if totals.get(r["lang"], 0) < bytes_per_lang:
-            totals[r["lang"]] = totals.get(r["lang"], 0) + r["n"]
-            ids[r["id"]] = r["lang"]
+            totals[r["lang"]] = totals.get(r["lang"], 0) + min(r["n"], bytes_per_lang)
+            ids[r["id"], r["lang"]] = r["long"]
     out: dict[str, list[bytes]] = {k: [] for k in totals}
     if ids:
-        got = docs.where(F.col(id_col).isin(list(ids)) & usable & (size <= max_doc_bytes) & lang.isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), lang.alias("lang"))
+        schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang", T.StringType()), T.StructField("long", T.BooleanType())])
+        wanted = docs.sparkSession.createDataFrame([(*k, v) for k, v in ids.items()], schema)
+        texts = labelled.select(F.col(id_col).alias("id"), F.left(text_col, F.lit(bytes_per_lang)).alias("t"), lang.alias("lang"), (size > max_doc_bytes).alias("long"))
+        got = texts.join(F.broadcast(wanted), ["id", "lang", "long"], "left_semi")
         for r in sorted(got.collect(), key=lambda r: (r["id"], r["lang"], r["t"])):
-            if r["lang"] in out:
-                out[r["lang"]].append(r["t"].encode())
+            out[r["lang"]].append(r["t"].encode()[:bytes_per_lang])
     return out
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """Add the predicted language and its posterior; whole texts, no shuffle."""
+def predict(docs: DataFrame, models: list[Model], text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """Add the predicted language and its posterior; whole texts, no shuffle. models: blocks of languages in order."""
     own = (lang_col, score_col)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    several = len(models) > 1
+    shared = [docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(m), 1) if several else m) for m in models]
     frame = docs.select(*[docs[c] for c in kept], docs[text_col].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             text = textkit.utf8(batch.column(len(kept)))
             letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
             data, offsets = textkit.buffers(text)
-            for lo, hi in textkit.pieces(text):
-                ok = letters[lo:hi]
-                if m is None:
-                    langs, scores = np.full(hi - lo, UNDETERMINED, object), np.zeros(hi - lo)
-                else:
+            n = len(text)
+            langs, least, total = np.full(n, UNDETERMINED, object), np.full(n, np.inf), np.zeros(n)
+            for block in shared:
+                m = pickle.loads(zlib.decompress(block.value)) if several else block.value
+                names = np.array(m.langs, object)
+                for lo, hi in textkit.pieces(text):
                     bits = code_lengths(m, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     best = bits.argmin(axis=1)
-                    least = bits[np.arange(hi - lo), best]
-                    scores = np.where(ok, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1), 0.0)
-                    langs = np.where(ok, np.array(m.langs, object)[best], UNDETERMINED)
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(len(kept))] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, lang_col, score_col])
+                    now = bits[np.arange(hi - lo), best]
+                    better, before = now < least[lo:hi], least[lo:hi].copy()
+                    low = np.where(better, now, before)
+                    total[lo:hi] = total[lo:hi] * np.exp2(np.maximum(low - before, -1000)) + np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
+                    least[lo:hi] = low
+                    langs[lo:hi] = np.where(better, names[best], langs[lo:hi])
+                del m
+            ok = letters.astype(bool) if len(shared) else np.zeros(n, bool)
+            scores = np.where(ok, 1 / np.where(total > 0, total, 1), 0.0)
+            langs = np.where(ok, langs, UNDETERMINED)
+            for lo, hi in textkit.pieces(text):
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(len(kept))] + [pa.array(langs[lo:hi], pa.string()), pa.array(scores[lo:hi], pa.float64())], names=[*kept, lang_col, score_col])
 
     return frame.mapInArrow(run, schema)
 
@@ -222,5 +266,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_on: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """Learn from the labelled rows that train_on selects (default: not held out), then predict every row."""
     usable = F.coalesce(~held_out(id_col) if train_on is None else train_on, F.lit(False))
-    model = train(sample(docs, F.col(lang_col), usable, id_col, text_col))
-    return predict(docs, model, text_col, keep=keep)
+    models = train_blocks(sample(docs, F.col(lang_col), usable, id_col, text_col))
+    return predict(docs, models, text_col, keep=keep)

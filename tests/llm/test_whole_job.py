@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.llm import substring_dedup
+from ridgeline.llm import language_id, substring_dedup
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -51,3 +52,33 @@ def test_texts_with_one_32_bit_hash_under_one_id_are_told_apart(spark):
         assert df.select(F.hash("text")).where(f"doc_id IS NOT DISTINCT FROM {'NULL' if one is None else one}").distinct().count() == 1
         got = substring_dedup.find_spans(df).select("text", "n_removed").collect()
         assert sorted(map(tuple, got)) == sorted([(b, 0), (a, 40), (a, 40)])
+
+
+def test_every_labelled_language_is_learned(spark):
+    word = lambda lang, k: "".join(chr(97 + (lang * 7 + k * j + k) % 26) for j in range(5))
+    rows = [(f"{lang * 40 + k}", " ".join(word(lang, k + j) for j in range(20)), f"a{lang:02}") for lang in range(70) for k in range(3)]
+    rows += [(f"z{k}", "的一是不了人我在有他这为之大来以个中上们" + "到说国和地也子时道出而要于就下得可你年生"[k:], "zh") for k in range(20)]
+    rows += [(f"y{k}", "ωψχφυτσρποξνμλκιθηζεδγβα " * 900, "el") for k in range(10)]  # only long texts
+    rows += [("new1", "人我在有他这为之大来以个", None), ("new2", "ωψχφυτσρπ οξνμλκιθ", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df).collect()}
+    assert got["new1"] == "zh" and got["new2"] == "el" and got["z3"] == "zh"
+
+
+def test_blocks_of_languages_give_the_same_code_lengths():
+    samples = {"x": [b"abracadabra abra"], "y": [b"zzz zyz"], "z": [b"qqq q", "é".encode()]}
+    text = np.frombuffer(b"abra zq", np.uint8)
+    whole = language_id.train(samples)
+    assert len(language_id.train_blocks(samples)) == 1
+    blocks = language_id.train_blocks(samples, block_cells=1)
+    assert [m.langs for m in blocks] == [["x"], ["y"], ["z"]]
+    apart = [language_id.code_lengths(m, text, np.array([0, len(text)]))[0, 0] for m in blocks]
+    assert apart == pytest.approx(language_id.code_lengths(whole, text, np.array([0, len(text)]))[0])
+
+
+def test_blocks_of_languages_give_the_same_predictions(spark):
+    samples = {"x": [b"abracadabra abra"], "y": [b"zzz zyz"], "z": [b"qqq q"]}
+    df = spark.createDataFrame([(1, "abra"), (2, "zz"), (3, "q qq"), (4, "1"), (5, None), (6, "")], "doc_id long, text string")
+    one, three = (sorted(map(tuple, language_id.predict(df, language_id.train_blocks(samples, c), keep=["doc_id"]).collect())) for c in (language_id.BLOCK_CELLS, 1))
+    assert [r[:2] for r in one] == [r[:2] for r in three] == [(1, "x"), (2, "y"), (3, "z"), (4, "und"), (5, "und"), (6, "und")]
+    assert [r[2] for r in one] == pytest.approx([r[2] for r in three])
