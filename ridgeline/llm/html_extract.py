@@ -13,11 +13,12 @@ bounded sample whose size is the parameter `n_pages`; no page of the input is us
 
 Text: character references are decoded; white space within a block becomes one
 space, also for `br`; blocks are joined in page order by a line end. Scripts,
-styles, forms' fields, comments in the markup and other elements without text for
-readers are never text. Nothing else is dropped or capped.
+styles, titles, forms' fields, comments in the markup and other elements without text
+for readers are never text. Nothing else is dropped or capped.
 
 Defined results: a null or empty page, or one without main text, gives the empty
-text. Malformed markup is repaired as browsers do for unclosed and stray tags;
+text. A head ends with its end tag or at the first thing that can't stand in it.
+Malformed markup is repaired as browsers do for unclosed and stray tags;
 nesting deeper than 400 is flattened. Input columns are kept; own columns replace
 columns of the same name.
 """
@@ -40,7 +41,11 @@ TRAIN_PAGES, TREES, DEPTH, BINS, SHRINK = 500, 50, 4, 32, 0.25
 MIXED_COST = 0.7
 _DEEPEST = 400
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "video", "audio", "textarea", "select", "head"}
+_RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "video", "audio", "textarea", "select", "title"}
+#: Of these, the ones whose content runs to the end of the page if nothing ends it; after the others the page goes on.
+_TO_THE_END = {"script", "style", "template", "iframe", "textarea"}
+#: Void elements that may stand in the head without ending it.
+_IN_HEAD = {"base", "link", "meta"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCKS = {
     "html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption",
@@ -97,6 +102,8 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int]] = []  # open elements and their nodes (the nearest block's for inline ones)
     pending: list[str] = []
     in_link = 0
+    in_head = False
+    never_ended: set[str] = set()  # raw elements without an end tag from here on
 
     def open_node(tag: str, attrs: str, parent: int) -> int:
         bits, hidden = _tokens(attrs) if attrs else (0, False)
@@ -134,12 +141,14 @@ def parse(source: str) -> Page:
             text(source[at:])
             break
         text(source[at : m.start()])
+        in_head = in_head and not source[at : m.start()].strip()
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:  # an end tag
+            in_head = in_head and tag != "head"
             if tag == "br":
                 pending.append(" ")
             for i in range(len(stack) - 1, -1, -1):
@@ -154,7 +163,13 @@ def parse(source: str) -> Page:
                     break
             continue
         attrs = m[3]
+        if tag == "head":
+            in_head = True
+            continue
+        if in_head and tag in _IN_HEAD:
+            continue
         if tag in _VOID:
+            in_head = False
             page.tags[here()] += 1
             if tag in ("br", "hr", "img", "wbr"):
                 if tag == "hr":
@@ -164,9 +179,19 @@ def parse(source: str) -> Page:
             continue
         if tag in _RAW:
             if not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>|<body[\s>]" if tag == "head" else rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = n if end is None else end.start() if tag == "head" and end[0].lower().startswith("<body") else end.end()
+                # an open title must not take the head's end along
+                pattern = rf"</{tag}\s*>|(?=</head\s*>|<body[\s>])" if tag == "title" else rf"</{tag}\s*>"
+                end = None if tag in never_ended else re.compile(pattern, re.I).search(source, at)
+                if end is not None:
+                    at = end.end()
+                    continue
+                never_ended.add(tag)
+                if tag in _TO_THE_END:
+                    at = n
+                elif tag == "title":
+                    at = max(source.find("<", at), at)
             continue
+        in_head = False
         if tag in _BLOCKS:
             flush()
             ends = _ENDS.get(tag, {"p"})

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.llm import language_id, substring_dedup
+from ridgeline.llm import html_extract, language_id, substring_dedup
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -82,3 +82,21 @@ def test_blocks_of_languages_give_the_same_predictions(spark):
     one, three = (sorted(map(tuple, language_id.predict(df, language_id.train_blocks(samples, c), keep=["doc_id"]).collect())) for c in (language_id.BLOCK_CELLS, 1))
     assert [r[:2] for r in one] == [r[:2] for r in three] == [(1, "x"), (2, "y"), (3, "z"), (4, "und"), (5, "und"), (6, "und")]
     assert [r[2] for r in one] == pytest.approx([r[2] for r in three])
+
+
+def test_open_heads_and_open_elements_take_no_text_along():
+    article = "<article><h1>A title</h1><p>One two three, four five six, seven eight nine.</p><p>Next paragraph is here, too.</p></article>"
+    head = "<html><head><meta charset=utf-8><link rel=x href=y><title>x</title><script>var a;</script><style>p {}</style>"
+    runs = lambda source: [t for _, t in html_extract.parse(source).runs]
+    expected = ["A title", "One two three, four five six, seven eight nine.", "Next paragraph is here, too."]
+    for start in (head, head + "</head><body>", head + "<body>", "<html><title>x</title>", "<head><title>x</head><body>", "<head><noscript><link href=x>", "<head><title>x"):
+        assert runs(start + article) == expected, start
+    for tag in ("noscript", "svg", "math", "select", "video"):
+        assert runs(f"<body><{tag}>{article}") == expected, tag
+        assert runs(f"<body><{tag}>hidden</{tag}>{article}") == expected, tag
+    assert runs("<head>Stray words<p>and more") == ["Stray words", "and more"]
+    assert runs("<p>shown<script>x" + article) == runs("<p>shown<textarea>x") == ["shown"]
+    page, bare = html_extract.parse(head + "</head><body>" + article), html_extract.parse("<body>" + article)
+    assert (page.tags, page.kind) == (bare.tags, bare.kind)
+    opened, closed = html_extract.main_text([head + article, head + "</head><body>" + article], html_extract.train())
+    assert opened == closed and opened.endswith("\n".join(expected[1:]))
