@@ -3,9 +3,10 @@
 Method: words (bytes other than white space, A-Z as a-z) of benchmark items and
 documents are hashed under fixed masks that ignore some positions, so that a
 substituted word spoils only the seeds that look at it. Document hashes are looked
-up among the benchmark's, and each hit's diagonal is verified: the best run
-scores +1 for an equal word and -MISMATCH for another, and counts as a leak when
-at least `min_words` words agree (for a shorter item 80 % of its words). Any
+up among the benchmark's, and each hit's diagonal is verified: a run scores +1 for
+an equal word and -MISMATCH for another, and each maximal run (the best one, then
+the best ones before and after it, and so on) counts as a leak when at least
+`min_words` words agree (for a shorter item 80 % of its words). Any
 verbatim overlap of `min_words` words is found, because every mask spans fewer.
 Items shorter than a mask are looked up whole.
 
@@ -13,7 +14,7 @@ The benchmark is used in blocks of at most `block_items` items whose index is
 broadcast: its size is bounded by the parameter; more items mean more passes.
 
 Defined results: null or empty texts and items match nothing; repeated items and
-documents each get their own rows. Very long texts are scanned whole.
+documents each get their own rows, also under null ids. Very long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ridgeline.llm import textkit
-from ridgeline.llm.lineage import few
+from ridgeline.llm.lineage import cut
 
 #: Fixed masks: 1 looks at the word, 0 ignores it. Each spans at most MIN_WORDS words.
 MASKS = ("11111111", "1101100101011", "110010111011", "1110010110111")
@@ -49,16 +50,32 @@ def masked(hashes: np.ndarray, mask: str) -> np.ndarray:
     return textkit.mix(out)
 
 
+def runs(scores: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """The maximal runs of positive score, the best first; stretches of fewer than `least` words are not searched."""
+    open_parts = [(0, len(scores))]
+    while open_parts:
+        lo, hi = open_parts.pop()
+        if hi - lo < least:
+            continue
+        sums = np.concatenate([[0], np.cumsum(scores[lo:hi])])
+        end = int((sums - np.minimum.accumulate(sums)).argmax())
+        begin = int(sums[: end + 1].argmin())
+        if end <= begin:
+            continue
+        yield lo + begin, lo + end
+        open_parts += [(lo + end, hi), (lo, lo + begin)]
+
+
 class Index:
     """Seeds of some benchmark items, sorted, with the places that they stand for."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], masks: tuple[str, ...] = MASKS):
+    def __init__(self, ids: list[int | None], texts: list[str | None], masks: tuple[str, ...] = MASKS):
         column = textkit.utf8(pa.array(texts, pa.string()))
         parts = [(w.hashes(lower=True), np.diff(w.first)) for w in textkit.words(column)]
         self.hashes = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
         lens = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
         self.first = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
-        self.ids = np.array(ids, np.int64)
+        self.ids = ids
         shortest = min(map(len, masks))
         short = sorted({int(n) for n in lens if 0 < n < shortest})
         self.masks = [*masks, *("1" * n for n in short)]
@@ -109,19 +126,33 @@ class Index:
             own, of_item = hashes[w.first[text] : w.first[text + 1]], self.hashes[self.first[item] : self.first[item + 1]]
             lo, hi = max(0, -diagonal), min(len(of_item), len(own) - diagonal)
             equal = own[lo + diagonal : hi + diagonal] == of_item[lo:hi]
-            sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
-            least = np.minimum.accumulate(sums)
-            end = int((sums - least).argmax())
-            begin = int(sums[: end + 1].argmin())
-            n = int(equal[begin:end].sum())
-            if n >= (min_words if len(of_item) >= min_words else -(-len(of_item) * 8 // 10)) and n:
-                out.append((text, int(self.ids[item]), lo + diagonal + begin, lo + diagonal + end, lo + begin, lo + end, n))
+            least = min_words if len(of_item) >= min_words else -(-len(of_item) * 8 // 10)
+            for begin, end in runs(np.where(equal, 1, -MISMATCH), max(least, 1)):
+                n = int(equal[begin:end].sum())
+                if n >= max(least, 1):
+                    out.append((text, self.ids[item], lo + diagonal + begin, lo + diagonal + end, lo + begin, lo + end, n))
         return out
 
 
+def _scans(docs: DataFrame, benchmark: DataFrame, item_id_col: str, item_text_col: str, block_items: int) -> Iterator:
+    """Broadcast indexes of the benchmark in blocks; at least one."""
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    ids, texts, n_words, made = [], [], 0, 0
+    for row in benchmark.select(item_id_col, item_text_col).orderBy(item_id_col, item_text_col).toLocalIterator():
+        if not row[1]:
+            continue
+        ids.append(row[0])
+        texts.append(row[1])
+        n_words += len(row[1].split())
+        if len(ids) >= block_items or n_words >= BLOCK_WORDS:
+            yield broadcast(Index(ids, texts))
+            ids, texts, n_words, made = [], [], 0, made + 1
+    if ids or not made:
+        yield broadcast(Index(ids, texts))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_words: int = MIN_WORDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row per document, item and place where a sufficiently long overlap lies; no shuffle of documents."""
-    spark = docs.sparkSession
     schema = T.StructType([docs.schema[id_col]] + [T.StructField(n, t) for n, t in COLUMNS])
     frame = docs.select(docs[id_col], docs[text_col].alias("__text"))
 
@@ -136,22 +167,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         return frame.mapInArrow(run, schema)
 
-    passes, ids, texts, n_words = [], [], [], 0
-    for row in benchmark.select(item_id_col, item_text_col).orderBy(item_id_col, item_text_col).toLocalIterator():
-        if row[0] is None or not row[1]:
-            continue
-        ids.append(row[0])
-        texts.append(row[1])
-        n_words += len(row[1].split())
-        if len(ids) >= block_items or n_words >= BLOCK_WORDS:
-            passes.append(scan(spark.sparkContext.broadcast(Index(ids, texts))))
-            ids, texts, n_words = [], [], 0
-    if ids or not passes:
-        passes.append(scan(spark.sparkContext.broadcast(Index(ids, texts))))
-    return reduce(DataFrame.unionByName, passes)
+    return reduce(DataFrame.unionByName, map(scan, _scans(docs, benchmark, item_id_col, item_text_col, block_items)))
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_words: int = MIN_WORDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The documents without a leak, row by row, whatever their ids; where the benchmark takes several passes, the rows left are written between them."""
+    at = docs.columns.index(text_col)
+    left = docs
+    for i, index in enumerate(_scans(docs, benchmark, item_id_col, item_text_col, block_items)):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                for w in textkit.words(textkit.utf8(batch.column(at))):
+                    stays[[w.row + f[0] for f in index.value.leaks(w, min_words)]] = False
+                yield batch.filter(pa.array(stays))
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without a leak (rows with a null id have no known leak and stay)."""
-    leaked = find_leaks(docs, benchmark, id_col, **options).select(id_col).distinct()
-    return docs.join(few(leaked), id_col, "left_anti").select(*docs.columns)
+        left = (cut(left) if i else left).mapInArrow(run, docs.schema)
+    return left

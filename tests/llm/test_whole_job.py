@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.llm import html_extract, language_id, substring_dedup
+from ridgeline.llm import decontamination, html_extract, language_id, substring_dedup
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -100,3 +100,17 @@ def test_open_heads_and_open_elements_take_no_text_along():
     assert (page.tags, page.kind) == (bare.tags, bare.kind)
     opened, closed = html_extract.main_text([head + article, head + "</head><body>" + article], html_extract.train())
     assert opened == closed and opened.endswith("\n".join(expected[1:]))
+
+
+def test_every_run_every_item_and_every_leaking_row_counts(spark):
+    item, other, nameless = unlike("i", 38), unlike("o", 30), unlike("n", 20)
+    twice = unlike("x", 10) + changed(item, *range(15, 23))
+    rows = [(1, twice), (None, unlike("p", 9) + other), (None, unlike("q", 40)), (2, unlike("r", 5) + nameless), (3, unlike("s", 40)), (3, unlike("t", 4) + other), (4, None)]
+    docs = documents(spark, rows)
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(other)), (None, " ".join(nameless)), (None, " ".join(unlike("m", 20)))], "item_id long, text string")
+    found = {tuple(r) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert found == {(1, 0, 10, 25, 0, 15, 15), (1, 0, 33, 48, 23, 38, 15), (None, 1, 9, 39, 0, 30, 30), (2, None, 5, 25, 0, 20, 20), (3, 1, 4, 34, 0, 30, 30)}
+    for options in ({}, {"block_items": 1}):
+        left = decontamination.decontaminate(docs, bench, **options)
+        assert left.columns == docs.columns
+        assert sorted(str((r["doc_id"], (r["text"] or "?")[0])) for r in left.collect()) == ["(3, 's')", "(4, '?')", "(None, 'q')"]
