@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 from ridgeline.llm import decontamination, language_id, ngram_jaccard, queries, sentencepiece_codec, substring_dedup
 from ridgeline.llm.lineage import shared_folder
 
-#: A document whose language is undetermined, or less likely than this, is rejected.
-LEAST_SCORE = 0.5
 #: Near duplicates share at least so many percent of their sequences of so many words (op6 has its own values).
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a recognised language; lang becomes the prediction where it was null."""
-    found = language_id.identify(docs)
-    kept = found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    """Keep documents with a recognised language, however close the second best; lang becomes the prediction where it was null.
+
+    Where no language can be learned, because no document has one, all documents stay as they are.
+    """
+    models = language_id.learn(docs)
+    if not models:
+        return docs
+    kept = language_id.predict(docs, models).where(F.col("lang_pred") != language_id.UNDETERMINED)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -263,8 +263,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_on: Column | None = None) -> list[Model]:
+    """Models of the labelled rows that train_on selects (default: not held out); none where no row has a language."""
+    usable = F.coalesce(~held_out(id_col) if train_on is None else train_on, F.lit(False))
+    return train_blocks(sample(docs, F.col(lang_col), usable, id_col, text_col))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_on: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """Learn from the labelled rows that train_on selects (default: not held out), then predict every row."""
-    usable = F.coalesce(~held_out(id_col) if train_on is None else train_on, F.lit(False))
-    models = train_blocks(sample(docs, F.col(lang_col), usable, id_col, text_col))
-    return predict(docs, models, text_col, keep=keep)
+    return predict(docs, learn(docs, id_col, text_col, lang_col, train_on), text_col, keep=keep)

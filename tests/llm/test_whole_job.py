@@ -114,3 +114,15 @@ def test_every_run_every_item_and_every_leaking_row_counts(spark):
         left = decontamination.decontaminate(docs, bench, **options)
         assert left.columns == docs.columns
         assert sorted(str((r["doc_id"], (r["text"] or "?")[0])) for r in left.collect()) == ["(3, 's')", "(4, '?')", "(None, 'q')"]
+
+
+def test_the_language_stage_rejects_only_undetermined_documents(spark):
+    sisters = {"aa": "la casa e il mare", "bb": "la casa y el mar", "cc": "la casa e o mar"}
+    rows = [(i, sisters[lang].split() * 5, lang) for i, lang in enumerate(sorted(sisters) * 20)] + [(100, ["la"], "aa"), (101, ["casa"], None), (102, ["12"], "aa"), (103, None, None)]
+    df = spark.createDataFrame([(i, None if t is None else " ".join(t), lang, "s", 1) for i, t, lang in rows], DOCS)
+    scores = {r["doc_id"]: r["score"] for r in language_id.identify(df).collect()}
+    assert 0 < scores[100] < 0.5 and 0 < scores[101] < 0.5
+    kept = corpus_pipeline.identify_language(spark, df, "").collect()
+    assert {r["doc_id"] for r in kept} == {*range(60), 100, 101} and all(r["lang"] for r in kept)
+    bare = df.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, bare, "").count() == len(rows)
