@@ -152,8 +152,27 @@ def confidence_filter(df: DataFrame, row: Sequence[str], target_confidence: floa
 
 
 def rank_correlation(df: DataFrame, a: str, b: str, keys: Sequence[str] = K, method: str = "spearman") -> DataFrame:
-    """Pearson or Spearman (average ranks) correlation; null for constants."""
+    """Pearson, Spearman (average ranks) or Kendall (tau-b) correlation; null for constants."""
     keys = list(keys)
+    if method not in ("pearson", "spearman", "kendall"):
+        raise ValueError(f"unknown method: {method}")
+    if method == "kendall":
+        schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("correlation", T.DoubleType())])
+
+        def tau(key, pdf):
+            import numpy as np
+            import pandas as pd
+
+            x, y = (pdf[c].to_numpy(float) for c in ("__a", "__b"))
+            known = ~(np.isnan(x) | np.isnan(y))
+            x, y = x[known], y[known]
+            both = only_x = only_y = 0
+            for i in range(len(x) - 1):  # one row against the later ones: memory in proportion to the group
+                dx, dy = np.sign(x[i + 1 :] - x[i]), np.sign(y[i + 1 :] - y[i])
+                both, only_x, only_y = both + int((dx * dy).sum()), only_x + int((dx != 0).sum()), only_y + int((dy != 0).sum())
+            return pd.DataFrame([[*key, both / np.sqrt(only_x) / np.sqrt(only_y) if only_x and only_y else None]], columns=schema.names).astype({"correlation": float})
+
+        return df.select(*keys, C(a).cast("double").alias("__a"), C(b).cast("double").alias("__b")).groupBy(*keys).applyInPandas(tau, schema).withColumn("correlation", F.nanvl("correlation", F.lit(None).cast("double")))
     if method == "spearman":
         rank = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
         df = df.where(C(a).isNotNull() & C(b).isNotNull()).withColumns({"__a": rank(a), "__b": rank(b)})

@@ -334,7 +334,7 @@ def sweep_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parameter_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _by_round(sweep_logreg(spark, sf_dir))
-    return ev.parameter_correlation(log, "auc", ["roc_period", "q", "c"], heads=(0.99, 0.5), n_boot=30)
+    return ev.parameter_correlation(log, "auc", ["roc_period", "q", "c"], heads=(0.99, 0.75, 0.5, 0.25, 0.01), n_boot=300)
 
 
 def pools_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
