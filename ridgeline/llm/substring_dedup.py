@@ -5,27 +5,37 @@ so equal passages are cut alike wherever they stand. An anchor is the least hash
 among the 8-word sequences of a window of `min_words` (35) words; a block holds all
 windows whose anchor it is, at most 28. Steps:
 
-1. Each document lists the hashes of its anchors. Only an anchor that occurs twice
-   in the corpus can lie in a repeated window; the others are left out.
-2. The blocks of the anchors left are the index: one entry per distinct block.
-3. A document is parsed against the index. A block that stands in the index for
-   another place too is copied whole, and runs of such blocks are long factors.
-   At factor boundaries a block is only partly repeated; there its windows are
-   looked up one by one among all indexed blocks of the same anchor.
-4. The windows found become duplicate spans; their union is removed.
+1. Each document lists its blocks: anchor, hash of all its words, place. Only an
+   anchor that occurs twice in the corpus can lie in a repeated window; the blocks of
+   the others are left out.
+2. The index has one entry for each distinct block: how often it stands in the
+   corpus, and its first and last place, which are its reference positions.
+3. A document is parsed from left to right. A block that stands elsewhere too is copied
+   from a reference position; as long as the next block follows there as it does here,
+   the factor goes on (so it's the longest one from its begin along its reference), else
+   the next factor begins. A factor is (begin, end, reference, reference's begin).
+4. Factors end where a block isn't repeated as a whole. There, at the factors'
+   boundaries, its windows are looked up one by one among the windows of all indexed
+   blocks with the same anchor.
+5. Factors of `min_words` words and more, and windows found at boundaries, become
+   duplicate spans; their union is removed.
 
 The outcome is exact for the windows (equality by hashes of 128 bits together: the
-anchor's and the window's), whichever block or document a repeat lies in.
+anchor's and the block's or window's), whichever block or document a repeat lies in.
 
-Scale: three passes over the texts; what is shuffled besides is about a tenth of
-the words as anchors, and windows of repeated anchors once per distinct block.
-Every grouping is pre-aggregated, so a passage in a third of all documents is
-one index entry; no group is gathered in one task.
+Scale: the texts are hashed twice and shuffled twice (once to the blocks whose
+windows are looked up, once to the result). Besides, 12 to 24 bytes for each block (about
+a thirteenth of the words), and the windows of blocks at boundaries, once per distinct
+block. Counts are pre-aggregated in each task and written before they are joined, so
+that Spark can split the rows of a frequent anchor, block or window over tasks; what a task
+holds of one key is what belongs to one document.
 
 Defined results: a null or empty text has no words and is left as it is. Repeated
 rows are occurrences of each other. Rows are told apart by id and text (where ids
-repeat or are null, by 128 bits of hashes of both), so ids may be null or occur twice. Very long texts are parsed whole. Input columns are
-kept; the operator's own columns replace columns of the same name.
+repeat or are null, by 128 bits of hashes of both), so ids may be null or occur twice.
+Of equal places the least key and place is the reference. Very long texts are parsed
+whole. Input columns are kept; the operator's own columns replace columns of the same
+name. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,15 +44,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm import textkit
+from ridgeline.llm.lineage import cut
 from ridgeline.llm.sentencepiece_codec import _spread
 
 MIN_WORDS, ANCHOR_WORDS = 35, 8
 _KEY = ["__k1", "__k2"]
+#: A block's place in its document: first window * 64 + number of windows.
+_PLACE = 64
 
 
 def anchors(w: textkit.Words, hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
@@ -74,100 +88,158 @@ def _numbers(lists: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]
     """Values of the lists lo..hi (null: empty) and the index of their list, from lo."""
     part = lists.slice(lo, hi - lo)
     lens = np.array([0 if n is None else n for n in part.value_lengths().to_pylist()], np.int64)
-    values = part.flatten()
+    values = part.flatten()  # a list's values, unlike its field, mind the slice's offset
     return values, np.repeat(np.arange(hi - lo), lens)
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, keep: list[str] | None = None) -> DataFrame:
-    """Add n_words, n_removed, spans (word numbers, end exclusive) and kept_text (the words left, joined by one space)."""
-    if not ANCHOR_WORDS <= min_words <= ANCHOR_WORDS + 62:
+def _columns(values: pa.StructArray) -> list[np.ndarray]:
+    return [x.to_numpy(zero_copy_only=False) for x in values.flatten()]
+
+
+def parse(blocks: Iterator[tuple[int, ...]], min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+    """The factors of one text: begin, end, reference, begin in the reference.
+
+    blocks: of each repeated block, from left to right, its first window and number of
+    windows, and two reference positions (key, first window), of which the second is
+    another one where the first is the block's own place.
+    """
+    factors: list[tuple[int, int, int, int]] = []
+    ref, shift, after = None, 0, -1  # the present reference, its places less ours, the window after the factor's last
+    for start, count, *places in blocks:
+        if not (start == after and (ref, start + shift) in (tuple(places[:2]), tuple(places[2:]))):
+            ref, shift = places[0], places[1] - start
+            factors.append((start, 0, ref, places[1]))
+        after = start + count
+        factors[-1] = (factors[-1][0], after - 1 + min_words, *factors[-1][2:])
+    return [f for f in factors if f[1] - f[0] >= min_words]
+
+
+def _parsed(docs: DataFrame, id_col: str, text_col: str, min_words: int, keep: list[str], rest_whole: bool) -> DataFrame:
+    """keep, n_words, n_removed, spans, factors and kept_text. rest_whole: texts without a repeated passage stay byte for byte."""
+    if not ANCHOR_WORDS <= min_words <= ANCHOR_WORDS + 55:
         raise ValueError("min_words is out of range")
-    own = ("n_words", "n_removed", "spans", "kept_text")
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
-    fields = {c: docs.schema[c] for c in kept}
-    key = F.coalesce(F.hash(docs[id_col]).cast("long") if docs.schema[id_col].dataType != T.LongType() else docs[id_col], F.lit(0))
+    fields = {c: docs.schema[c] for c in keep}
+    key = F.coalesce(F.xxhash64(docs[id_col]) if docs.schema[id_col].dataType != T.LongType() else docs[id_col], F.lit(0))
     # where ids tell rows apart, the text's hash need not travel along; elsewhere two hashes of id and text, 128 bits together, do it
     unique = docs.select(key.alias("k")).groupBy("k").count().where("count > 1").isEmpty()
     key = [key, F.lit(0).cast("long")] if unique else [F.xxhash64(docs[id_col], docs[text_col]), F.xxhash64(docs[text_col], docs[id_col])]
-    rows = docs.select(*[k.alias(n) for k, n in zip(key, _KEY, strict=True)], docs[text_col].alias("__text"), *[docs[c].alias(f"__c{i}") for i, c in enumerate(kept)])
+    rows = docs.select(*[k.alias(n) for k, n in zip(key, _KEY, strict=True)], docs[text_col].alias("__text"), *[docs[c].alias(f"__c{i}") for i, c in enumerate(keep)])
     longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
 
-    def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def list_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in textkit.words(textkit.utf8(batch.column(2))):
-                a, text, _, _ = anchors(w, w.hashes(), min_words)
-                nth = np.arange(len(a)) - np.searchsorted(text, text)
-                rows = pa.array(text + w.row)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(nth.astype(np.int32))], names=["a", *_KEY, "nth"])
+                hashes = w.hashes()
+                a, text, first, count = anchors(w, hashes, min_words)
+                block = textkit.span_hash(hashes, first, first + count - 1 + min_words) if len(a) else a
+                of = pa.array(text + w.row)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(block.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array((first - w.first[text]) * _PLACE + count)], names=["a", "block", *_KEY, "place"])
 
-    found = rows.select(*_KEY, "__text").mapInArrow(list_anchors, T.StructType([*longs("a", *_KEY), T.StructField("nth", T.IntegerType())]))
-    twice = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    wanted = found.join(twice, "a").groupBy(*_KEY).agg(F.collect_set("nth").alias("__nth"))
+    found = rows.select(*_KEY, "__text").mapInArrow(list_blocks, T.StructType(longs("a", "block", *_KEY, "place")))
+    twice = cut(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
+    hits = cut(found.join(twice, "a"))
+    place = F.struct(*_KEY, "place")
+    index = cut(hits.groupBy("a", "block").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")))
+    copied = hits.join(index.where("n > 1").select("a", "block", "first", "last"), ["a", "block"])
+    # the reference is another place than the block's own, if there is one
+    own = place == F.col("first")
+    refs = [F.when(own, F.col("last")).otherwise(F.col("first")), F.when(place == F.col("last"), F.col("first")).otherwise(F.col("last"))]
+    begin = lambda p: F.floor(p["place"] / _PLACE)
+    block = F.struct(F.floor(F.col("place") / _PLACE).alias("start"), F.pmod("place", F.lit(_PLACE)).alias("count"), *(x for i, r in enumerate(refs) for x in (r["__k1"].alias(f"k{i}"), begin(r).alias(f"s{i}"))))
+    # boundaries: anchors with several distinct blocks, of which one stands alone
+    mixed = cut(index.groupBy("a").agg(F.count("*").alias("blocks"), F.min("n").alias("least")).where("blocks > 1 AND least = 1").select("a"))
+    asked = index.join(mixed, "a").select("first.*", "a", (F.col("n") == 1).alias("alone"))
+    asked = cut(asked.groupBy(*_KEY).agg(F.collect_list(F.struct("place", "a", "alone")).alias("__asked")))
 
-    def list_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nths = batch.column(batch.num_columns - 1)
+            lists = batch.column(batch.num_columns - 1)
             for w in textkit.words(textkit.utf8(batch.column(2))):
-                hashes = w.hashes()
-                a, text, first, count = anchors(w, hashes, min_words)
-                nth, of = _numbers(nths, w.row, w.row + len(w))
-                sel = np.sort(np.searchsorted(text, of) + nth.to_numpy(zero_copy_only=False))
-                windows = textkit.grams(hashes, min_words)
-                a, text, first, count = a[sel], text[sel], first[sel], count[sel]
-                block = textkit.span_hash(hashes, first, first + count - 1 + min_words) if len(sel) else a
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(windows[_spread(first, count)].view(np.int64)))
-                rows = pa.array(text + w.row)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(block.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - w.first[text]).astype(np.int32)), lists], names=["a", "block", *_KEY, "start", "windows"])
-
-    parsed = rows.join(wanted, _KEY).mapInArrow(list_blocks, T.StructType([*longs("a", "block", *_KEY), T.StructField("start", T.IntegerType()), T.StructField("windows", T.ArrayType(T.LongType(), False))]))
-    index = parsed.select("a", "block", F.size("windows").alias("c")).groupBy("a", "block").agg(F.count("*").alias("n"), F.first("c").alias("c"))
-    # windows are compared only below anchors with several distinct blocks of which one stands alone
-    mixed = index.groupBy("a").agg(F.count("*").alias("blocks"), F.min("n").alias("least")).where("blocks > 1 AND least = 1").select("a")
-    distinct = parsed.select("a", "block", "windows").join(mixed, "a").groupBy("a", "block").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
-    single = distinct.select("a", "block", "n", F.posexplode("windows").alias("at", "h"))
-    again = single.groupBy("a", "h").agg(F.sum("n").alias("n")).where("n > 1").select("a", "h")
-    partly = single.where("n = 1").join(again, ["a", "h"]).groupBy("a", "block").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
-    whole = index.where("n > 1").select("a", "block", F.expr("if(c = 63, 9223372036854775807L, shiftleft(1L, c) - 1L)").alias("mask"))
-    matches = parsed.select("a", "block", *_KEY, "start").join(whole.unionByName(partly), ["a", "block"]).groupBy(*_KEY).agg(F.collect_set(F.struct("start", "mask")).alias("__found"))
-    out_schema = T.StructType([T.StructField(c, f.dataType, f.nullable) for c, f in fields.items()] + longs("n_words", "n_removed") + [T.StructField("spans", T.ArrayType(T.StructType(longs("begin", "end")))), T.StructField("kept_text", T.StringType())])
+                values, of = _numbers(lists, w.row, w.row + len(w))
+                if not len(of):
+                    continue
+                places, a, alone = _columns(values)
+                windows, count = textkit.grams(w.hashes(), min_words), places % _PLACE
+                at = _spread(w.first[of] + places // _PLACE, count)
+                of, a, alone = (np.repeat(x, count) for x in (of, a, alone))
+                rows = pa.array(of + w.row)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(windows[at].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at - w.first[of]), pa.array(alone)], names=["a", "h", *_KEY, "at", "alone"])
+
+    windows = rows.select(*_KEY, "__text").join(asked, _KEY).mapInArrow(list_windows, T.StructType([*longs("a", "h", *_KEY, "at"), T.StructField("alone", T.BooleanType())]))
+    windows = cut(windows)
+    again = cut(windows.groupBy("a", "h").agg(F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("n"), F.bool_or("alone").alias("alone")).where("n > 1 AND alone").select("a", "h"))
+    checked = windows.where("alone").join(again, ["a", "h"]).select(*_KEY, "at")
+    matches = copied.select(*_KEY, block.alias("b")).unionByName(checked, allowMissingColumns=True).groupBy(*_KEY).agg(F.collect_set("b").alias("__blocks"), F.collect_set("at").alias("__windows"))
+    schema = T.StructType([T.StructField(c, f.dataType, f.nullable) for c, f in fields.items()] + longs("n_words", "n_removed") + [T.StructField("spans", T.ArrayType(T.StructType(longs("begin", "end")))), T.StructField("factors", T.ArrayType(T.StructType(longs("begin", "end", "ref", "ref_begin")))), T.StructField("kept_text", T.StringType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            founds = batch.column(batch.num_columns - 1)
-            for w in textkit.words(textkit.utf8(batch.column(2))):
+            block_lists, window_lists = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            texts = textkit.utf8(batch.column(2))
+            for w in textkit.words(texts):
                 n = len(w.starts)
-                values, of = _numbers(founds, w.row, w.row + len(w))
                 steps = np.zeros(n + 1, np.int64)
+                values, of = _numbers(window_lists, w.row, w.row + len(w))
+                if len(of):
+                    at = w.first[of] + values.to_numpy(zero_copy_only=False)
+                    np.add.at(steps, at, 1)
+                    np.add.at(steps, at + min_words, -1)
+                values, of = _numbers(block_lists, w.row, w.row + len(w))
+                factors, n_factors = [], np.zeros(len(w), np.int64)
                 if len(of):
-                    starts, masks = values.flatten()  # unlike field(), this minds the slice's offset
-                    base = w.first[of] + starts.to_numpy(zero_copy_only=False)
-                    mask = masks.to_numpy(zero_copy_only=False)
-                    for bit in range(63):
-                        at = base[(mask >> bit) & 1 == 1] + bit
-                        np.add.at(steps, at, 1)
-                        np.add.at(steps, at + min_words, -1)
+                    columns = _columns(values)
+                    order = np.lexsort((columns[0], of))
+                    columns, bounds = [c[order].tolist() for c in columns], np.searchsorted(of[order], np.arange(len(w) + 1))
+                    for i in np.flatnonzero(np.diff(bounds)).tolist():
+                        own = parse(zip(*(c[bounds[i] : bounds[i + 1]] for c in columns), strict=True), min_words)
+                        n_factors[i] = len(own)
+                        factors += own
+                factors = np.array(factors, np.int64).reshape(-1, 4)
+                base = np.repeat(w.first[:-1], n_factors)
+                np.add.at(steps, base + factors[:, 0], 1)
+                np.add.at(steps, base + factors[:, 1], -1)
                 gone = np.cumsum(steps)[:n] > 0
                 owner = textkit.owner(w.first, n)
                 begin, end = textkit_spans(gone, owner)
                 base = w.first[owner[begin]] if len(begin) else begin
-                structs = pa.StructArray.from_arrays([pa.array(begin - base), pa.array(end - base)], names=["begin", "end"])
-                spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, w.first).astype(np.int32)), structs)
-                # the words left, each followed by a space, less the last space of each text
-                stay = np.flatnonzero(~gone)
-                size = w.ends[stay] - w.starts[stay] + 1
-                flat = np.append(w.data, np.uint8(32))[_spread(w.starts[stay], size)]
-                after = np.cumsum(size)
-                flat[after - 1] = 32
-                stay_first = np.searchsorted(stay, w.first)
-                per_text = np.diff(stay_first)
-                last = after[stay_first[1:][per_text > 0] - 1] - 1
-                flat = np.delete(flat, last)
-                offsets = np.concatenate([[0], after])[stay_first] - np.concatenate([[0], np.cumsum(per_text > 0)])
-                text = pa.StringArray.from_buffers(len(w), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat)))
-                counts = [pa.array(np.diff(w.first)), pa.array(np.diff(w.first) - per_text)]
-                yield pa.RecordBatch.from_arrays([batch.column(3 + i).slice(w.row, len(w)) for i in range(len(kept))] + [*counts, spans, text], names=[*kept, *own])
-
-    return rows.join(matches, _KEY, "left").mapInArrow(remove, out_schema)
+                spans = _lists(np.searchsorted(begin, w.first), ("begin", "end"), (begin - base, end - base))
+                factors = _lists(np.concatenate([[0], np.cumsum(n_factors)]), ("begin", "end", "ref", "ref_begin"), factors.T)
+                text, per_text = _kept_text(w, gone)
+                removed = np.diff(w.first) - per_text
+                if rest_whole:
+                    text = pc.if_else(pa.array(removed > 0), text, batch.column(2).slice(w.row, len(w)).cast(pa.string()))  # null stays null
+                yield pa.RecordBatch.from_arrays([batch.column(3 + i).slice(w.row, len(w)) for i in range(len(keep))] + [pa.array(np.diff(w.first)), pa.array(removed), spans, factors, text], names=schema.names)
+
+    return rows.join(cut(matches), _KEY, "left").mapInArrow(remove, schema)
+
+
+def _lists(bounds: np.ndarray, names: tuple[str, ...], columns) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=list(names)))
+
+
+def _kept_text(w: textkit.Words, gone: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words left of each text, joined by one space, and their number."""
+    # each followed by a space, less the last space of each text
+    stay = np.flatnonzero(~gone)
+    size = w.ends[stay] - w.starts[stay] + 1
+    flat = np.append(w.data, np.uint8(32))[_spread(w.starts[stay], size)]
+    after = np.cumsum(size)
+    flat[after - 1] = 32
+    stay_first = np.searchsorted(stay, w.first)
+    per_text = np.diff(stay_first)
+    last = after[stay_first[1:][per_text > 0] - 1] - 1
+    flat = np.delete(flat, last)
+    offsets = np.concatenate([[0], after])[stay_first] - np.concatenate([[0], np.cumsum(per_text > 0)])
+    return pa.StringArray.from_buffers(len(w), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))), per_text
+
+
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, keep: list[str] | None = None) -> DataFrame:
+    """Add n_words, n_removed, spans (word numbers, end exclusive), factors and kept_text (the words left, joined by one space).
+
+    factors: begin, end, ref (the reference's id where ids are unique numbers, else a hash) and begin there.
+    """
+    own = ("n_words", "n_removed", "spans", "factors", "kept_text")
+    return _parsed(docs, id_col, text_col, min_words, [c for c in (docs.columns if keep is None else keep) if c not in own], False)
 
 
 def textkit_spans(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,5 +254,7 @@ def textkit_spans(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.
 
 def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without their repeated passages; texts without any stay byte for byte."""
-    found = find_spans(docs.withColumn("__whole", F.col(text_col)), id_col, text_col, min_words)
-    return found.withColumn(text_col, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("__whole"))).select(*docs.columns)
+    names = [f"__d{i}" for i in range(len(docs.columns))]
+    text, others = names[docs.columns.index(text_col)], [n for n, c in zip(names, docs.columns, strict=True) if c != text_col]
+    found = _parsed(docs.toDF(*names), names[docs.columns.index(id_col)], text, min_words, others, True)
+    return found.select(*(F.col("kept_text" if n == text else n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
