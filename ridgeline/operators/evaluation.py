@@ -77,19 +77,33 @@ def balanced_metric(df: DataFrame, actual: str = "actual", prediction: str = "pr
     return df.groupBy(*keys).agg(F.coalesce(_div(tp, pp) * F.sqrt(_div(pp, F.count("*"))), F.lit(0.0)).alias("balanced"))
 
 
-def optimize_threshold(df: DataFrame, actual: str = "actual", proba: str = "proba", keys: Sequence[str] = K, low: float = 0.20, high: float = 0.70, step: float = 0.05) -> DataFrame:
-    """The threshold of the best balanced metric (the first of equal ones); thresholds without positives are skipped."""
-    n = round((high - low) / step) + 1
-    swept = df.select(*keys, C(actual).alias("y"), C(proba).alias("s"), F.explode(F.array(*(F.lit(round(low + i * step, 10)) for i in range(n)))).alias("threshold"))
+def optimize_threshold(df: DataFrame, actual: str = "actual", proba: str = "proba", keys: Sequence[str] = K, low: float = 0.20, high: float = 0.70, step: float = 0.05, metric: str = "balanced", default: float = 0.35) -> DataFrame:
+    """threshold and score (named after the metric: balanced, f1, precision or accuracy; other names mean balanced).
+
+    Of equal scores the first threshold; thresholds without positives are skipped, and a group
+    without any gets the default and the score -1.
+    """
+    import numpy as np
+
+    metric = metric if metric in ("f1", "precision", "accuracy") else "balanced"
+    tried = [float(t) for t in np.arange(low, high + step, step)]
+    swept = df.select(*keys, C(actual).alias("y"), C(proba).alias("s"), F.explode(F.array(*map(F.lit, tried))).alias("threshold"))
     p = C("s") >= C("threshold")
-    tp, pp = F.count(F.when(p & (C("y") == 1), 1)), F.count(F.when(p, 1))
-    scored = swept.groupBy(*keys, "threshold").agg((_div(tp, pp) * F.sqrt(_div(pp, F.count("*")))).alias("balanced")).where("balanced IS NOT NULL")
-    best = F.max_by(F.struct("threshold", "balanced"), F.struct("balanced", -C("threshold")))
-    return scored.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.threshold", "b.balanced")
+    tp, pp, n, yes = F.count(F.when(p & (C("y") == 1), 1)), F.count(F.when(p, 1)), F.count("*"), F.count(F.when(C("y") == 1, 1))
+    score = {"balanced": _div(tp, pp) * F.sqrt(_div(pp, n)), "precision": _div(tp, pp), "f1": _div(2 * tp, pp + yes), "accuracy": _div(n - pp - yes + 2 * tp, n)}[metric]
+    scored = swept.groupBy(*keys, "threshold").agg(F.when(pp > 0, score).alias("__score"))
+    best = F.max_by(F.struct("threshold", "__score"), F.when(C("__score").isNotNull(), F.struct("__score", -C("threshold"))))
+    found = scored.groupBy(*keys).agg(best.alias("b"))
+    return found.select(*keys, F.coalesce("b.threshold", F.lit(default)).alias("threshold"), F.coalesce("b.__score", F.lit(-1.0)).alias(metric))
+
 
+def confusion_metrics(df: DataFrame, x: str, actual: str = "actual", prediction: str = "prediction", keys: Sequence[str] = K, quantiles: tuple[float, float] = (0.01, 0.99), outliers: str = "filter", proba: str | None = None, threshold: float = 0.5) -> DataFrame:
+    """Counts, rates and the distribution of x in the cells of the confusion matrix, Cohen's d and KS of TP against FP; x_name says which column x is.
 
-def confusion_metrics(df: DataFrame, x: str, actual: str = "actual", prediction: str = "prediction", keys: Sequence[str] = K, quantiles: tuple[float, float] = (0.01, 0.99), outliers: str = "filter") -> DataFrame:
-    """Counts, rates and the distribution of x in the cells of the confusion matrix, Cohen's d and KS of TP against FP."""
+    proba: a column of probabilities that, cut at the threshold, stand for the prediction.
+    """
+    if proba is not None:
+        df, prediction = df.withColumn("__cut", (C(proba) >= threshold).cast("int")), "__cut"
     if outliers not in ("filter", "winsor"):
         raise ValueError("outliers must be filter or winsor")
     keys = list(keys)
@@ -112,7 +126,7 @@ def confusion_metrics(df: DataFrame, x: str, actual: str = "actual", prediction:
     w, whole = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
     gap = F.abs(_div(F.sum("a").over(w), F.sum("a").over(whole)) - _div(F.sum("b").over(w), F.sum("b").over(whole)))
     ks = values.withColumn("g", gap).groupBy(*keys).agg(F.max("g").alias("tp_fp_ks"))
-    return out.join(ks, keys, "left")
+    return out.join(ks, keys, "left").withColumn("x_name", F.lit(x))
 
 
 def backtest_snapshot(df: DataFrame, prediction: str = "prediction", keys: Sequence[str] = K, order: str = "datetime", fee_bps: float = 5.0, slip_bps: float = 5.0, count_runs: bool = False) -> DataFrame:

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.columns import drop_null_rows, q_nearest
+from ridgeline.functions.columns import drop_null_rows
 
 C = F.col
 
 
-def iqr_filter(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
-    """Drop rows without performance; then outliers column after column, each on what the one before left."""
+def iqr_filter(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -> DataFrame:
+    """Drop rows without performance; then outliers column after column, each on what the one before left.
+
+    A column whose quartiles are equal filters nothing. The quartiles are the sorted values at index
+    round((n - 1) * q), counted with partial sums.
+    """
     df = drop_null_rows(df, list(columns))
     for c in columns:
-        low, high = df.agg(q_nearest(c, 0.25), q_nearest(c, 0.75)).first()
-        if low is None:
-            return df
+        n = df.where(C(c).isNotNull()).count()
+        if not n:
+            continue
+        at = [(math.floor((n - 1) * q + 0.5) + 0.5) / n for q in (0.25, 0.75)]
+        low, high = df.agg(*(F.expr(f"percentile_disc({q!r}) WITHIN GROUP (ORDER BY `{c}`)") for q in at)).first()
+        if low == high:
+            continue
         reach = factor * (high - low)
         df = df.where((C(c) >= low - reach) & (C(c) <= high + reach))
     return df

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.columns import clip, fdiv, q_nearest
+from ridgeline.functions.columns import clip, fdiv
 
 C = F.col
 SPLITS = ("train", "val", "test")
@@ -60,18 +60,24 @@ def missing_datetimes(before: DataFrame, after: DataFrame, keys: Sequence[str] =
     return before.select(*keys, "datetime").distinct().join(after.select(*keys, "datetime"), [*keys, "datetime"], "left_anti")
 
 
-def _on_train(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
-    """One row of fitted values per key, joined to all its rows (a map-side join: it's tiny)."""
-    fitted = df.where(C("split") == "train").groupBy(*keys).agg(*(a.alias(n) for n, a in aggs.items()))
-    return df.join(fitted, list(keys), "left")
+def quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """{name: (column, q)}: one row per key with the sorted values at index round((n - 1) * q), half away from zero.
+
+    All columns are ranked together, each (key, column) by a sort that spills: no group is gathered in a list.
+    """
+    cols = sorted({c for c, _ in wanted.values()})
+    long = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("__c"), C(c).cast("double").alias("__v")) for c in cols))).alias("__x")).select(*keys, "__x.*").where("__v IS NOT NULL")
+    w = Window.partitionBy(*keys, "__c")
+    ranked = long.withColumns({"__n": F.count("*").over(w), "__k": F.row_number().over(w.orderBy("__v")) - 1})
+    return ranked.groupBy(*keys).agg(*(F.max(F.when((C("__c") == c) & (C("__k") == F.floor((C("__n") - 1) * q + 0.5)), C("__v"))).alias(name) for name, (c, q) in wanted.items()))
 
 
 def target_quantile_flags(df: DataFrame, targets: dict[str, tuple[str, float]], shift: int = 0, keys: Sequence[str] = ("series",), order: Sequence[str] = ("datetime",)) -> DataFrame:
     """{name: (column, q)}: 1 above the training split's (1 - q) quantile ('nearest'), then shifted within the split (-1: from the next row).
 
-    All cut-offs come from one aggregation, however many targets there are.
+    All cut-offs come from one ranking, however many targets there are.
     """
-    df = _on_train(df, keys, {f"__cut_{n}": q_nearest(c, 1.0 - q) for n, (c, q) in targets.items()})
+    df = df.join(quantiles(df.where(C("split") == "train"), keys, {f"__cut_{n}": (c, 1.0 - q) for n, (c, q) in targets.items()}), list(keys), "left")
     df = df.withColumns({n: (C(c) > C(f"__cut_{n}")).cast("int") for n, (c, _) in targets.items()}).drop(*(f"__cut_{n}" for n in targets))
     if shift:
         w = Window.partitionBy(*keys, "split").orderBy(*order)
@@ -122,14 +128,14 @@ def mad(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str]
 
 def winsorize(df: DataFrame, columns: Sequence[str] | None = None, low: float = 0.01, high: float = 0.99, keys: Sequence[str] = ("series",)) -> DataFrame:
     columns = _numbers(df, columns, keys)
-    fit = _fitted(df, columns, keys, {f"__{m}_{c}": q_nearest(c, q) for c in columns for m, q in (("l", low), ("h", high))})
+    fit = df.join(quantiles(df, keys, {f"__{m}_{c}": (c, q) for c in columns for m, q in (("l", low), ("h", high))}), list(keys), "left")
     return _order(fit.withColumns({c: clip(C(c), C(f"__l_{c}"), C(f"__h_{c}")) for c in columns}).select(*df.columns), columns)
 
 
 def quantile_trim(df: DataFrame, columns: Sequence[str] | None = None, low: float = 0.005, high: float = 0.995, keys: Sequence[str] = ("series",)) -> DataFrame:
     """Keep rows whose numbers all lie within their quantiles or are null."""
     columns = _numbers(df, columns, keys)
-    fit = _fitted(df, columns, keys, {f"__{m}_{c}": q_nearest(c, q) for c in columns for m, q in (("l", low), ("h", high))})
+    fit = df.join(quantiles(df, keys, {f"__{m}_{c}": (c, q) for c in columns for m, q in (("l", low), ("h", high))}), list(keys), "left")
     for c in columns:
         fit = fit.where(C(c).isNull() | ((C(c) >= C(f"__l_{c}")) & (C(c) <= C(f"__h_{c}"))))
     return _order(fit.select(*df.columns), columns)

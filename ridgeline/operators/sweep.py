@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import inspect
+import json
 import random
+import time
 from collections.abc import Callable, Iterator, Sequence
 from math import prod
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.functions.columns import Series
+from ridgeline.operators.prep import SPLITS
 
 
 class ParamSpace:
@@ -65,96 +70,86 @@ def compute_features(df: DataFrame, steps: Sequence[tuple[Callable, dict]], roun
     return df
 
 
-# models on numpy, one round in one task
+# training: one round on one series in one task
 
 
-def fit_logistic(x, y, c: float = 1.0, zero_weight: float = 1.0, rounds: int = 50):
-    """Newton steps for weighted logistic regression with an L2 penalty 1 / c (not on the bias)."""
-    import numpy as np
-
-    x1 = np.column_stack([x, np.ones(len(x))])
-    w = np.where(y == 1, 1.0, zero_weight)
-    beta, penalty = np.zeros(x1.shape[1]), np.full(x1.shape[1], 1.0 / c)
-    penalty[-1] = 1e-9
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ beta, -30, 30)))
-        grad = x1.T @ (w * (p - y)) + penalty * beta
-        step = np.linalg.solve((x1.T * (w * p * (1 - p))) @ x1 + np.diag(penalty + 1e-9), grad)
-        beta -= step
-        if np.abs(step).max() < 1e-10:
-            break
-    return lambda z: 1 / (1 + np.exp(-np.clip(np.column_stack([z, np.ones(len(z))]) @ beta, -30, 30)))
-
-
-def fit_boosted(x, y, rounds: int = 50, rate: float = 0.1, x_val=None, y_val=None, patience: int = 10):
-    """Boosted stumps for squared loss, stopped early on the validation rows."""
-    import numpy as np
+def model_arguments(model: Callable, params: dict) -> dict[str, Any]:
+    """The round's parameters that the model takes; one without a default must be there."""
+    out = {}
+    for name, p in list(inspect.signature(model).parameters.items())[1:]:
+        if name in params:
+            out[name] = params[name]
+        elif p.default is inspect.Parameter.empty:
+            raise ValueError(f"the model's parameter {name} is missing from the round")
+    return out
 
-    base, f, stumps = float(np.mean(y)), np.full(len(y), float(np.mean(y))), []
-    edges = [np.unique(np.quantile(c, np.linspace(0.05, 0.95, 19))) for c in x.T]
-    predict = lambda z, n=None: base + sum((np.where(z[:, j] <= t, a, b) for j, t, a, b in stumps[:n]), np.zeros(len(z)))
-    best, best_n = np.inf, 0
-    for _ in range(rounds):
-        r, top = y - f, None
-        for j, cuts in enumerate(edges):
-            left = x[:, j][:, None] <= cuts[None, :]
-            n = left.sum(axis=0)
-            s = r @ left
-            gain = s**2 / np.maximum(n, 1) + (r.sum() - s) ** 2 / np.maximum(len(r) - n, 1)
-            i = int(gain.argmax())
-            if top is None or gain[i] > top[0]:
-                top = (gain[i], j, cuts[i], rate * s[i] / max(n[i], 1), rate * (r.sum() - s[i]) / max(len(r) - n[i], 1))
-        stumps.append(top[1:])
-        f = f + np.where(x[:, top[1]] <= top[2], top[3], top[4])
-        if x_val is not None and len(x_val):
-            loss = float(np.mean((predict(x_val) - y_val) ** 2))
-            if loss < best:
-                best, best_n = loss, len(stumps)
-            elif len(stumps) - best_n >= patience:
-                break
-    kept = best_n if x_val is not None and len(x_val) else len(stumps)
-    return lambda z: predict(z, kept)
 
+def train_rounds(packed: DataFrame, rounds: dict[int, tuple[Callable, dict, list[str], Callable | None]], keys: Sequence[str]) -> DataFrame:
+    """One row per round and series: round_id, keys, seconds, extras (JSON), rows (datetime, prediction, proba, actual of the test split).
 
-def run_sweep(prepared: DataFrame, rounds: Sequence[dict], features: Callable[[dict], Sequence[str]], target: Callable[[dict], str], model: str = "logreg", keys: Sequence[str] = ("series",)) -> DataFrame:
-    """Predictions on the test split: round_id, keys, datetime, proba, prediction, actual.
-
-    prepared: keys, datetime, split and all feature and target columns, computed
-    once for all rounds. Each (round, series) is one task's group of that series'
-    rows; features are standardised with the training split's figures.
+    rounds: by round_id the model, its arguments, the features' names and an extension of the data. Rows
+    with a null, NaN or infinite number are left out; a series that then has no two training rows or no
+    test row in a round gives no row.
     """
-    spark = prepared.sparkSession
-    need = sorted({c for p in rounds for c in [*features(p), target(p)]})
-    plan = spark.createDataFrame([(i,) for i in range(len(rounds))], "round_id int")
-    schema = T.StructType([T.StructField("round_id", T.IntegerType())] + [prepared.schema[k] for k in keys] + [prepared.schema["datetime"]] + [T.StructField(n, T.DoubleType()) for n in ("proba", "prediction", "actual")])
-    specs = [(list(features(p)), target(p), dict(p)) for p in rounds]
+    spec = T.StructType([T.StructField("round_id", T.IntegerType()), *(packed.schema[k] for k in keys), T.StructField("seconds", T.DoubleType()), T.StructField("extras", T.StringType())])
+    test_row = T.StructType([packed.schema["datetime"], *(T.StructField(c, T.DoubleType()) for c in ("prediction", "proba", "actual"))])
+    schema = T.StructType([*spec.fields, T.StructField("rows", T.ArrayType(test_row))])
 
     def train(pdf):
         import numpy as np
         import pandas as pd
 
-        cols, y_col, p = specs[int(pdf["round_id"].iloc[0])]
-        pdf = pdf.dropna(subset=[*cols, y_col]).sort_values("datetime")
-        part = {s: pdf[pdf["split"] == s] for s in ("train", "val", "test")}
-        if len(part["train"]) < 10 or part["train"][y_col].nunique() < 2 or not len(part["test"]):
+        began = time.time()
+        model, arguments, features, extension = rounds[int(pdf["round_id"].iloc[0])]
+        pdf = pdf[np.isfinite(np.column_stack([np.array(pdf["x"].to_list(), float), pdf["y"].to_numpy(float)])).all(axis=1)].sort_values("datetime", kind="stable")
+        part = {s: pdf[pdf["split"] == s] for s in SPLITS}
+        if len(part["train"]) < 2 or not len(part["test"]):
             return pd.DataFrame(columns=schema.names)
-        x = {s: d[cols].to_numpy(float) for s, d in part.items()}
-        mu, sd = x["train"].mean(axis=0), x["train"].std(axis=0)
-        x = {s: (v - mu) / np.where(sd == 0, 1, sd) for s, v in x.items()}
-        y = {s: d[y_col].to_numpy(float) for s, d in part.items()}
-        if model == "logreg":
-            out = fit_logistic(x["train"], y["train"], float(p.get("c", 1.0)), float(p.get("class_weight", 1.0)))(x["test"])
-            predicted = (out >= 0.5).astype(float)
-        elif model == "random":
-            rng = np.random.default_rng(int(p.get("seed", 0)))
-            out = rng.random(len(x["test"]))
-            predicted = (rng.random(len(out)) >= float(p.get("random_weight", 0.5))).astype(float)
-        else:
-            out = predicted = fit_boosted(x["train"], y["train"], int(p.get("rounds", 50)), float(p.get("rate", 0.1)), x["val"], y["val"])(x["test"])
-        return part["test"].assign(proba=out, prediction=predicted, actual=y["test"])[schema.names]
+        data: dict[str, Any] = {"features": features}
+        for s, own in part.items():
+            data[f"x_{s}"] = np.stack(own["x"].to_list()) if len(own) else np.zeros((0, len(features)))
+            data[f"y_{s}"] = own["y"].to_numpy(float)
+        if extension is not None:
+            data = extension(data, arguments)
+        got = model(data, **arguments)
+        rows = [{"datetime": t, "prediction": float(p), "proba": float(q), "actual": float(a)} for t, p, q, a in zip(part["test"]["datetime"], got["prediction"], got.get("proba", got["prediction"]), data["y_test"], strict=True)]
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in ("round_id", *keys)), round(time.time() - began, 3), json.dumps(got.get("extras", {})), rows]], columns=schema.names)
+
+    return packed.groupBy("round_id", *keys).applyInPandas(train, schema)
+
+
+def _standardised(data: dict) -> dict:
+    import numpy as np
+
+    mu, sd = data["x_train"].mean(axis=0), data["x_train"].std(axis=0)
+    return data | {k: (data[k] - mu) / np.where(sd == 0, 1, sd) for k in ("x_train", "x_val", "x_test")}
+
+
+def _sweep_model(name: str, p: dict) -> Callable:
+    """The models of run_sweep by name, with a round's parameters."""
+    from ridgeline.operators import models
 
-    rows = prepared.select(*keys, "datetime", "split", *need).join(F.broadcast(plan))  # rounds are as few as the driver listed
-    return rows.groupBy("round_id", *keys).applyInPandas(train, schema)
+    if name == "logreg":
+        return lambda data: models.logreg_binary(_standardised(data), float(p.get("c", 1.0)), float(p.get("class_weight", 1.0)), 50, 1e-10)
+    if name == "random":
+        return lambda data: models.random_binary(data, float(p.get("random_weight", 0.5)), int(p.get("seed", 0)))
+    if name != "boosted":
+        raise ValueError(f"unknown model: {name}")
+    own = {k: p[k] for k in ("learning_rate", "max_depth", "n_estimators", "min_child_weight", "subsample", "colsample_bytree", "gamma", "reg_alpha", "reg_lambda", "early_stopping_rounds") if k in p}
+    return lambda data: models.boosted_regressor(_standardised(data), **{"learning_rate": 0.1, "n_estimators": 50, "early_stopping_rounds": 10, **own})
+
+
+def run_sweep(prepared: DataFrame, rounds: Sequence[dict], features: Callable[[dict], Sequence[str]], target: Callable[[dict], str], model: str = "logreg", keys: Sequence[str] = ("series",)) -> DataFrame:
+    """Predictions on the test split: round_id, keys, datetime, prediction, proba, actual.
+
+    prepared: keys, datetime, split and all feature and target columns, computed
+    once for all rounds. Each round takes its own columns of a row along, packed; each
+    (round, series) is one task's group. Features are standardised with the training split's figures.
+    """
+    packs = [F.struct(F.lit(i).alias("round_id"), F.array(*(F.col(c).cast("double") for c in features(p))).alias("x"), F.col(target(p)).cast("double").alias("y")) for i, p in enumerate(rounds)]
+    packed = prepared.select(*keys, "datetime", "split", F.explode(F.array(*packs)).alias("p")).select(*keys, "datetime", "split", "p.*").where("y IS NOT NULL")
+    got = train_rounds(packed, {i: (_sweep_model(model, p), {}, list(features(p)), None) for i, p in enumerate(rounds)}, keys)
+    return got.select("round_id", *keys, F.explode("rows").alias("r")).select("round_id", *keys, "r.*")
 
 
 def experiment_log(metrics: DataFrame, rounds: Sequence[dict]) -> DataFrame:
@@ -164,16 +159,36 @@ def experiment_log(metrics: DataFrame, rounds: Sequence[dict]) -> DataFrame:
     return metrics.join(F.broadcast(metrics.sparkSession.createDataFrame(rows, ["round_id", *names])), "round_id")
 
 
-def calibrate(df: DataFrame, proba: str = "proba", actual: str = "actual", method: str = "sigmoid") -> DataFrame:
-    """Fit a calibration on the validation split and add `calibrated` to all rows."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import IsotonicRegression
+def calibrate(df: DataFrame, proba: str = "proba", actual: str = "actual", method: str = "isotonic", keys: Sequence[str] = ("round_id",)) -> DataFrame:
+    """Add `calibrated`: each model's probabilities after a calibration fitted on its validation rows (isotonic or sigmoid).
 
-    rows = VectorAssembler(inputCols=[proba], outputCol="__x").transform(df.withColumn("__y", F.col(actual).cast("double")))
-    val = rows.where(F.col("split") == "val")
-    if method == "isotonic":
-        return IsotonicRegression(featuresCol="__x", labelCol="__y", predictionCol="calibrated").fit(val).transform(rows).drop("__x", "__y")
-    fitted = LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__p").fit(val).transform(rows)
-    return fitted.withColumn("calibrated", vector_to_array("__p")[1]).drop("__x", "__y", "__p", "rawPrediction", "prediction")
+    A model's distinct probabilities are counted before they meet in one task. Models without validation rows get null.
+    """
+    from ridgeline.operators import models
+
+    if method not in ("isotonic", "sigmoid"):
+        raise ValueError("method must be isotonic or sigmoid")
+    keys = list(keys)
+    counted = df.where(F.col("split") == "val").groupBy(*keys, F.col(proba).cast("double").alias("x")).agg(F.count("*").alias("n"), F.sum(F.col(actual).cast("double")).alias("good")).where("x IS NOT NULL AND good IS NOT NULL")
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("__xs", T.ArrayType(T.DoubleType())), T.StructField("__ys", T.ArrayType(T.DoubleType()))])
+
+    def fit(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        x, good, n = (pdf[c].to_numpy(float) for c in ("x", "good", "n"))
+        if method == "isotonic":
+            xs, ys = models.isotonic(x, good / n, n)
+        else:
+            xs, ys = [0.0], models.platt(np.concatenate([x, x]), np.repeat([1.0, 0.0], len(x)), np.concatenate([good, n - good]))
+        return pd.DataFrame([[*key, list(map(float, xs)), list(map(float, ys))]], columns=schema.names)
+
+    rows = df.join(counted.groupBy(*keys).applyInPandas(fit, schema), keys, "left")
+    x = F.col(proba).cast("double")
+    if method == "sigmoid":
+        out = 1 / (1 + F.exp(-(F.element_at("__ys", 1) * x + F.element_at("__ys", 2))))
+    else:  # between two breakpoints a line, outside of them the nearest
+        at = F.size(F.filter("__xs", lambda v: v <= x))
+        x0, x1, y0, y1 = (F.try_element_at(c, at + d) for c in ("__xs", "__ys") for d in (0, 1))
+        out = F.when(at == 0, F.element_at("__ys", 1)).when(at >= F.size("__xs"), F.element_at("__ys", -1)).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
+    return rows.withColumn("calibrated", F.when(x.isNotNull(), out)).drop("__xs", "__ys")

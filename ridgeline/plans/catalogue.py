@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.columns import Series, drop_null_rows, finite, q_nearest
 from ridgeline.operators import evaluation as ev
+from ridgeline.operators import experiment as ex
 from ridgeline.operators import features as ft
-from ridgeline.operators import flux, pools, prep, spans, sweep
+from ridgeline.operators import flux, pools, prep, spans, specs, sweep
 from ridgeline.operators import indicators as ind
 from ridgeline.operators.bars import compute_bars
 from ridgeline.operators.klines import klines
@@ -187,7 +188,7 @@ def split_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.split_random(hourly(spark, sf_dir), seed=7).groupBy("series", "split").agg(F.count("*").alias("n"))
+    return prep.split_random(hourly(spark, sf_dir), seed=7).select("series", "datetime", "split")
 
 
 def random_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,7 +355,35 @@ def sequential_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = predictions(spark, sf_dir).withColumn("split", F.when(F.hour("datetime") % 2 == 0, "val").otherwise("test"))
-    return sweep.calibrate(df).select("round_id", "datetime", "calibrated")
+    return show(sweep.calibrate(df), ["calibrated"], ("round_id", "datetime"))
+
+
+# experiments by manifest
+
+
+def _bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hourly(spark, sf_dir).select("series", "datetime", "open", "high", "low", "close", "volume", "maker_ratio", "no_of_trades")
+
+
+def manifest_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a manifest makes of the bars: split, feature, fitted target, scaling."""
+    m = ex.Manifest().add_indicator(ind.roc, period="p").with_target("flag").add_fitted_transform(ex.flag_above).fit_param("_cut", ex.quantile_cutoff, col="roc_{p}", q="q").with_params(target_column="target_column", col="roc_{p}", cutoff="_cut")
+    m = m.add_transform(ex.shifted, column="target_column", shift="shift").done().set_scaler(prep.exact_rules(prep.LOGREG_NAMES))
+    found = m.prepare(hourly(spark, sf_dir).select("series", "datetime", "close", "volume"), {"p": 4, "q": 0.3, "shift": -1})
+    return show(found.rows, ["close", "volume", "roc_4", "flag"], others=("split",))
+
+
+def _experiment(name: str, params: dict, metrics: Callable = ev.binary_metrics, n: int = 2) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spec = specs.SPECS[name]
+        return ex.Experiment(spec, _bars_of(spark, sf_dir)).run(n, seed=3, params={**spec.params(), **params}).log(metrics).drop("seconds")
+
+    return run
+
+
+def manifest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = specs.SPECS["random"]
+    return ex.Experiment(spec, _bars_of(spark, sf_dir)).run(2, seed=3).confusion("price_change")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -374,7 +403,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "threshold_sweep": _eval(ev.optimize_threshold, ["threshold", "balanced"]), "confusion_metrics": _eval(lambda d: ev.confusion_metrics(d, "price_change"), CONFUSION), "backtest_snapshot": _eval(ev.backtest_snapshot, SNAPSHOT),
         "rank_correlation": _eval(lambda d: ev.rank_correlation(d, "close", "volume"), ["correlation"]), "confidence_filter": confidence_filter, "aggregate_predictions": aggregate_predictions, "iqr_filter": iqr_filter,
         "sweep_logreg": sweep_logreg, "sweep_random": sweep_random, "sweep_boosted": sweep_boosted, "sweep_backtest": sweep_backtest, "parameter_correlation": parameter_correlation, "pools_offline": pools_offline, "pools_online": pools_online,
-        "sequential_backtest": sequential_backtest, "calibrate": calibrated, "flagship": flagship,
+        "sequential_backtest": sequential_backtest, "calibrate": calibrated, "flagship": lambda spark, sf_dir: show(flagship(spark, sf_dir), ["close", "roc_4", "atr_14", "vwap", "imbalance", "quantile_flag"], others=("split",)),
+        "threshold_f1": _eval(lambda d: ev.optimize_threshold(d, metric="f1"), ["threshold", "f1"]), "threshold_default": _eval(lambda d: ev.optimize_threshold(d.withColumn("proba", C("proba") / 10)), ["threshold", "balanced"]),
+        "iqr_filter_constant": lambda spark, sf_dir: show(pools.iqr_filter(hourly(spark, sf_dir).withColumn("flat", (C("close") > 450).cast("int")), ["flat", "std"]), ["flat", "std"]),
+        "manifest_prepared": manifest_prepared, "manifest_logreg": _experiment("logreg", {"roc_period": [1, 4, 12], "shift": [-1, -2]}), "manifest_random": _experiment("random", {}),
+        "manifest_boosted": _experiment("boosted", {"n_estimators": [30], "learning_rate": [0.1]}, ev.continuous_metrics), "manifest_calibrated": _experiment("calibrated", {"forward_periods": [2, 4]}), "manifest_confusion": manifest_confusion,
     }
     return out
 

@@ -193,6 +193,54 @@ def _slice_start() -> int:
     return int(np.random.default_rng(3).integers(50, 350 + 1))
 
 
+def _threshold(score: str = "tp / pp * sqrt(pp / n)", name: str = "balanced", proba: str = "proba") -> str:
+    """The best of the tried thresholds (the first of equal ones), or 0.35 and -1 where none gives a positive."""
+    import numpy as np
+
+    tried = ", ".join(f"{t!r}::DOUBLE" for t in np.arange(0.20, 0.70 + 0.05, 0.05).tolist())
+    return f"""WITH p AS (SELECT round_id, actual, {proba} AS q FROM ({PRED})), s AS (SELECT round_id, t, count(*) FILTER (q >= t AND actual = 1) AS tp, count(*) FILTER (q >= t) AS pp, count(*) FILTER (actual = 1) AS yes, count(*) AS n
+  FROM p, (SELECT unnest([{tried}]) AS t) GROUP BY 1, 2), b AS (SELECT *, CASE WHEN pp > 0 THEN {score} END AS m FROM s)
+SELECT round_id, {_r('coalesce(arg_max(t, (m, -t)) FILTER (m IS NOT NULL), 0.35)', 'threshold')}, {_r('coalesce(max(m), -1)', name)} FROM b GROUP BY 1"""
+
+
+def _iqr(base: str, columns: list[str], factor: float) -> str:
+    """Outliers column after column; equal quartiles filter nothing."""
+    sql, name = f"WITH x0 AS ({base})", "x0"
+    for i, c in enumerate(columns, 1):
+        sql += f", q{i} AS (SELECT {near(c, 0.25)} AS l, {near(c, 0.75)} AS h FROM {name}), x{i} AS (SELECT {name}.* FROM {name}, q{i} WHERE l = h OR {c} BETWEEN l - {factor} * (h - l) AND h + {factor} * (h - l))"
+        name = f"x{i}"
+    return f"{sql} SELECT series, datetime, {', '.join(_r(c, c) for c in columns)} FROM {name}"
+
+
+#: Isotonic regression as the greatest of least means: y(i) = max over a <= i of min over b >= i of the mean of a..b; then a line between points.
+CALIBRATED = f"""WITH p AS ({PRED}), v AS (SELECT round_id, proba AS x, count(*)::DOUBLE AS n, sum(actual)::DOUBLE AS g FROM p WHERE hour(datetime) % 2 = 0 GROUP BY 1, 2),
+c AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(g) OVER w AS cg FROM v WINDOW w AS (PARTITION BY round_id ORDER BY x)),
+m AS (SELECT k.round_id, k.i, a.i AS lo, min((b.cg - a.cg + a.g) / (b.cn - a.cn + a.n)) AS least FROM c k JOIN c a ON a.round_id = k.round_id AND a.i <= k.i JOIN c b ON b.round_id = k.round_id AND b.i >= k.i GROUP BY 1, 2, 3),
+y AS (SELECT round_id, i, max(least) AS y FROM m GROUP BY 1, 2),
+t AS (SELECT round_id, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM c JOIN y USING (round_id, i) WINDOW w AS (PARTITION BY round_id ORDER BY x)),
+f AS (SELECT round_id, min(y) AS first FROM y GROUP BY 1)
+SELECT p.round_id, p.datetime, {_r('CASE WHEN t.x IS NULL THEN f.first WHEN nx IS NULL THEN t.y ELSE t.y + (ny - t.y) * (p.proba - t.x) / (nx - t.x) END', 'calibrated')}
+FROM p ASOF LEFT JOIN t ON p.round_id = t.round_id AND p.proba >= t.x JOIN f ON f.round_id = p.round_id"""
+
+SPLIT_RANDOM = f"""WITH r AS (SELECT series, datetime, row_number() OVER (PARTITION BY series ORDER BY md5('7:' || datetime::VARCHAR), datetime) - 1 AS p, count(*) OVER (PARTITION BY series) AS n FROM ({K}))
+SELECT series, datetime, CASE WHEN p < floor(n * 8 / 11) THEN 'train' WHEN p < floor(n * 8 / 11) + floor(n * 1 / 11) THEN 'val' ELSE 'test' END AS split FROM r"""
+
+PREPARED = f"""WITH p AS (SELECT series, datetime, split, close, volume, {_ROC4} AS x FROM ({SPLIT})), c AS (SELECT series, {near('x', 1.0 - 0.3)} AS cut FROM p WHERE split = 'train' GROUP BY series),
+f AS (SELECT p.*, (x > cut)::INT AS y FROM p JOIN c USING (series)), g AS (SELECT *, lead(y) OVER (PARTITION BY series, split ORDER BY datetime) AS flag FROM f), k AS (SELECT * FROM g WHERE x IS NOT NULL AND flag IS NOT NULL),
+s AS (SELECT series, avg(close) AS mc, stddev_pop(close) AS sc, avg(ln(1 + volume)) AS mv, stddev_pop(ln(1 + volume)) AS sv FROM k WHERE split = 'train' GROUP BY series)
+SELECT series, datetime, split, {_r('(close - mc) / sc', 'close')}, {_r('(ln(1 + volume) - mv) / sv', 'volume')}, {_r('x', 'roc_4')}, {_r('flag', 'flag')} FROM k JOIN s USING (series)"""
+
+
+def _flagship() -> str:
+    bars = klines(3600, f"SELECT * REPLACE ('all' AS series) FROM ({TRADES})")
+    split = f"SELECT * EXCLUDE (series), CASE WHEN i < floor(cnt * 8 / 11) THEN 'train' WHEN i < floor(cnt * 8 / 11) + floor(cnt * 1 / 11) THEN 'val' ELSE 'test' END AS series FROM (SELECT *, row_number() OVER (ORDER BY datetime) - 1 AS i, count(*) OVER () AS cnt FROM ({bars}))"
+    day = "OVER (PARTITION BY series, datetime::DATE ORDER BY datetime ROWS UNBOUNDED PRECEDING)"
+    steps = [{"tr": TR, "x": "(1 - 2 * maker_ratio) * no_of_trades"}, {"roc_4": f"{change('close', 4)} * 100", "atr_14": ewm("tr", 1 / 14), "vwap": f"sum(close * volume) {day} / sum(volume) {day}", "imbalance": f"sum(x) {rows(14)}"}]
+    steps += [{"flag": f"(roc_4 > (SELECT {near('roc_4', 1.0 - 0.3)} FROM b2 WHERE series = 'train'))::INT"}, {"quantile_flag": lag("flag", -1), "split": "series", "one": "'all'"}]
+    out = stages(split, steps, ["close", "roc_4", "atr_14", "vwap", "imbalance", "quantile_flag"], keys="one AS series, datetime, split", where="roc_4 IS NOT NULL AND atr_14 IS NOT NULL AND imbalance IS NOT NULL AND quantile_flag IS NOT NULL")
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (steps, result, *where) in OVER_KLINES.items():
@@ -232,12 +280,12 @@ def oracle_sql() -> dict[str, str]:
         "ovr_auc": f"WITH p AS ({cls}), a AS (" + " UNION ALL ".join(_auc(f"(actual = {c})::INT", s, "SELECT * FROM p") for c, s in ((0, "open"), (1, "close"), (2, "volume"))) + f") SELECT round_id, {_r('avg(auc)', 'auc')} FROM a GROUP BY 1",
         "continuous_metrics": f"WITH p AS (SELECT *, close - target AS e FROM ({PRED})) SELECT round_id, {_r('avg(e)', 'bias')}, {_r('avg(abs(e))', 'mae')}, {_r('sqrt(avg(e * e))', 'rmse')}, {_r('1 - sum(e * e) / (var_pop(target) * count(*))', 'r2')}, {_r('avg(abs(e) / abs(target)) * 100', 'mape')} FROM p GROUP BY 1",
         "balanced_metric": f"SELECT round_id, {_r('tp / (tp + fp) * sqrt((tp + fp) / n)', 'balanced')} FROM (SELECT round_id, {counts} FROM ({PRED}) GROUP BY 1)",
-        "threshold_sweep": f"WITH s AS (SELECT round_id, t, count(*) FILTER (proba >= t AND actual = 1) AS tp, count(*) FILTER (proba >= t) AS pp, count(*) AS n FROM ({PRED}), (SELECT round(0.2 + 0.05 * i, 10)::DOUBLE AS t FROM range(11) r(i)) GROUP BY 1, 2), b AS (SELECT *, tp / pp * sqrt(pp / n) AS m FROM s WHERE pp > 0) SELECT round_id, {_r('arg_max(t, (m, -t))', 'threshold')}, {_r('max(m)', 'balanced')} FROM b GROUP BY 1",
+        "threshold_sweep": _threshold(), "threshold_f1": _threshold("2 * tp / (pp + yes)", "f1"), "threshold_default": _threshold(proba="proba / 10"),
         "confusion_metrics": CONFUSION, "backtest_snapshot": SNAPSHOT,
         "rank_correlation": f"WITH r AS (SELECT round_id, rank() OVER (PARTITION BY round_id ORDER BY close) + (count(*) OVER (PARTITION BY round_id, close) - 1) / 2.0 AS a, rank() OVER (PARTITION BY round_id ORDER BY volume) + (count(*) OVER (PARTITION BY round_id, volume) - 1) / 2.0 AS b FROM ({PRED})) SELECT round_id, {_r('corr(a, b)', 'correlation')} FROM r GROUP BY 1",
         "confidence_filter": f"WITH m AS (SELECT round_id, datetime, hour(datetime) % 2 = 0 AS val, target, avg(close * (1 + 0.01 * i) + i * maker_ratio) AS p, stddev_pop(close * (1 + 0.01 * i) + i * maker_ratio) AS u FROM ({PRED}), range(3) r(i) GROUP BY ALL), t AS (SELECT quantile_cont(u, 0.8) AS t FROM m WHERE val) SELECT round_id, datetime, u <= t AS is_confident, {_r('p', 'prediction')}, {_r('u', 'uncertainty')}, {_r('t', 'confidence_threshold')}, {_r('target', 'actual_value')}, {_r('1 / (1 + u)', 'confidence_score')} FROM m, t WHERE NOT val",
         "aggregate_predictions": f"WITH p AS ({PRED}) SELECT 'mean' AS how, datetime, {_r('avg(prediction)', 'prediction')} FROM p GROUP BY 2 UNION ALL SELECT 'median', datetime, {_r('median(prediction)', 'prediction')} FROM p GROUP BY 2 UNION ALL SELECT 'majority', datetime, arg_max(prediction, (n, f))::DOUBLE FROM (SELECT datetime, prediction, count(*) AS n, max(-substr(round_id, 2, 1)::INT) AS f FROM p GROUP BY 1, 2) GROUP BY 2",
-        "iqr_filter": f"WITH a AS ({K}), qa AS (SELECT {near('volume', 0.25)} AS l, {near('volume', 0.75)} AS h FROM a), b AS (SELECT a.* FROM a, qa WHERE volume BETWEEN l - 0.5 * (h - l) AND h + 0.5 * (h - l)), qb AS (SELECT {near('std', 0.25)} AS l, {near('std', 0.75)} AS h FROM b) SELECT series, datetime, {_r('volume', 'volume')}, {_r('std', 'std')} FROM b, qb WHERE std BETWEEN l - 0.5 * (h - l) AND h + 0.5 * (h - l)",
+        "iqr_filter": _iqr(K, ["volume", "std"], 0.5), "iqr_filter_constant": _iqr(f"SELECT *, (close > 450)::INT AS flat FROM ({K})", ["flat", "std"], 3.0), "calibrate": CALIBRATED, "split_random": SPLIT_RANDOM, "manifest_prepared": PREPARED, "flagship": _flagship(),
     }
     return out
 

@@ -6,8 +6,10 @@ quantity, is_buyer_maker.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import io
+import sqlite3
 import zipfile
 from collections.abc import Iterator
 
@@ -49,7 +51,7 @@ def read_zipped_csv(spark: SparkSession, path: str, columns: str, has_header: bo
             for content in pdf["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     name = next(n for n in z.namelist() if n.endswith(".csv"))
-                    yield pd.read_csv(z.open(name), header=0 if has_header else None, names=schema.fieldNames())
+                    yield from pd.read_csv(z.open(name), header=0 if has_header else None, names=schema.fieldNames(), chunksize=100_000)
 
     return normalise(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema))
 
@@ -88,6 +90,14 @@ def write_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
 
+def to_sqlite(log: DataFrame, path: str, table: str) -> None:
+    """Append an experiment's log, which has a row per round, to a table of an SQLite file on the driver; rows come one partition at a time."""
+    with contextlib.closing(sqlite3.connect(path)) as con, con:
+        names = ", ".join(f'"{c}"' for c in log.columns)
+        con.execute(f'CREATE TABLE IF NOT EXISTS "{table}" ({names})')
+        con.executemany(f'INSERT INTO "{table}" ({names}) VALUES ({", ".join("?" * len(log.columns))})', (tuple(r) for r in log.toLocalIterator()))
+
+
 def read_log(spark: SparkSession, path: str, schema: str, marker: str = "recall") -> DataFrame:
     """A CSV log; repeated header lines (they start with the marker) are dropped and strings trimmed."""
     lines = spark.read.text(path).where(~F.col("value").startswith(marker) & (F.trim("value") != ""))

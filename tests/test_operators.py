@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.columns import Series
 from ridgeline.operators import evaluation as ev
-from ridgeline.operators import features, pools, prep, spans, sweep
+from ridgeline.operators import features, models, pools, prep, spans, sweep
 from ridgeline.operators.bars import bar_groups, compute_bars
 from ridgeline.operators.klines import klines
 from ridgeline.operators.ledger import Account, run_backtest
@@ -123,9 +123,9 @@ def test_models_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
     y = (x[:, 0] - x[:, 1] > 0).astype(float)
-    assert ((sweep.fit_logistic(x, y)(x) > 0.5) == y).mean() > 0.95
+    assert ((models.fit_logistic(x, y)(x) > 0.5) == y).mean() > 0.95
     z = x[:, 0] * 2
-    assert np.mean((sweep.fit_boosted(x, z, 80, 0.3, x, z)(x) - z) ** 2) < 0.2 * z.var()
+    assert np.mean((models.fit_boosted(x, z, x, z, learning_rate=0.3, n_estimators=80)(x) - z) ** 2) < 0.2 * z.var()
 
 
 def test_majority_tie_goes_to_the_first(spark):
