@@ -10,31 +10,39 @@ the best ones before and after it, and so on) counts as a leak when at least
 verbatim overlap of `min_words` words is found, because every mask spans fewer.
 Items shorter than a mask are looked up whole.
 
-The benchmark is used in blocks of at most `block_items` items whose index is
-broadcast: its size is bounded by the parameter; more items mean more passes.
+The benchmark is used in blocks of at most `block_items` items and BLOCK_WORDS words (or
+one longer item) whose index is built by the driver and broadcast: its size is bounded by
+the parameters; more items mean more passes over the documents, each of which is
+written and its broadcast released before the next block is read.
 
 Defined results: null or empty texts and items match nothing; repeated items and
-documents each get their own rows, also under null ids. Very long texts are scanned whole.
+documents each get their own rows, also under null ids. Ids may have any type. Very long
+texts are scanned whole; where many items share a seed, their hits are expanded in
+pieces of bounded size. Other columns are ignored; a document id column that is called
+like a column of the result gets `document_` before its name. An empty benchmark or no
+documents give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ridgeline.llm import textkit
 from ridgeline.llm.lineage import cut
+from ridgeline.llm.sentencepiece_codec import _spread
 
 #: Fixed masks: 1 looks at the word, 0 ignores it. Each spans at most MIN_WORDS words.
 MASKS = ("11111111", "1101100101011", "110010111011", "1110010110111")
 MIN_WORDS, MISMATCH, BLOCK_ITEMS, BLOCK_WORDS = 13, 3, 20_000, 2_000_000
-COLUMNS = (("item_id", T.LongType()), ("doc_begin", T.LongType()), ("doc_end", T.LongType()), ("item_begin", T.LongType()), ("item_end", T.LongType()), ("n_matched", T.LongType()))
-_FILTER_BITS = 22
+COLUMNS = ("doc_begin", "doc_end", "item_begin", "item_end", "n_matched")
+_FILTER_BITS, _MOST_HITS = 22, 1 << 20
 
 
 def masked(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -69,7 +77,7 @@ def runs(scores: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
 class Index:
     """Seeds of some benchmark items, sorted, with the places that they stand for."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], masks: tuple[str, ...] = MASKS):
+    def __init__(self, ids: list, texts: list[str | None], masks: tuple[str, ...] = MASKS):
         column = textkit.utf8(pa.array(texts, pa.string()))
         parts = [(w.hashes(lower=True), np.diff(w.first)) for w in textkit.words(column)]
         self.hashes = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
@@ -106,18 +114,24 @@ class Index:
             at = np.flatnonzero(self.filter[h & low])
             at = at[at + len(mask) <= w.first[of[at] + 1]]
             lo, hi = np.searchsorted(self.seeds, h[at], "left"), np.searchsorted(self.seeds, h[at], "right")
-            n = hi - lo
-            at = np.repeat(at, n)
-            place = self.places[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))] if len(n) else np.zeros(0, int)
-            item = self.of[place]
-            texts.append(of[at])
-            items.append(item)
-            diagonals.append(at - w.first[of[at]] - place + self.first[item])
+            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            if not len(n):
+                continue
+            cuts = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()), _MOST_HITS))
+            for a, b in zip(cuts, np.append(cuts[1:], len(n)), strict=True):
+                own, place = np.repeat(at[a:b], n[a:b]), self.places[_spread(lo[a:b], n[a:b])]
+                item = self.of[place]
+                found = np.unique(np.stack([of[own], item, own - w.first[of[own]] - place + self.first[item]]), axis=1)
+                texts.append(found[0])
+                items.append(found[1])
+                diagonals.append(found[2])
+        if not texts:
+            return (np.zeros(0, np.int64),) * 3
         found = np.unique(np.stack([np.concatenate(texts), np.concatenate(items), np.concatenate(diagonals)]), axis=1)
         return found[0], found[1], found[2]
 
-    def leaks(self, w: textkit.Words, min_words: int = MIN_WORDS) -> list[tuple]:
-        """(text, item id, word bounds in the text, word bounds in the item, equal words) of each verified overlap."""
+    def leaks(self, w: textkit.Words, min_words: int = MIN_WORDS) -> list[tuple[int, ...]]:
+        """(text, item's number, word bounds in the text, word bounds in the item, equal words) of each verified overlap."""
         hashes = w.hashes(lower=True)
         out = []
         if not len(hashes) or not len(self.seeds):
@@ -130,58 +144,71 @@ class Index:
             for begin, end in runs(np.where(equal, 1, -MISMATCH), max(least, 1)):
                 n = int(equal[begin:end].sum())
                 if n >= max(least, 1):
-                    out.append((text, self.ids[item], lo + diagonal + begin, lo + diagonal + end, lo + begin, lo + end, n))
+                    out.append((text, item, lo + diagonal + begin, lo + diagonal + end, lo + begin, lo + end, n))
         return out
 
 
-def _scans(docs: DataFrame, benchmark: DataFrame, item_id_col: str, item_text_col: str, block_items: int) -> Iterator:
-    """Broadcast indexes of the benchmark in blocks; at least one."""
-    broadcast = docs.sparkSession.sparkContext.broadcast
+def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, block_items: int) -> Iterator[Index]:
+    """Indexes of the benchmark's blocks; at least one."""
     ids, texts, n_words, made = [], [], 0, 0
-    for row in benchmark.select(item_id_col, item_text_col).orderBy(item_id_col, item_text_col).toLocalIterator():
+    for row in benchmark.select(F.col(item_id_col).alias("i"), F.col(item_text_col).alias("t")).orderBy("i", "t").toLocalIterator():
         if not row[1]:
             continue
         ids.append(row[0])
         texts.append(row[1])
         n_words += len(row[1].split())
         if len(ids) >= block_items or n_words >= BLOCK_WORDS:
-            yield broadcast(Index(ids, texts))
+            yield Index(ids, texts)
             ids, texts, n_words, made = [], [], 0, made + 1
     if ids or not made:
-        yield broadcast(Index(ids, texts))
+        yield Index(ids, texts)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_words: int = MIN_WORDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row per document, item and place where a sufficiently long overlap lies; no shuffle of documents."""
-    schema = T.StructType([docs.schema[id_col]] + [T.StructField(n, t) for n, t in COLUMNS])
-    frame = docs.select(docs[id_col], docs[text_col].alias("__text"))
+    name = f"document_{id_col}" if id_col in ("item_id", *COLUMNS) else id_col
+    schema = T.StructType([T.StructField(name, docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_id_col].dataType), *(T.StructField(c, T.LongType()) for c in COLUMNS)])
+    frame = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"))
+    item_type = to_arrow_type(schema["item_id"].dataType)
 
     def scan(index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = index.value
+            items = pa.array(own.ids, item_type)
             for batch in batches:
                 for w in textkit.words(textkit.utf8(batch.column(1))):
                     if found := own.leaks(w, min_words):
-                        ids = batch.column(0).take(pa.array([w.row + f[0] for f in found]))
-                        yield pa.RecordBatch.from_arrays([ids] + [pa.array([f[i] for f in found], pa.int64()) for i in range(1, 7)], names=[id_col, *(n for n, _ in COLUMNS)])
+                        text, item, *rest = zip(*found, strict=True)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([w.row + t for t in text])), items.take(pa.array(item)), *(pa.array(x, pa.int64()) for x in rest)], names=schema.names)
 
         return frame.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, map(scan, _scans(docs, benchmark, item_id_col, item_text_col, block_items)))
+    out = before = None
+    for index in _blocks(benchmark, item_id_col, item_text_col, block_items):
+        if before is not None:  # several blocks: one after the other
+            out = cut(out)
+            before.unpersist()
+        before = docs.sparkSession.sparkContext.broadcast(index)
+        out = scan(before) if out is None else out.unionByName(scan(before))
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_words: int = MIN_WORDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The documents without a leak, row by row, whatever their ids; where the benchmark takes several passes, the rows left are written between them."""
     at = docs.columns.index(text_col)
-    left = docs
-    for i, index in enumerate(_scans(docs, benchmark, item_id_col, item_text_col, block_items)):
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    left, before = docs, None
+    for index in _blocks(benchmark, item_id_col, item_text_col, block_items):
+        if before is not None:
+            left = cut(left)
+            before.unpersist()
+        before = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], index=before) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 stays = np.ones(batch.num_rows, bool)
                 for w in textkit.words(textkit.utf8(batch.column(at))):
                     stays[[w.row + f[0] for f in index.value.leaks(w, min_words)]] = False
                 yield batch.filter(pa.array(stays))
 
-        left = (cut(left) if i else left).mapInArrow(run, docs.schema)
+        left = left.mapInArrow(run, docs.schema)
     return left
