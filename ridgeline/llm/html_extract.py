@@ -18,9 +18,11 @@ for readers are never text. Nothing else is dropped or capped.
 
 Defined results: a null or empty page, or one without main text, gives the empty
 text. A head ends with its end tag or at the first thing that can't stand in it.
-Malformed markup is repaired as browsers do for unclosed and stray tags;
-nesting deeper than 400 is flattened. Input columns are kept; own columns replace
-columns of the same name.
+Tags are read by the attribute states of the HTML standard, each once; a tag cut off by
+the page's end is no text. Unclosed and stray tags are repaired as browsers do, at any
+depth. Very long pages are read whole, in time in proportion to their length. Repeated rows
+get the same text each. Input columns are kept; own columns replace columns of the same
+name. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from __future__ import annotations
 import functools
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ridgeline.llm import textkit
+from ridgeline.llm.lineage import kept_and
 
 TRAIN_PAGES, TREES, DEPTH, BINS, SHRINK = 500, 50, 4, 32, 0.25
 MIXED_COST = 0.7
-_DEEPEST = 400
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_S = "[\t\n\f\r ]"
+#: A tag by the tokenizer states of the HTML standard: name, then attributes of which each is a name and perhaps a double-quoted,
+#: single-quoted or unquoted value. Quantifiers never give back, so a tag is read once. A quote that nothing closes is part of an unquoted value.
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\t\n\f\r />]*+)((?:[\t\n\f\r /]++|[^\t\n\f\r />][^\t\n\f\r />=]*+(?:{_S}*+={_S}*+(?>\"[^\"]*+\"|'[^']*+'|[^\t\n\f\r >]++)?+)?+)*+)>")
+_COMMENT_END = re.compile("--!?>")
 _RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "video", "audio", "textarea", "select", "title"}
 #: Of these, the ones whose content runs to the end of the page if nothing ends it; after the others the page goes on.
 _TO_THE_END = {"script", "style", "template", "iframe", "textarea"}
@@ -71,9 +78,11 @@ _WORDS = {
 }
 _WORD = {w: i for i, words in enumerate(_WORDS.values()) for w in words.split()}
 _N_WORDS = len(_WORDS)
-_ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: One attribute of a tag, as in _TAG: name, and the value in one of three groups.
+_ATTR = re.compile(rf"([^\t\n\f\r />][^\t\n\f\r />=]*+)(?:{_S}*+={_S}*+(?>\"([^\"]*+)\"|'([^']*+)'|([^\t\n\f\r >]++))?+)?+")
+_NAMING = {"class", "id", "role", "itemprop", "aria-label", "data-component"}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
 class Page:
@@ -89,17 +98,47 @@ class Page:
 @functools.lru_cache(maxsize=20_000)
 def _tokens(attrs: str) -> tuple[int, bool]:
     """Which word groups the attributes name (bits), and whether they hide the element."""
-    bits = 0
+    bits, hidden = 0, False
     for m in _ATTR.finditer(attrs):
-        for w in _PART.findall(m[1] or m[2] or m[3] or ""):
-            if (i := _WORD.get(w.lower())) is not None:
-                bits |= 1 << i
-    return bits, bool(_HIDDEN.search(attrs))
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in _NAMING:
+            for w in _PART.findall(value):
+                if (i := _WORD.get(w.lower())) is not None:
+                    bits |= 1 << i
+        hidden = hidden or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and bool(_NOT_SHOWN.search(value)))
+    return bits, hidden
+
+
+def tokens(source: str) -> Generator[tuple[int, int, re.Match | None], int | None, None]:
+    """The markup of a page in order: begin, end, and the match of a tag (None for a comment and the like). What lies between is text.
+
+    A generator that takes the place to go on from, where the reader skips raw text.
+    """
+    at, n = 0, len(source)
+    while (at := source.find("<", at)) >= 0:
+        follows = source[at + 1 : at + 3]
+        m, end = None, n
+        if source.startswith("<!--", at):
+            if source.startswith((">", "->"), at + 4):  # the empty comment
+                end = source.index(">", at) + 1
+            elif found := _COMMENT_END.search(source, at + 4):
+                end = found.end()
+        elif follows[:1] in ("!", "?") or (follows[:1] == "/" and len(follows) == 2 and not (follows[1].isascii() and follows[1].isalpha())):
+            end = source.find(">", at) + 1 or n
+        elif m := _TAG.match(source, at):
+            end = m.end()
+        elif not (follows.lstrip("/")[:1].isascii() and follows.lstrip("/")[:1].isalpha()):  # a sign in the text
+            at += 1
+            continue
+        # a tag that the page's end cuts off is no text, as in browsers
+        went_on = yield at, end, m
+        at = end if went_on is None else went_on
 
 
 def parse(source: str) -> Page:
     page = Page()
-    stack: list[tuple[str, int]] = []  # open elements and their nodes (the nearest block's for inline ones)
+    stack: list[tuple[str, int, Counter]] = []  # open blocks, their nodes and open inline elements
+    opened: Counter = Counter()  # open blocks by tag
     pending: list[str] = []
     in_link = 0
     in_head = False
@@ -117,10 +156,18 @@ def parse(source: str) -> Page:
         return len(page.kind) - 1
 
     root = open_node("body", "", -1)
+    loose: Counter = Counter()  # inline elements outside all blocks
 
     def here() -> int:
         return stack[-1][1] if stack else root
 
+    def close() -> str:
+        nonlocal in_link
+        tag, _, inline = stack.pop()
+        opened[tag] -= 1
+        in_link -= inline["a"]
+        return tag
+
     def flush() -> None:
         if pending:
             text = " ".join(html.unescape("".join(pending)).split())
@@ -134,89 +181,77 @@ def parse(source: str) -> Page:
             if in_link:
                 page.links[here()] += len(raw)
 
-    at, n = 0, len(source)
-    while at < n:
-        m = _TOKEN.search(source, at)
-        if m is None:
-            text(source[at:])
-            break
-        text(source[at : m.start()])
-        in_head = in_head and not source[at : m.start()].strip()
-        at = m.end()
-        tag = m[2]
+    before, n = 0, len(source)
+    reader = tokens(source)
+    token = next(reader, None)
+    while token is not None:
+        begin, at, m = token
+        raw = source[before:begin]
+        text(raw)
+        in_head = in_head and not raw.strip()
+        before, skip = at, None
+        tag = m[2].lower() if m else None
         if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1]:  # an end tag
+            pass
+        elif m[1]:  # an end tag
             in_head = in_head and tag != "head"
+            inline = stack[-1][2] if stack else loose
             if tag == "br":
                 pending.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in _BLOCKS or any(t in _BLOCKS for t, _ in stack[i:]):
-                        if tag not in _BLOCKS:
-                            break  # an inline end tag ends no block
-                        flush()
-                    for t, _ in stack[i:]:
-                        in_link -= t == "a"
-                    del stack[i:]
-                    break
-            continue
-        attrs = m[3]
-        if tag == "head":
+            elif tag in _BLOCKS:
+                if opened[tag]:
+                    flush()
+                    while close() != tag:
+                        pass
+            elif inline[tag]:  # it ends no block
+                inline[tag] -= 1
+                in_link -= tag == "a"
+        elif tag == "head":
             in_head = True
-            continue
-        if in_head and tag in _IN_HEAD:
-            continue
-        if tag in _VOID:
+        elif in_head and tag in _IN_HEAD:
+            pass
+        elif tag in _VOID:
             in_head = False
             page.tags[here()] += 1
-            if tag in ("br", "hr", "img", "wbr"):
-                if tag == "hr":
-                    flush()
-                elif tag == "br":
-                    pending.append(" ")
-            continue
-        if tag in _RAW:
-            if not attrs.rstrip().endswith("/"):
+            if tag == "hr":
+                flush()
+            elif tag == "br":
+                pending.append(" ")
+        elif tag in _RAW:
+            if not m[3].rstrip().endswith("/"):
                 # an open title must not take the head's end along
-                pattern = rf"</{tag}\s*>|(?=</head\s*>|<body[\s>])" if tag == "title" else rf"</{tag}\s*>"
+                pattern = rf"</{tag}(?=[\t\n\f\r />])[^>]*+>" + (r"|(?=</head\s*>|<body[\s>])" if tag == "title" else "")
                 end = None if tag in never_ended else re.compile(pattern, re.I).search(source, at)
                 if end is not None:
-                    at = end.end()
-                    continue
-                never_ended.add(tag)
-                if tag in _TO_THE_END:
-                    at = n
-                elif tag == "title":
-                    at = max(source.find("<", at), at)
-            continue
-        in_head = False
-        if tag in _BLOCKS:
-            flush()
-            ends = _ENDS.get(tag, {"p"})
-            i = len(stack) - 1
-            last = -1
-            while i >= 0 and (stack[i][0] not in _BLOCKS or stack[i][0] in ends):
-                if stack[i][0] in ends:
-                    last = i
-                i -= 1
-            if last >= 0:
-                for t, _ in stack[last:]:
-                    in_link -= t == "a"
-                del stack[last:]
-            if tag in ("html", "body"):
-                continue
-            if len(stack) < _DEEPEST:
-                page.tags[here()] += 1
-                stack.append((tag, open_node(tag, attrs, here())))
+                    skip = end.end()
+                else:
+                    never_ended.add(tag)
+                    if tag in _TO_THE_END:
+                        skip = n
+                    elif tag == "title":
+                        skip = max(source.find("<", at), at)
         else:
-            page.tags[here()] += 1
-            in_link += tag == "a"
-            if len(stack) < _DEEPEST:
-                stack.append((tag, here()))
+            in_head = False
+            if tag in _BLOCKS:
+                flush()
+                ends = _ENDS.get(tag, {"p"})
+                while stack and stack[-1][0] in ends:
+                    close()
+                if tag not in ("html", "body"):
+                    page.tags[here()] += 1
+                    stack.append((tag, open_node(tag, m[3], here()), Counter()))
+                    opened[tag] += 1
             else:
-                in_link -= tag == "a"
+                page.tags[here()] += 1
+                (stack[-1][2] if stack else loose)[tag] += 1
+                in_link += tag == "a"
+        if skip is not None:
+            before = skip
+        try:
+            token = reader.send(skip)
+        except StopIteration:
+            token = None
+    text(source[before:])
     flush()
     return page
 
@@ -471,6 +506,8 @@ def training_page(seed: int) -> tuple[str, list[str]]:
         main = "<article></article>"
     before = [boiler(k) for k in ("menu", "head", "note", "ad", "form", "menu", "ad") if chance(0.4)]
     after = [boiler(k) for k in ("talk", "side", "share", "foot", "ad", "foot", "note") if chance(0.45)]
+    if chance(0.2):  # a bare page
+        before, after = [], []
     head = f"<!DOCTYPE html><html><head><title>{sentence(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>" if chance(0.9) else ""
     return head + "<body>" + "".join(before) + main + "".join(after) + ("</body></html>" if chance(0.9) else ""), blocks
 
@@ -503,7 +540,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", ke
     kept = [c for c in (pages.columns if keep is None else keep) if c != text_col]
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField(text_col, T.StringType())])
     shared = pages.sparkSession.sparkContext.broadcast(trees or train())
-    frame = pages.select(*[pages[c] for c in kept], pages[html_col].alias("__html"))
+    frame = kept_and(pages, kept, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
