@@ -6,16 +6,20 @@ the segments encode independently. The characters of all new segments of a
 batch lie in one flat numpy array. Each round finds the best-ranked pair of every
 segment (segmented minimum), merges its leftmost non-overlapping occurrences in
 all segments at once, compacts the array, and ends when no pair is left.
-Characters without a piece become byte pieces.
+Characters without a piece become byte pieces. Of a vocabulary in which a merge can make
+a better pair, as this one, a round merges only the leftmost best pair of each segment;
+unbroken strings of more than LONG_SEGMENT symbols are then merged from a heap.
 
 Defined results: a null text counts as empty; the empty text has no ids and
 decodes to the empty text. U+2581 in a text decodes to a space, as in the library.
-Very long texts are encoded whole. Columns of the input are kept; the operator's
-own columns replace columns of the same name.
+Very long texts are encoded whole. Repeated rows get the same ids each. Columns of the
+input are kept; the operator's own columns replace columns of the same name. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -25,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ridgeline.llm import textkit
+from ridgeline.llm.lineage import kept_and
 
 #: Segments remembered by one Python worker; bounds its memory at about 200 MB.
-CACHE_SEGMENTS = 600_000
+CACHE_SEGMENTS, CACHE_IDS = 600_000, 16_000_000
 _NONE = np.iinfo(np.int32).max
+#: Segments of more symbols (unbroken strings, not words) are merged one by one from a heap, in time n log n; the outcome is the same.
+LONG_SEGMENT = 256
 _SEGMENT = re.compile("[\n\t]+| +[^ \n\t]*|[^ \n\t]+")
 _SPACE = "▁"
 
@@ -100,6 +107,7 @@ class BpeCodec:
         self.piece_bytes = np.frombuffer(b"".join(own), np.uint8)
         self.is_byte = np.array([k == "byte" for k in kinds])
         self.is_control = np.array([k == "control" for k in kinds])
+        self._pairs: dict[int, tuple[int, int]] | None = None  # for long segments, made when the first one comes
         self._forget()
 
     # encoding
@@ -127,8 +135,49 @@ class BpeCodec:
         piece = np.where(self.pair_keys[at] == key, self.pair_piece[at], -1)
         return np.where(piece >= 0, self.rank[piece], _NONE).astype(np.int32), piece
 
-    def _merge_rounds(self, sym: np.ndarray, seg: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Merge the symbols of n segments to the end. Returns symbols and their segments, in order."""
+    def _merge(self, sym: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the symbols of all segments (numbers that don't decrease) to the end. Returns symbols and their segments, in order."""
+        starts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(seg) else np.zeros(0, np.int64)
+        lens = np.diff(np.append(starts, len(seg)))
+        long = lens > LONG_SEGMENT
+        if not long.any():
+            return self._merge_rounds(sym, seg)
+        short = np.repeat(~long, lens)
+        parts = [self._merge_rounds(sym[short], seg[short])]
+        for at, n in zip(starts[long].tolist(), lens[long].tolist(), strict=True):
+            own = self._merge_from_heap(sym[at : at + n])
+            parts.append((own, np.full(len(own), seg[at])))
+        sym, seg = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(seg, kind="stable")
+        return sym[order], seg[order]
+
+    def _merge_from_heap(self, sym: np.ndarray) -> np.ndarray:
+        """The same merges in one long segment: always the best pair, of equal ones the leftmost."""
+        rank, piece = self._lookup(sym[:-1], sym[1:])
+        some = np.flatnonzero(piece >= 0)
+        own, n = sym.tolist(), len(sym)
+        heap = list(zip(rank[some].tolist(), some.tolist(), sym[some].tolist(), sym[some + 1].tolist(), piece[some].tolist(), strict=True))
+        heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        if self._pairs is None:
+            self._pairs = dict(zip(self.pair_keys.tolist(), zip(self.rank[self.pair_piece].tolist(), self.pair_piece.tolist(), strict=True), strict=True))
+        while heap:
+            _, i, a, b, new = heapq.heappop(heap)
+            j = after[i]
+            if own[i] != a or j >= n or own[j] != b:  # one of the two is merged already
+                continue
+            own[i], own[j] = new, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if found := self._pairs.get(new * self.width + own[k]):
+                    heapq.heappush(heap, (found[0], i, new, own[k], found[1]))
+            if (h := before[i]) >= 0 and (found := self._pairs.get(own[h] * self.width + new)):
+                heapq.heappush(heap, (found[0], h, own[h], new, found[1]))
+        return np.array([s for s in own if s >= 0], np.int32)
+
+    def _merge_rounds(self, sym: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the symbols of all segments to the end, in rounds over all of them. Returns symbols and their segments, in order."""
         done_sym, done_seg = [], []
         rank = np.full(len(sym), _NONE, np.int32)
         piece = np.full(len(sym), -1, np.int32)
@@ -186,11 +235,11 @@ class BpeCodec:
         sym = np.where(sym == self.unknown, -1 - points.astype(np.int64), sym)
         known = sym >= 0
         if known.all():
-            out, of = self._merge_rounds(sym.astype(np.int32), seg, len(segments))
+            out, of = self._merge(sym.astype(np.int32), seg)
         else:  # unknown characters never merge: what lies between them are segments of their own
             part = np.cumsum(~known)
             group = np.cumsum(np.concatenate([[0], (seg[1:] != seg[:-1]) | (part[1:] != part[:-1])]))
-            got, of_group = self._merge_rounds(sym[known].astype(np.int32), group[known], 0)
+            got, of_group = self._merge(sym[known].astype(np.int32), group[known])
             of_all = np.concatenate([of_group, group[~known]])
             out = np.concatenate([got.astype(np.int64), sym[~known]])
             order = np.lexsort((out >= 0, of_all))  # in its group the unknown character is the first
@@ -211,7 +260,7 @@ class BpeCodec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and the number of ids of each text."""
         cut = [_SEGMENT.findall(" " + t.replace(_SPACE, " ")) if t else [] for t in texts]
-        if len(self._row) > CACHE_SEGMENTS:
+        if len(self._row) > CACHE_SEGMENTS or len(self._ids) > CACHE_IDS:
             self._forget()
         row = self._row
         new: dict[str, None] = {}
@@ -288,14 +337,13 @@ def encode_decode(docs: DataFrame, vocab: dict, text_col: str = "text", ids_col:
     """Add the ids of each text and the text that they decode to.
 
     keep: the input columns that the result has (default: all). One pass over
-    the rows, without a shuffle; memory is bounded by a piece of about 1 MB of
-    text (or one longer text) and the segment cache.
+    the rows, without a shuffle. A worker holds a batch, a piece of about 256 KB of text
+    (or one longer text), and the segment cache.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in (ids_col, decoded_col)]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded_col, T.StringType())])
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    slot = "__text"
-    frame = docs.select(*[docs[c] for c in kept], docs[text_col].alias(slot))
+    frame = kept_and(docs, kept, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = BpeCodec(shared.value)
