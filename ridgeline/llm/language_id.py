@@ -22,8 +22,10 @@ exceed BLOCK_CELLS are held as several tables over the same symbols, with the sa
 code lengths; a worker unpacks one of them at a time. Prediction reads whole texts.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or
-when nothing could be learned; ties go to the first language in byte order. Input
-columns are kept; the operator's own columns replace columns of the same name.
+when nothing could be learned; ties go to the first language in byte order. Repeated rows
+get the same prediction each; of rows that share an id one text is learned from (the least).
+Very long texts are scored whole. Input columns are kept; the operator's own columns
+replace columns of the same name. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm import textkit
+from ridgeline.llm.lineage import cut, few, kept_and
 
 ORDER = 3
 DOCS_PER_LANG = 400
@@ -190,14 +193,17 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 def sample(docs: DataFrame, lang: Column, usable: Column, id_col: str, text_col: str, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG, max_doc_bytes: int = MAX_DOC_BYTES) -> dict[str, list[bytes]]:
     """The training sample of every language, bounded per language, on the driver.
 
-    Only ids, languages and lengths are ranked (the ranking keeps at most
-    docs_per_lang rows per language and task before the shuffle); the texts of
-    the chosen ids are read afterwards.
+    Rows are counted per language; then only those pass whose id's hash is so low
+    that about half as many again as docs_per_lang are left of each language. These few are
+    ranked, and one text of each chosen id is read.
     """
     size = F.octet_length(text_col)
     labelled = docs.where(usable & lang.isNotNull() & (size > 0))
     rows = labelled.select(lang.alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"), size.alias("n"), (size > max_doc_bytes).alias("long"))
-    order = Window.partitionBy("lang").orderBy("long", "h", "id")  # long texts only after all others
+    counts = cut(rows.groupBy("lang", "long").agg(F.count("*").alias("c")))
+    share = (F.pmod("h", F.lit(1 << 30)) + 1) / (1 << 30)
+    rows = rows.join(few(counts), ["lang", "long"]).where(share <= (1.5 * docs_per_lang + 50) / F.col("c")).drop("c").distinct()
+    order = Window.partitionBy("lang").orderBy("long", F.pmod("h", F.lit(1 << 30)), "id", "n")  # long texts only after all others
     chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang)
     totals: dict[str, int] = {}
     is_long: dict[str, bool] = {}
@@ -214,7 +220,7 @@ def sample(docs: DataFrame, lang: Column, usable: Column, id_col: str, text_col:
         schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang", T.StringType()), T.StructField("long", T.BooleanType())])
         wanted = docs.sparkSession.createDataFrame([(*k, v) for k, v in ids.items()], schema)
         texts = labelled.select(F.col(id_col).alias("id"), F.left(text_col, F.lit(bytes_per_lang)).alias("t"), lang.alias("lang"), (size > max_doc_bytes).alias("long"))
-        got = texts.join(F.broadcast(wanted), ["id", "lang", "long"], "left_semi")
+        got = texts.join(F.broadcast(wanted), ["id", "lang", "long"], "left_semi").groupBy("id", "lang", "long").agg(F.min("t").alias("t"))  # one text of each id
         for r in sorted(got.collect(), key=lambda r: (r["id"], r["lang"], r["t"])):
             out[r["lang"]].append(r["t"].encode()[:bytes_per_lang])
     return out
@@ -227,7 +233,7 @@ def predict(docs: DataFrame, models: list[Model], text_col: str = "text", lang_c
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     several = len(models) > 1
     shared = [docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(m), 1) if several else m) for m in models]
-    frame = docs.select(*[docs[c] for c in kept], docs[text_col].alias("__text"))
+    frame = kept_and(docs, kept, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,12 +15,15 @@ label take the next level's rate. A document's log odds are the classifier's plu
 the difference of the site's log odds from the global ones.
 
 The training sample is bounded by `most_rows` labelled rows and `max_doc_bytes`
-each, taken in the order of a hash of the id; counts of labels cover all rows.
+each, taken in the order of a hash of the id, one text of each id (the least); counts of
+labels cover all rows.
 
 Defined results: a null or empty text has no document evidence but its shares of
 characters; a null host or path counts as the empty one. Without any labels every
 row is kept at probability 0.5. Rows that share an id share its labels (the worst
-of several). Input columns are kept; own columns replace columns of the same name.
+of several), and each counts for its site; repeated rows get the same result each. At a
+tie with the threshold a row is not kept. Very long texts are scored whole. Input columns
+are kept; own columns replace columns of the same name. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm import textkit
+from ridgeline.llm.lineage import cut, few
 
 MOST_ROWS, MAX_DOC_BYTES = 8_000, 30_000
 BUCKETS_LOG2, EPOCHS, RATE, PENALTY = 20, 12, 0.3, 1e-5
@@ -151,16 +155,18 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.select(F.col(id_col).alias("__id"), F.coalesce(bad, F.lit(None)).cast("int").alias("bad")).where("bad IS NOT NULL AND __id IS NOT NULL")
     if train_on is not None:
         known = known.withColumnRenamed("__id", id_col).where(train_on).withColumnRenamed(id_col, "__id")
-    known = known.groupBy("__id").agg(F.max("bad").alias("bad"))
+    known = cut(known.groupBy("__id").agg(F.max("bad").alias("bad")))
     sites = docs.select(F.col(id_col).alias("__id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
     hosts, paths, rate = site_posteriors(sites.join(known, "__id"))
+    # written, so that they are broadcast if they are small, else Spark can split a large site's rows over tasks
+    hosts, paths = cut(hosts.withColumnRenamed("host", "__host")), cut(paths.withColumnsRenamed({"host": "__host", "path": "__path"}))
     size = F.coalesce(F.octet_length(text_col), F.lit(0))
     fits = docs.where((size > 0) & (size <= MAX_DOC_BYTES)).select(F.col(id_col).alias("__id"))
     chosen = [(r[0], r[1]) for r in fits.join(known, "__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(most_rows).collect()]  # bounded by the parameter
     weights = None
     if chosen:
         ids = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("bad", T.IntegerType())]))
-        got = docs.where((size > 0) & (size <= MAX_DOC_BYTES)).select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "__id").collect()
+        got = docs.where((size > 0) & (size <= MAX_DOC_BYTES)).select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "__id").groupBy("__id", "bad").agg(F.min("t").alias("t")).collect()  # one text of each id
         got.sort(key=lambda r: (r["__id"], r["t"]))
         weights = fit([r["t"].encode() for r in got], [bool(r["bad"]) for r in got])
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -175,7 +181,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([pa.array(z)] + [batch.column(i).slice(w.row, len(w)) for i in range(1, batch.num_columns)], names=schema.names)
 
     out = rows.mapInArrow(run, schema)
-    out = out.join(hosts.withColumnRenamed("host", "__host"), "__host", "left").join(paths.withColumnsRenamed({"host": "__host", "path": "__path"}), ["__host", "__path"], "left")
+    out = out.join(few(hosts), "__host", "left").join(few(paths), ["__host", "__path"], "left")
     logit = lambda p: F.log(p / (1 - p))
     site = F.coalesce("path_rate", "host_rate", F.lit(rate))
     p_bad = 1 / (1 + F.exp(-(F.col("__logit") + logit(site) - logit(F.lit(rate)))))
