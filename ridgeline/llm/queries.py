@@ -138,6 +138,37 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM d L
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)
 """
 
+def op8_sql(levels: int = 12) -> str:
+    """The template tree, level by level; paths may branch down to this many levels (the operator has no such limit)."""
+    steps = []
+    for k in range(1, levels + 1):
+        steps.append(f"""
+e{k} AS (SELECT *, coalesce(segments[{k}], '') AS seg FROM s{k - 1}),
+b{k} AS (SELECT host, prefix, seg, sum(n) AS n, sum(labels) AS labels, sum(goods) AS goods FROM e{k} GROUP BY ALL),
+n{k} AS (SELECT host, prefix, count(*) AS children, sum(n) AS all_n, sum(labels) AS all_labels, sum(goods) AS all_goods FROM b{k} GROUP BY ALL),
+t{k} AS (SELECT host, prefix, seg, CASE WHEN seg = '' THEN ''
+    WHEN (labels > 0 AND all_labels - labels > 0 AND pow(abs(goods / labels - (all_goods - goods) / (all_labels - labels)), 2)
+        <= 1.96 * 1.96 * (all_goods / all_labels * (1 - all_goods / all_labels)) * (1.0::DOUBLE / labels + 1.0::DOUBLE / (all_labels - labels)))
+      OR (children > 16 AND n < 0.02 * all_n AND NOT starts_with(seg, '{{')) THEN '*'
+    ELSE seg END AS branch FROM b{k} JOIN n{k} USING (host, prefix)),
+s{k} AS (SELECT host, segments, n, labels, goods, CASE WHEN branch = '' THEN prefix ELSE prefix || '/' || branch END AS prefix FROM e{k} JOIN t{k} USING (host, prefix, seg))""")
+    rules = "".join(f"\n    WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{r}:{v}'" for h, p, r, v in OP8_RULES)
+    return rf"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+p AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2), '') AS path FROM u),
+r AS (SELECT *, CASE {rules} END AS found FROM p),
+g AS (SELECT page_id, host, path, split_part(found, ':', 1) AS rule, split_part(found, ':', 2) AS given,
+  string_split(regexp_replace(array_to_string([CASE WHEN regexp_full_match(x, '[0-9a-fA-F]{{8,}}') AND regexp_matches(x, '[0-9]') THEN '{{x}}' ELSE regexp_replace(x, '[0-9]+', '{{n}}', 'g') END FOR x IN regexp_extract_all(path, '[0-9A-Za-z]+|[^0-9A-Za-z]+')], ''), '^/', ''), '/') AS segments FROM r),
+s0 AS (SELECT host, segments, count(*)::DOUBLE AS n, count(given)::DOUBLE AS labels, coalesce(sum((given = 'allow')::INT), 0)::DOUBLE AS goods, '' AS prefix FROM g WHERE host <> '' GROUP BY host, segments),{",".join(steps)},
+leaves AS (SELECT host, prefix, sum(labels) >= 5 AND (sum(goods) + 1) / (sum(labels) + 2) < 0.3 AS rejected FROM s{levels} GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
+FROM g LEFT JOIN (SELECT host, segments, rejected FROM s{levels} JOIN leaves USING (host, prefix)) USING (host, segments)
+"""
+
+
+#: Host, path, rule and verdict; the longest first. Fixed values.
+OP8_RULES = (("example.com", "/en/7", "example.com/en/7", "allow"), ("example.net", "/de/8", "example.net/de/8", "block"), ("com", "/en/", "com/en/", "block"), ("net", "/de/", "net/de/", "allow"), ("org", "/es/", "org/es/", "block"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_substring_dedup, op2_quality_rules, op3_sentencepiece, op4_decontamination, op5_html_extract, op6_ngram_jaccard, op7_quality_classifier, op8_url_filters, op9_token_counts, op10_language_id]
@@ -145,4 +176,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op6_ngram_jaccard": OP6_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_url_filters": op8_sql()}

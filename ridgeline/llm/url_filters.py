@@ -13,22 +13,29 @@ rule's; the longest rule wins, at equal length the first in text order.
 
 All steps are DataFrame operations. What is grouped level by level is the distinct
 generalised paths with their counts, never the pages; each grouping is
-pre-aggregated, so a hot host is spread over its paths.
+pre-aggregated, so a hot host is spread over its paths. The tree is as deep as paths
+branch: a path that is alone below its prefix ends there, with its last segments as they
+are. What a step joins is written first, and the tree is broadcast if it's small, so that
+Spark can split a frequent host or path over tasks.
 
 Defined results: a null URL or one without `://` has an empty host and path, and
-the verdict allow. Levels beyond `depth` are one branch.
+the verdict allow. Repeated rows count and are judged each. Ties of the test count as
+similar. Very long URLs are cut into all their segments. Input columns are kept; the
+operator's own columns replace columns of the same name. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.lineage import cut
+from ridgeline.llm.lineage import cut, few
 
 #: The query's rules: host and path prefix, verdict. Fixed values.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-DEPTH, MANY_CHILDREN, RARE_SHARE = 6, 16, 0.02
+MANY_CHILDREN, RARE_SHARE = 16, 0.02
 SIMILAR_Z, MIN_LABELS, SMOOTHING, LEAST_PURITY = 1.96, 5, 2.0, 0.3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,12 +47,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(part(1), _UPPER, _LOWER), part(2)
 
 
-def split_urls(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """Add host and path (replacing columns of these names)."""
-    host, path = host_and_path(pages[url_col])
-    return pages.drop("host", "path").withColumns({"host": host, "path": path})
-
-
 def rule_column(rules: tuple[tuple[str, str], ...], what: int) -> Column:
     """The winning rule's text (what=0) or verdict (what=1); null without a rule."""
     out = None
@@ -56,23 +57,21 @@ def rule_column(rules: tuple[tuple[str, str], ...], what: int) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def generalised(path: Column, depth: int) -> Column:
-    """The path's segments with variable parts as wildcards; at most depth + 1 of them."""
+def generalised(path: Column) -> Column:
+    """The path's segments with variable parts as wildcards."""
     shape = F.regexp_replace(path, r"(?i)(?<![0-9a-z])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![0-9a-z])", "{x}")
-    segments = F.split(F.regexp_replace(F.regexp_replace(shape, r"[0-9]+", "{n}"), "^/", ""), "/")
-    return F.when(F.size(segments) > depth, F.concat(F.slice(segments, 1, depth), F.array(F.lit("**")))).otherwise(segments)
+    return F.split(F.regexp_replace(F.regexp_replace(shape, r"[0-9]+", "{n}"), "^/", ""), "/")
 
 
-def template_tree(urls: DataFrame, good: Column, depth: int = DEPTH) -> DataFrame:
+def template_tree(urls: DataFrame, good: Column) -> DataFrame:
     """host, shape (generalised path), template, n_labels, purity, rejected. urls: with host and path; good: 1, 0 or null."""
-    shapes = urls.select("host", generalised(F.col("path"), depth).alias("segments"), good.cast("double").alias("good"))
+    shapes = urls.select("host", generalised(F.col("path")).alias("segments"), good.cast("double").alias("good"))
     shapes = shapes.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("good").alias("labels"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("goods")).withColumn("prefix", F.lit(""))
-    shapes = cut(shapes)
-    deepest = shapes.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(1, deepest + 1):
-        segment = F.coalesce(F.try_element_at("segments", F.lit(level)), F.lit(""))
-        shapes = shapes.withColumn("seg", segment)
-        sums = [F.sum(c).alias(c) for c in ("n", "labels", "goods")]
+    shapes, done, level = cut(shapes), [], 0
+    sums = [F.sum(c).alias(c) for c in ("n", "labels", "goods")]
+    while not shapes.isEmpty():
+        level += 1
+        shapes = shapes.withColumn("seg", F.coalesce(F.try_element_at("segments", F.lit(level)), F.lit("")))
         branches = shapes.groupBy("host", "prefix", "seg").agg(*sums)
         nodes = branches.groupBy("host", "prefix").agg(F.count("*").alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labels", "goods")))
         b = branches.join(nodes, ["host", "prefix"])
@@ -83,26 +82,39 @@ def template_tree(urls: DataFrame, good: Column, depth: int = DEPTH) -> DataFram
         similar = (F.col("labels") > 0) & (others > 0) & (distance * distance <= SIMILAR_Z**2 * spread)
         rare = (F.col("children") > MANY_CHILDREN) & (F.col("n") < RARE_SHARE * F.col("all_n")) & ~F.col("seg").startswith("{")
         branch = F.when(F.col("seg") == "", "").when(F.coalesce(similar, F.lit(False)) | rare, "*").otherwise(F.col("seg"))
-        shapes = shapes.join(b.select("host", "prefix", "seg", branch.alias("branch")), ["host", "prefix", "seg"])
+        b = cut(b.select("host", "prefix", "seg", branch.alias("branch")))
+        shapes = shapes.join(b, ["host", "prefix", "seg"])
         shapes = shapes.withColumn("prefix", F.when(F.col("branch") == "", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "branch"))).drop("branch", "seg")
-        shapes = cut(shapes)  # each level reads its predecessor several times
+        # a shape that is alone below its prefix has no siblings any more: its last segments follow as they are
+        alone = cut(shapes.groupBy("host", "prefix").agg((F.count("*") == 1).alias("alone")))
+        shapes = cut(shapes.join(alone, ["host", "prefix"]))
+        rest = F.array_join(F.filter(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), lambda x: x != ""), "/")
+        ended = F.col("alone") | (F.size("segments") < level)
+        done.append(shapes.where(ended).withColumn("prefix", F.when(rest == "", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), rest))))
+        shapes = shapes.where(~ended).drop("alone")
+    leaf = ["host", "prefix", "segments", "labels", "goods"]
+    shapes = reduce(DataFrame.unionByName, [d.select(*leaf) for d in done], shapes.select(*leaf))
     leaves = shapes.groupBy("host", "prefix").agg(F.sum("labels").alias("n_labels"), F.sum("goods").alias("goods"))
     purity = (F.col("goods") + SMOOTHING / 2) / (F.col("n_labels") + SMOOTHING)
     leaves = leaves.select("host", "prefix", "n_labels", purity.alias("purity"), ((F.col("n_labels") >= MIN_LABELS) & (purity < LEAST_PURITY)).alias("rejected"))
     return shapes.select("host", "prefix", "segments").join(leaves, ["host", "prefix"]).select("host", F.array_join("segments", "/").alias("shape"), F.concat("host", "prefix").alias("template"), "n_labels", "purity", "rejected")
 
 
-def judge(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, good: Column | None = None, depth: int = DEPTH) -> DataFrame:
+def judge(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, good: Column | None = None) -> DataFrame:
     """Add host, path, rule, verdict, template and purity.
 
     good: 1 for a page known as good, 0 for a bad one, null where unknown; by
     default the rules' own verdicts are the labels.
     """
-    own = ("rule", "verdict", "template", "purity")
-    rows = split_urls(pages.drop(*own), url_col).withColumns({"rule": rule_column(rules, 0), "__verdict": rule_column(rules, 1)})
-    label = F.when(F.col("__verdict").isNotNull(), (F.col("__verdict") == "allow").cast("double")) if good is None else good
-    tree = template_tree(rows.where("host <> ''"), label, depth)
-    rows = rows.withColumn("shape", F.array_join(generalised(F.col("path"), depth), "/"))
-    out = rows.join(tree, ["host", "shape"], "left")
+    own = ("host", "path", "rule", "verdict", "template", "purity")
+    kept = [c for c in pages.columns if c not in own]
+    host, path = host_and_path(pages[url_col])
+    label = F.lit(None).cast("double") if good is None else good.cast("double")
+    rows = pages.select(*(pages[c].alias(f"__c{i}") for i, c in enumerate(kept)), host.alias("host"), path.alias("path"), label.alias("__good"))
+    rows = rows.withColumns({"rule": rule_column(rules, 0), "__verdict": rule_column(rules, 1)})
+    label = F.when(F.col("__verdict").isNotNull(), (F.col("__verdict") == "allow").cast("double")) if good is None else F.col("__good")
+    tree = cut(template_tree(rows.where("host <> ''"), label))
+    rows = rows.withColumn("shape", F.array_join(generalised(F.col("path")), "/"))
+    out = rows.join(few(tree), ["host", "shape"], "left")
     method = F.when(F.coalesce("rejected", F.lit(False)), "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce("__verdict", method)).select(*pages.drop(*own, "host", "path").columns, "host", "path", *own)
+    return out.withColumn("verdict", F.coalesce("__verdict", method)).select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)), *own)
