@@ -7,14 +7,18 @@ pointers, no ids). Tie rules are those of the published unigram encoder: at equa
 a piece of its own may be unknown at the lowest score less 10, after all pieces,
 and counts as one piece for each of its bytes.
 
-Scores add up exactly (whole numbers), so no rounding decides between paths. The
-public tokenizers hold no unigram model; the query uses the pieces and scores of a
-BPE model as a unigram vocabulary, and tests compare with a plain Viterbi.
-
-A text is cut where no piece can span: before a run of spaces, around line ends
-and tabs. Defined results: a null or empty text has 0 tokens and score 0. Very
-long texts are counted whole. Input columns are kept; the operator's own columns
-replace columns of the same name.
+Whole-number scores add up exactly, so no rounding decides between paths, and a text is cut
+where no piece can span: before a run of spaces, around line ends and tabs; segments
+are remembered. Any other scores are added as the library does, in single precision from
+the text's begin to its end (a piece's score is added and compared in double precision
+and then rounded), since there rounding may decide; such texts are walked one by one.
+
+The public tokenizers hold no unigram model; the query uses the pieces and scores of a
+BPE model as a unigram vocabulary.
+
+Defined results: a null or empty text has 0 tokens and score 0. Very long texts are
+counted whole. Repeated rows get the same counts each. Input columns are kept; the operator's
+own columns replace columns of the same name. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ridgeline.llm import textkit
+from ridgeline.llm.lineage import kept_and
 from ridgeline.llm.sentencepiece_codec import _SEGMENT, _SPACE
 
 #: Segments remembered by one Python worker; bounds its memory at about 100 MB.
@@ -42,16 +47,17 @@ class UnigramCounter:
         import ahocorasick
 
         costs = {p: -s for p, s, k in zip(vocab["pieces"], vocab["scores"], vocab["kinds"], strict=True) if k == "normal"}
-        if any(c != int(c) or c < 0 for c in costs.values()):
-            raise ValueError("scores must be whole numbers, zero or negative")
-        self.unknown = int(max(costs.values())) + UNKNOWN_PENALTY
+        self.whole = all(c == int(c) and c >= 0 for c in costs.values())
+        self.unknown = int(max(costs.values())) + UNKNOWN_PENALTY if self.whole else 0
+        self.scores = [float(np.float32(-c)) for c in costs.values()]
+        self.unknown_score = np.float32(min(self.scores)) - np.float32(UNKNOWN_PENALTY)
         self.automaton = ahocorasick.Automaton()
         pieces = list(costs)
         for i, p in enumerate(pieces):
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.size = np.array([len(p) for p in pieces], np.int64)
-        self.cost = np.array([int(costs[p]) for p in pieces], np.int64)
+        self.cost = np.array([int(costs[p]) for p in pieces], np.int64) if self.whole else None
         self._forget()
 
     def _forget(self) -> None:
@@ -106,8 +112,33 @@ class UnigramCounter:
             count[own] = count[own - 1] + width[own - 1]
         return best[begin + lens], count[begin + lens]
 
+    def _walk(self, text: str) -> tuple[int, float]:
+        """Number of pieces and score of one text, in the library's arithmetic."""
+        t = _SPACE + text.replace(" ", _SPACE)
+        best, count = [0.0] * (len(t) + 1), [0] * (len(t) + 1)
+        matches = self.automaton.iter(t)
+        last, piece = next(matches, (-1, -1))
+        for at in range(len(t)):
+            found, single = None, False
+            while last == at:  # the longest piece, which starts first, comes first
+                size = int(self.size[piece])
+                score = self.scores[piece] + best[at + 1 - size]
+                if found is None or score > found:
+                    found, count[at + 1] = float(np.float32(score)), count[at + 1 - size] + 1
+                single = single or size == 1
+                last, piece = next(matches, (-1, -1))
+            if not single:
+                score = float(self.unknown_score + np.float32(best[at]))
+                if found is None or score > found:
+                    found, count[at + 1] = score, count[at] + len(t[at].encode())
+            best[at + 1] = found
+        return count[-1], best[-1]
+
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the number of pieces and the total cost (the score's negative)."""
+        if not self.whole:
+            found = [self._walk(t) if t else (0, 0.0) for t in texts]
+            return np.array([n for n, _ in found], np.int64), -np.array([s for _, s in found], float)
         cut = [_SEGMENT.findall(" " + t.replace(_SPACE, " ")) if t else [] for t in texts]
         if len(self._row) > CACHE_SEGMENTS:
             self._forget()
@@ -133,7 +164,7 @@ def count_tokens(docs: DataFrame, vocab: dict, text_col: str = "text", count_col
     kept = [c for c in (docs.columns if keep is None else keep) if c not in (count_col, score_col)]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(count_col, T.LongType()), T.StructField(score_col, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    frame = docs.select(*[docs[c] for c in kept], docs[text_col].alias("__text"))
+    frame = kept_and(docs, kept, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = UnigramCounter(shared.value)
