@@ -58,30 +58,29 @@ class Series:
     def change(self, c: str | Column, n: int = 1) -> Column:
         return fdiv(col(c), self.lag(c, n)) - 1
 
-    def ewm(self, c: str | Column, alpha: float) -> Column:
-        """Exponential mean, y0 = x0: a fold over a bounded look-back.
+    def with_ewm(self, df: DataFrame, columns: dict[str, tuple[str, float]]) -> DataFrame:
+        """Exponential means, y0 = x0 and y = alpha * x + (1 - alpha) * y before: {new column: (column, alpha)}.
 
-        Exact for the first rows; later the weight cut off is below 1e-16. The
-        input must not be null. ewm_grouped() does the same in linear time.
+        Rows are cut into blocks of so many that a weight falls below 1e-17 in one. Within a block the mean is
+        one running sum of scaled values, and the block before adds its last mean: linear in the rows, all in
+        windows over the same partitions. A null value gives null and weighs nothing.
         """
-        far = max(1, math.ceil(math.log(1e-16) / math.log(1 - alpha))) if alpha < 1 else 1
-        values = F.collect_list(col(c).cast("double")).over(self.last(far))
-        return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1), lambda a, x: a * (1 - alpha) + x * alpha)
-
-    def ewm_grouped(self, df: DataFrame, columns: dict[str, tuple[str, float]]) -> DataFrame:
-        """Exponential means in one ordered pass per group: {new column: (column, alpha)}."""
-        from pyspark.sql import types as T
-
-        schema = T.StructType([f for f in df.schema.fields if f.name not in columns] + [T.StructField(n, T.DoubleType()) for n in columns])
-        order, names = list(self.order), schema.fieldNames()
-
-        def run(pdf):
-            pdf = pdf.sort_values(order, kind="stable")
-            for new, (c, alpha) in columns.items():
-                pdf[new] = pdf[c].astype(float).ewm(alpha=alpha, adjust=False).mean()
-            return pdf[names]
-
-        return df.groupBy(*self.keys).applyInPandas(run, schema)
+        df, own = df.withColumn("__i", F.row_number().over(self.window) - 1), ["__i"]
+        for k, (new, (c, alpha)) in enumerate(columns.items()):
+            if alpha >= 1:
+                df = df.withColumn(new, F.col(c).cast("double"))
+                continue
+            q, n = 1 - alpha, math.ceil(math.log(1e-17) / math.log(1 - alpha))
+            place, (block, term, local, end) = F.col("__i") % n, (f"__{x}{k}" for x in "btle")
+            within = Window.partitionBy(*self.keys, block).orderBy(*self.order)
+            weight = F.when(F.col("__i") == 0, 1.0).otherwise(alpha)
+            df = df.withColumns({block: F.floor(F.col("__i") / n), term: weight * F.col(c) * F.pow(F.lit(1 / q), place)})
+            df = df.withColumn(local, F.coalesce(F.sum(term).over(within.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)) * F.pow(F.lit(q), place))
+            df = df.withColumn(end, F.last(local).over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+            before = F.coalesce(F.lag(end, n).over(self.window), F.lit(0.0))
+            df = df.withColumn(new, F.when(F.col(c).isNotNull(), F.col(local) + before * F.pow(F.lit(q), place + 1)))
+            own += [block, term, local, end]
+        return df.drop(*own)
 
 
 def fdiv(a: str | Column, b: str | Column) -> Column:

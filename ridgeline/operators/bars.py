@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,25 +13,24 @@ COLUMN = {"volume": "volume", "trade": "no_of_trades", "liquidity": "liquidity_s
 
 
 def bar_groups(df: DataFrame, threshold: float, column: str, keys: tuple[str, ...] = ("series",), order: str = "datetime") -> DataFrame:
-    """Add bar_group. The restart depends on the state, so each key is one ordered scan of two columns in Arrow batches."""
-    import numpy as np
-
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("__r", T.IntegerType()), T.StructField("bar_group", T.LongType())])
-
-    def scan(pdf):
-        pdf = pdf.sort_values("__r")
-        total, group = 0.0, 0
-        out = np.empty(len(pdf), np.int64)
-        for i, v in enumerate(pdf["__v"].to_numpy(float)):
-            total += v
-            out[i] = group
-            if total >= threshold:  # what lies above the threshold is not carried over
-                group, total = group + 1, 0.0
-        return pdf.assign(bar_group=out)[[*keys, "__r", "bar_group"]]
-
-    groups = ranked.select(*keys, "__r", F.col(column).cast("double").alias("__v")).groupBy(*keys).applyInPandas(scan, schema)
-    return ranked.join(groups, [*keys, "__r"]).drop("__r")
+    """Add bar_group. The restart depends on the state, so each key is one ordered scan, in Arrow batches; kept between them: key, sum and group."""
+    schema = T.StructType([*df.schema.fields, T.StructField("bar_group", T.LongType())])
+    at, of = df.columns.index(column), [df.columns.index(k) for k in keys]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, group = None, 0.0, 0
+        for batch in batches:
+            out = []
+            for v, key in zip(batch.column(at).to_pylist(), zip(*(batch.column(i).to_pylist() for i in of), strict=True), strict=True):
+                if key != now:
+                    now, total, group = key, 0.0, 0
+                out.append(group)
+                total += v or 0
+                if total >= threshold:  # what lies above the threshold is not carried over
+                    group, total = group + 1, 0.0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=schema.names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(scan, schema)
 
 
 def activity_bars(df: DataFrame, threshold: float, column: str, keys: tuple[str, ...] = ("series",), order: str = "datetime") -> DataFrame:

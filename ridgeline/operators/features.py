@@ -291,7 +291,7 @@ def vwap(df: DataFrame, s: Series = S, price_col: str = "close", volume_col: str
 
 
 def ema_alignment(df: DataFrame, s: Series = S, ema_span: int = 21, power: float = 2.0) -> DataFrame:
-    df = df.withColumn("ema", s.ewm("close", 2.0 / (ema_span + 1)))
+    df = s.with_ewm(df, {"ema": ("close", 2.0 / (ema_span + 1))})
     return df.withColumn("ema_alignment", F.pow(clip(1 - fdiv(F.abs(C("close") - C("ema")), "ema"), 0, 1), F.lit(power)))
 
 
@@ -323,8 +323,8 @@ def forward_breakout_target(df: DataFrame, s: Series = S, forward_periods: int =
 
 def ema_breakout(df: DataFrame, s: Series = S, target_col: str = "close", ema_span: int = 30, breakout_delta: float = 0.2, breakout_horizon: int = 3) -> DataFrame:
     later = s.lag(target_col, -breakout_horizon)
-    df = df.withColumn("breakout_ema", flag(later > s.ewm(target_col, 2.0 / (ema_span + 1)) * (1 + breakout_delta)))
-    return drop_null_rows(df, ["breakout_ema"])
+    df = s.with_ewm(df, {"__ema": (target_col, 2.0 / (ema_span + 1))})
+    return drop_null_rows(df.withColumn("breakout_ema", flag(later > F.col("__ema") * (1 + breakout_delta))).drop("__ema"), ["breakout_ema"])
 
 
 # regimes

@@ -18,7 +18,7 @@ def true_range(s: Series, high: str = "high", low: str = "low", close: str = "cl
 
 def atr(df: DataFrame, s: Series = S, high_col: str = "high", low_col: str = "low", close_col: str = "close", period: int = 14) -> DataFrame:
     df = df.withColumn("__tr", true_range(s, high_col, low_col, close_col))
-    return df.withColumn(f"atr_{period}", s.ewm("__tr", 1.0 / period)).drop("__tr")
+    return s.with_ewm(df, {f"atr_{period}": ("__tr", 1.0 / period)}).drop("__tr")
 
 
 def body_pct(df: DataFrame, s: Series = S) -> DataFrame:
@@ -49,16 +49,16 @@ def _span(period: int) -> float:
 
 def macd(df: DataFrame, s: Series = S, close_col: str = "close", fast_period: int = 12, slow_period: int = 26, signal_period: int = 9) -> DataFrame:
     line, signal = f"macd_{fast_period}_{slow_period}", f"macd_signal_{signal_period}"
-    df = df.withColumn(line, s.ewm(close_col, _span(fast_period)) - s.ewm(close_col, _span(slow_period)))
-    df = df.withColumn(signal, s.ewm(line, _span(signal_period)))
+    df = s.with_ewm(df, {"__f": (close_col, _span(fast_period)), "__s": (close_col, _span(slow_period))})
+    df = s.with_ewm(df.withColumn(line, F.col("__f") - F.col("__s")).drop("__f", "__s"), {signal: (line, _span(signal_period))})
     return df.withColumn("macd_hist", F.col(line) - F.col(signal))
 
 
 def ppo(df: DataFrame, s: Series = S, close_col: str = "close", fast_period: int = 12, slow_period: int = 26, signal_period: int = 9) -> DataFrame:
     line, signal = f"ppo_{fast_period}_{slow_period}", f"ppo_signal_{signal_period}"
-    df = df.withColumns({"__f": s.ewm(close_col, _span(fast_period)), "__s": s.ewm(close_col, _span(slow_period))})
+    df = s.with_ewm(df, {"__f": (close_col, _span(fast_period)), "__s": (close_col, _span(slow_period))})
     df = df.withColumn(line, fdiv(F.col("__f") - F.col("__s"), "__s") * 100).drop("__f", "__s")
-    df = df.withColumn(signal, s.ewm(line, _span(signal_period)))
+    df = s.with_ewm(df, {signal: (line, _span(signal_period))})
     return df.withColumn("ppo_hist", F.col(line) - F.col(signal))
 
 
@@ -108,9 +108,8 @@ def stochastic_oscillator(df: DataFrame, s: Series = S, window_k: int = 14, wind
 
 def wilder_rsi(df: DataFrame, s: Series = S, period: int = 14) -> DataFrame:
     gain, loss = _gain_and_loss(s)
-    df = df.withColumns({"__g": gain, "__l": loss})
-    ratio = fdiv(s.ewm("__g", 1.0 / period), s.ewm("__l", 1.0 / period))
-    return df.withColumn(f"wilder_rsi_{period}", 100 - fdiv(F.lit(100.0), 1 + ratio)).drop("__g", "__l")
+    df = s.with_ewm(df.withColumns({"__g": gain, "__l": loss}), {"__up": ("__g", 1.0 / period), "__down": ("__l", 1.0 / period)})
+    return df.withColumn(f"wilder_rsi_{period}", 100 - fdiv(F.lit(100.0), 1 + fdiv("__up", "__down"))).drop("__g", "__l", "__up", "__down")
 
 
 def window_return(df: DataFrame, s: Series = S, period: int = 24) -> DataFrame:

@@ -42,11 +42,11 @@ def test_three_quantiles(spark):
     assert q_ranked(df, ["g"], "x", {"a": 0.5}, "exact").first()["a"] == 3.0
 
 
-@pytest.mark.parametrize("alpha", [0.05, 2 / 13, 1.0])
+@pytest.mark.parametrize("alpha", [0.05, 2 / 13, 0.9, 1.0])
 def test_exponential_mean(spark, alpha):
-    values = [math.sin(i) * 10 + i for i in range(300)]
+    values = [math.sin(i) * 10 + i for i in range(3_000)]  # several blocks of every alpha
     expected = pd.Series(values).ewm(alpha=alpha, adjust=False).mean()
-    df = frame(spark, values)
-    folded = [r[0] for r in df.select(S.ewm("x", alpha), "t").orderBy("t").collect()]
-    grouped = [r["y"] for r in S.ewm_grouped(df, {"y": ("x", alpha)}).orderBy("t").collect()]
-    assert folded == pytest.approx(expected.tolist(), rel=1e-9) and grouped == pytest.approx(expected.tolist(), rel=1e-12)
+    found = [r["y"] for r in S.with_ewm(frame(spark, values), {"y": ("x", alpha)}).orderBy("t").collect()]
+    assert found == pytest.approx(expected.tolist(), rel=1e-12)
+    holes = [None if i % 50 == 7 else v for i, v in enumerate(values[:200])]
+    assert [r["y"] is None for r in S.with_ewm(frame(spark, holes), {"y": ("x", alpha)}).orderBy("t").collect()] == [v is None for v in holes]
