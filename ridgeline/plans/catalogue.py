@@ -141,10 +141,10 @@ def ts_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 # klines and bars
 
 
-def _klines(size: int, by: Callable | None = None) -> Callable:
+def _klines(size: int, by: Callable | None = None, **limits) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = trades(spark, sf_dir) if by is None else by(spark, sf_dir)
-        out = klines(own, size)
+        out = klines(own, size, **limits)
         return show(out.withColumn("datetime", C("datetime").cast("timestamp_ntz")), list(KLINE))
 
     return run
@@ -390,7 +390,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     by_type = lambda spark, sf_dir: tr.from_events(read(spark, sf_dir, "events"), C("event_type"))
     out = {name: _over_klines(entry[0], entry[1], *entry[2:]) for name, entry in OVER_KLINES.items()}
     out |= {
-        "trades_month": trades_month, "trades_latest": trades_latest, "trades_sample": trades_sample, "ts_normalise": ts_normalise, "klines_1h": _klines(3600), "klines_4h": _klines(14400), "klines_by_type": _klines(3600, by_type),
+        "trades_month": trades_month, "trades_latest": trades_latest, "trades_sample": trades_sample, "ts_normalise": ts_normalise, "klines_1h": _klines(3600), "klines_4h": _klines(14400), "klines_by_type": _klines(3600, by_type), "klines_first": _klines(3600, start="2024-01-05", n_rows=50), "klines_newest": _klines(7200, n_rows=50, latest=True),
         "bars_volume": _bars("volume", 2000), "bars_trade": _bars("trade", 40), "bars_liquidity": _bars("liquidity", 500000), "cfr_1h": cfr_1h,
         "span_active_lines": _spans(spans.active_lines, "active_lines"), "span_active_quantile_count": _spans(spans.active_quantile_count, "active_quantile_count"),
         "span_since_big_move": _spans(spans.hours_since_big_move, "hours_since_big_move"), "span_since_quantile_line": _spans(spans.hours_since_quantile_line, "hours_since_quantile_line"), "span_density": _spans(spans.quantile_line_density, "quantile_line_density_48h"),

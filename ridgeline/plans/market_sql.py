@@ -256,7 +256,7 @@ def oracle_sql() -> dict[str, str]:
         "trades_latest": f"SELECT trade_id, price, quantity FROM ({TRADES}) ORDER BY date_trunc('day', datetime) DESC, trade_id DESC LIMIT 100",
         "trades_sample": f"SELECT trade_id, price, quantity FROM ({TRADES}) ORDER BY md5(trade_id::VARCHAR || ':' || (epoch_us(datetime) // 1000)::VARCHAR), trade_id LIMIT 100",
         "ts_normalise": f"SELECT trade_id, (epoch_us(datetime) // 1000) AS timestamp, date_trunc('milliseconds', datetime)::TIMESTAMP AS datetime FROM ({TRADES})",
-        "klines_1h": sized(K), "klines_4h": sized(klines(14400)), "klines_by_type": sized(by_type),
+        "klines_1h": sized(K), "klines_4h": sized(klines(14400)), "klines_by_type": sized(by_type), "klines_first": f"{sized(K)} WHERE datetime >= TIMESTAMP '2024-01-05' ORDER BY datetime, series LIMIT 50", "klines_newest": f"{sized(klines(7200))} ORDER BY datetime DESC, series LIMIT 50",
         "bars_volume": _bars("volume", 2000), "bars_trade": _bars("no_of_trades", 40), "bars_liquidity": _bars("liquidity_sum", 500000), "cfr_1h": CFR,
         "span_active_lines": _span("active_lines", "SELECT count(*) FROM s WHERE s.series = r.series AND r.i BETWEEN s.a AND s.b"),
         "span_active_quantile_count": _span("active_quantile_count", "SELECT count(*) FROM s WHERE s.series = r.series AND r.i >= s.a AND r.i < s.b"),

@@ -18,6 +18,7 @@ from ridgeline.operators import experiment as ex
 from ridgeline.operators import indicators as ind
 from ridgeline.operators import models, pools, prep, specs, sweep
 from ridgeline.operators.bars import compute_bars
+from ridgeline.operators.klines import presented
 from ridgeline.sources import trades as tr
 
 
@@ -195,6 +196,11 @@ def test_quantiles_by_rank(spark):
             assert got[k][name] == values[math.floor((len(values) - 1) * q + 0.5)]
 
 
+def test_klines_are_rounded_for_presentation(spark):
+    df = spark.createDataFrame([(1.23456789, 2.123456789, 3.14, "x")], "mean double, std double, liquidity_sum double, series string")
+    assert tuple(presented(df).first()) == (1.23457, 2.123457, 3.1, "x")
+
+
 def test_readers_and_sinks(spark, tmp_path):
     log = spark.createDataFrame([(0, 0.5, "x"), (1, None, "y, z")], "round_id int, auc double, kind string")
     for _ in range(2):
