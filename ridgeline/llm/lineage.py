@@ -26,9 +26,9 @@ def _store(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """The same rows, written to this path and read from there from now on; the files go with the session."""
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     at, store = _store(df.sparkSession, path)
     store.deleteOnExit(at)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -37,12 +37,28 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read from there from now on."""
-    return written(df, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
+    """The same rows, written to the shared folder and read from there from now on.
+
+    Uncompressed: hashes don't compress, and a codec's native buffers, one for each column and file, stay until
+    the JVM collects its garbage.
+    """
+    return written(df, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}", "none")
+
+
+#: Rows of an Arrow batch between the JVM and Python where the session leaves Spark's default: texts are long.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in small batches, unless the session has set a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def kept_and(df: DataFrame, kept: list[str], text_col: str) -> DataFrame:
     """The kept columns and then the text, under names of their own: for operators that go by position, whatever the columns are called."""
+    small_batches(df.sparkSession)
     return df.select(*[df[c] for c in kept], df[text_col]).toDF(*(f"c{i}" for i in range(len(kept) + 1)))
 
 

@@ -167,7 +167,7 @@ def test_ngram_jaccard(spark, corpus):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    for options in ({}, {"hot_list": 0}, {"hot_limit": 1}):
+    for options in ({}, {"bits": 4}, {"bits": 4, "hot_count": 1}):
         got = ngram_jaccard.join_components(frame(spark, corpus), **options).collect()
         assert len(got) == len(corpus)
         for r in got:

@@ -56,3 +56,27 @@ def test_columns_nulls_repeated_rows_and_empty_tables(spark):
     assert found.columns == ["text", "c0", "__text", "n_tokens", "score"]
     assert sorted((r["c0"], r["n_tokens"], r["score"]) for r in found.collect()) == [(2, 2, -6.0), (2, 2, -6.0), (4, 0, 0.0), (6, 0, 0.0)]
     assert token_counts.count_tokens(df.limit(0), vocabulary(scores)).count() == 0
+
+
+def test_the_querys_vocabulary_counts_as_the_library_does():
+    """A BPE vocabulary as a unigram one: its scores of -1e9, which no best path has, are raised, as the library loses the others' differences beside them."""
+    import public_tokenizers
+    import sentencepiece
+
+    from ridgeline.llm import sentencepiece_codec
+
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    model = pb.ModelProto()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    for piece in model.pieces:
+        piece.score = max(piece.score, -40_000.0)
+    other = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    r = random.Random(2)
+    texts = ["the", "over the", ""] + [" ".join("".join(r.choice(["th", "e", "in", "re", "ou", "n", "s", "ing", "é", "中", "x9"]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 60))) for _ in range(300)]
+    expected = [len(other.encode(t)) for t in texts]
+    vocabulary = sentencepiece_codec.load_vocabulary(path)
+    assert token_counts.UnigramCounter(vocabulary).count(texts)[0].tolist() == expected
+    raised = vocabulary | {"scores": [max(s, -40_000.0) for s in vocabulary["scores"]]}
+    assert token_counts.UnigramCounter(raised).count(texts)[0].tolist() == expected
