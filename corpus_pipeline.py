@@ -3,7 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on every document that its
 predecessor kept, and returns the documents that it keeps (with their new texts);
 the last one returns ids and digests. Between two stages the documents are written
-as Parquet and read again, in the folder that all executors share.
+as Parquet and read again, in the folder that all executors share; a stage's table is
+deleted when the next one is written, the last one with the session.
+
+Defined results: documents without a letter, null and empty texts among them, go in the first
+stage; where no document has a language they stay, and the last word goes with the third stage, which
+drops what has no text left. Of repeated rows and copies one stays, also where ids repeat or are
+null. Very long texts are used whole. Columns besides doc_id, text, lang, source and n_chars are kept up to
+the last stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import decontamination, language_id, ngram_jaccard, queries, sentencepiece_codec, substring_dedup
-from ridgeline.llm.lineage import shared_folder
+from ridgeline.llm.lineage import drop, shared_folder, written
 
 #: Near duplicates share at least so many percent of their sequences of so many words (op6 has its own values).
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -28,8 +35,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     models = language_id.learn(docs)
     if not models:
         return docs
-    kept = language_id.predict(docs, models).where(F.col("lang_pred") != language_id.UNDETERMINED)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    kept = language_id.predict(docs, models, lang_col="__lang_pred", score_col="__lang_score").where(F.col("__lang_pred") != language_id.UNDETERMINED)
+    return kept.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,11 +76,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    shared_folder(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = queries.table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"{folder}/{i}-{name}")
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
