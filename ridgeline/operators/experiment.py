@@ -229,10 +229,15 @@ class Experiment:
             data = self.manifest.fetch_test_data(spark) if test and self.manifest.test_source else self.manifest.fetch_data(spark)
         self.data = data
 
-    def run(self, n: int, seed: int | None = None, random_search: bool = True, context: dict | None = None, params: dict | None = None, prep_each_round: bool = True, save_to: str | None = None) -> Experiment:
-        """Prepare and train n rounds. Sets rounds, prepared and outcomes; save_to: a folder where the outcomes are written once, else each use trains again."""
-        space = ParamSpace(params or self.spec.params(), n, seed)
-        self.rounds = [{**p, **(context or {})} for p in (space if random_search else map(space.decode, range(space.n)))]
+    def run(self, n: int | None = None, seed: int | None = None, random_search: bool = True, context: dict | None = None, params: dict | None = None, prep_each_round: bool = True, save_to: str | None = None, rounds: Sequence[dict] | None = None) -> Experiment:
+        """Prepare and train n rounds of the space (default: all), or the given ones. Sets rounds, prepared and outcomes.
+
+        save_to: a folder where the outcomes are written once, else each use trains again.
+        """
+        if rounds is None:
+            space = ParamSpace(params or self.spec.params(), n, seed)
+            rounds = space if random_search else map(space.decode, range(space.n))
+        self.rounds = [{**p, **(context or {})} for p in rounds]
         if self.manifest is not None:
             if not prep_each_round:
                 raise ValueError("a manifest prepares each round")

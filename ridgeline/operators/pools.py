@@ -99,3 +99,13 @@ def online_pools(predictions: DataFrame, pools: DataFrame, how: str = "mean", ke
     regimes = sorted(r[0] for r in pools.select("regime").distinct().collect())  # as many as pools
     wide = combined.groupBy(*keys).pivot("regime", regimes).agg(F.first("prediction"))
     return wide.withColumnsRenamed({str(r): f"regime_{r}_prediction" for r in regimes})
+
+
+def rerun_pools(spec, data: DataFrame, rounds: Sequence[dict], pools: DataFrame, how: str = "mean", keys: Sequence[str] = ("series", "datetime"), threshold: float | None = None) -> DataFrame:
+    """Train the chosen models (rounds[round_id]) again on other data, and combine their predictions per pool."""
+    from ridgeline.operators.experiment import Experiment
+
+    ids = sorted({r[0] for r in pools.select("round_id").collect()})  # as many as chosen models
+    done = Experiment(spec, data).run(rounds=[rounds[i] for i in ids])
+    number = F.element_at(F.array(*map(F.lit, ids)), C("round_id") + 1)
+    return online_pools(done.predictions.withColumn("round_id", number), pools, how, keys, threshold)

@@ -8,12 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def stream_klines(trades: DataFrame, kline_size: int = 3600, delay: str = "10 minutes", keys: tuple[str, ...] = ("series",)) -> DataFrame:
-    """trades: a streaming frame whose datetime is a timestamp. State per open bucket is one row of partial sums."""
+    """trades: a streaming frame whose datetime is a timestamp. State per open bucket is one row of partial sums (so no median and no interquartile range)."""
     value = F.col("price") * F.col("quantity")
     maker = F.col("is_buyer_maker").cast("int")
     out = trades.withWatermark("datetime", delay).groupBy(*keys, F.window("datetime", f"{kline_size} seconds").alias("w")).agg(
         F.min_by("price", "trade_id").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "trade_id").alias("close"), F.avg("price").alias("mean"),
-        F.stddev_pop("price").alias("std"), F.sum("quantity").alias("volume"), F.avg(maker).alias("maker_ratio"), F.count("*").alias("no_of_trades"), F.sum(value).alias("liquidity_sum"),
+        F.stddev_pop("price").alias("std"), F.sum("quantity").alias("volume"), F.avg(maker).alias("maker_ratio"), F.count("*").alias("no_of_trades"),
+        F.min_by(value, "trade_id").alias("open_liquidity"), F.max(value).alias("high_liquidity"), F.min(value).alias("low_liquidity"), F.max_by(value, "trade_id").alias("close_liquidity"), F.sum(value).alias("liquidity_sum"),
         F.sum(maker * F.col("quantity")).alias("maker_volume"), F.sum(maker * value).alias("maker_liquidity"),
     )
     return out.withColumn("datetime", F.col("w.start")).drop("w")

@@ -132,6 +132,16 @@ def test_ready_specs(spark, bars, name):
     assert done.log(metrics).count() == 2
 
 
+def test_chosen_models_are_trained_again(spark, bars):
+    spec = SimpleNamespace(params=lambda: {"p": [1, 2, 3], "q": [0.5]}, manifest=lambda: simple().with_model(models.logreg_binary))
+    done = ex.Experiment(spec, bars).run(random_search=False)
+    chosen = spark.createDataFrame([(0, 0), (2, 1)], "round_id int, regime int")
+    later = bars.withColumn("close", F.col("close") + 1)
+    got = pools.rerun_pools(spec, later, done.rounds, chosen).orderBy("datetime").collect()
+    direct = {i: {r["datetime"]: r["prediction"] for r in ex.Experiment(spec, later).run(rounds=[done.rounds[i]]).predictions.collect()} for i in (0, 2)}
+    assert len(got) == len(direct[0]) and all(r["regime_0_prediction"] == direct[0][r["datetime"]] and r["regime_1_prediction"] == direct[2].get(r["datetime"]) for r in got)
+
+
 def test_boosted_trees_learn_interactions_and_penalties():
     r = np.random.default_rng(0)
     x = r.normal(size=(600, 5))

@@ -140,8 +140,11 @@ def test_stream_equals_batch(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     query = stream.start(stream.stream_klines(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"), once=True)
     query.awaitTermination(120)
-    got = {r["datetime"]: (r["open"], r["close"], r["volume"], r["no_of_trades"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    expected = {r["datetime"]: (r["open"], r["close"], r["volume"], r["no_of_trades"]) for r in klines(df, quantiles="ranked").collect()}
+    got = {r["datetime"]: r.asDict() for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    expected = {r["datetime"]: r.asDict() for r in klines(df, quantiles="none").collect()}
+    assert got and all({k: pytest.approx(v) if isinstance(v, float) else v for k, v in got[t].items()} == expected[t] for t in got)
+    got = {t: (r["open"], r["close"], r["volume"], r["no_of_trades"]) for t, r in got.items()}
+    expected = {t: (r["open"], r["close"], r["volume"], r["no_of_trades"]) for t, r in expected.items()}
     assert len(got) >= len(expected) - 2 and all(expected[k] == v for k, v in got.items())
 
 
