@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ridgeline.llm import textkit
-from ridgeline.llm.lineage import cut
+from ridgeline.llm.lineage import cut, small_batches
 from ridgeline.llm.sentencepiece_codec import _spread
 
 #: Fixed masks: 1 looks at the word, 0 ignores it. Each spans at most MIN_WORDS words.
@@ -150,6 +150,7 @@ class Index:
 
 def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, block_items: int) -> Iterator[Index]:
     """Indexes of the benchmark's blocks; at least one."""
+    small_batches(benchmark.sparkSession)
     ids, texts, n_words, made = [], [], 0, 0
     for row in benchmark.select(F.col(item_id_col).alias("i"), F.col(item_text_col).alias("t")).orderBy("i", "t").toLocalIterator():
         if not row[1]:

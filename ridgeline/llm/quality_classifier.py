@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm import textkit
-from ridgeline.llm.lineage import cut, few
+from ridgeline.llm.lineage import cut, few, small_batches
 
 MOST_ROWS, MAX_DOC_BYTES = 8_000, 30_000
 BUCKETS_LOG2, EPOCHS, RATE, PENALTY = 20, 12, 0.3, 1e-5
@@ -147,6 +147,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     labels: id_col and what `bad` reads (default: quality 0 or toxic 1). train_on:
     which labelled ids may be learned from (default: all).
     """
+    small_batches(docs.sparkSession)
     own = ("p_document", "p_site", "p_bad", "kept")
     kept_cols = [c for c in (docs.columns if keep is None else keep) if c not in own]
     host = F.col("source") if host is None else host

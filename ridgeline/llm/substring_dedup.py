@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm import textkit
-from ridgeline.llm.lineage import cut
+from ridgeline.llm.lineage import cut, small_batches
 from ridgeline.llm.sentencepiece_codec import _spread
 
 MIN_WORDS, ANCHOR_WORDS = 35, 8
@@ -118,6 +118,7 @@ def _parsed(docs: DataFrame, id_col: str, text_col: str, min_words: int, keep: l
     """keep, n_words, n_removed, spans, factors and kept_text. rest_whole: texts without a repeated passage stay byte for byte."""
     if not ANCHOR_WORDS <= min_words <= ANCHOR_WORDS + 55:
         raise ValueError("min_words is out of range")
+    small_batches(docs.sparkSession)
     fields = {c: docs.schema[c] for c in keep}
     key = F.coalesce(F.xxhash64(docs[id_col]) if docs.schema[id_col].dataType != T.LongType() else docs[id_col], F.lit(0))
     # where ids tell rows apart, the text's hash need not travel along; elsewhere two hashes of id and text, 128 bits together, do it
