@@ -18,7 +18,7 @@ percent * |A | B|. Steps:
    the whole sets: first one pair of each document, then those that still lie
    between components, as a pair within one can't change the result.
 5. Long lists, and groups of several members: first LEADS members are drawn from each and
-   paired with all others, then lists whose members are all in one component by now are
+   paired with the others (each document with at most LEADS of all that are drawn), then lists whose members are all in one component by now are
    done. In the others all pairs of members from different components are filtered and
    verified the same way. So no link between components is lost.
 6. Components by star contraction.
@@ -322,7 +322,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         leads = left.groupBy("l").agg(F.array(*(F.min_by(F.struct("id", "n", "i", "c", "sketch"), F.xxhash64("id", "l", F.lit(i))) for i in range(LEADS))).alias("x"))
         leads = cut(leads.select("l", F.explode(F.array_distinct("x")).alias("x")).select("l", "x.*"))
         pairs = end(left, "a").join(end(leads, "b"), "l").where((F.col("ca") != F.col("cb")) & far)
-        links = links.union(verify(cut(in_order(pairs))))
+        few_of = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_set("b")), 1, LEADS).alias("b"))  # a document's leads are bounded by its own prefix
+        links = links.union(verify(cut(in_order(few_of.select("a", F.explode("b").alias("b"))))))
         drop(left, leads)
         left = members()
         pairs = end(left, "a").join(end(left, "b"), "l").where((F.col("ca") < F.col("cb")) & far)
