@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODEL = "piece_bpe_32k.model"
+MODEL, BYTE_MODEL = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.identify(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", op.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import lexical_search as op
+
+    return op.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import filter_audit as op
+
+    return op.audit_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import byte_bpe_codec as op
+
+    found = op.encode_decode(table(spark, sf_dir, "documents"), op.load_vocabulary(tokenizer_path(BYTE_MODEL)), keep=["doc_id"], packed=True)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 #: Words of a text, as a SQL list.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -166,14 +185,46 @@ FROM g LEFT JOIN (SELECT host, segments, rejected FROM s{levels} JOIN leaves USI
 """
 
 
+def _terms(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms("text")} AS t FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS terms FROM d WHERE len(t) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_terms("text")}) AS t FROM benchmark),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(t) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+m AS (SELECT r, doc_id, 10 + (90 * len(t)::BIGINT * docs) // terms AS m FROM d, s WHERE len(t) > 0),
+f AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN p USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM f WHERE score > 0 QUALIFY rank <= 10
+"""
+
+OP12_SQL = rf"""
+WITH f AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM f LEFT JOIN g USING (doc_id)),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+y AS (SELECT part, filter_order, good, toxic, fails, coalesce(list_min([strpos(filter_order, c) FOR c IN string_split(fails, '') IF c <> '']), 9) AS gone FROM x, o),
+z AS (SELECT part, filter_order, unnest(range(1, 6)) AS step, substr(filter_order, step::INT, 1) AS own, good, toxic, fails, gone FROM y),
+a AS (SELECT part, filter_order, step, own, count_if(gone > step) AS kept, count_if(gone = step) AS removed, count_if(gone < step AND contains(fails, own)) AS redundant,
+  count_if(fails = own) AS unique_fails, count_if(gone = step AND good) AS good_lost, count_if(gone = step AND toxic) AS toxic_lost FROM z GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM a
+"""
+
 #: Host, path, rule and verdict; the longest first. Fixed values.
 OP8_RULES = (("example.com", "/en/7", "example.com/en/7", "allow"), ("example.net", "/de/8", "example.net/de/8", "block"), ("com", "/en/", "com/en/", "block"), ("net", "/de/", "net/de/", "allow"), ("org", "/es/", "org/es/", "block"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op2_quality_rules, op3_sentencepiece, op4_decontamination, op5_html_extract, op6_ngram_jaccard, op7_quality_classifier, op8_url_filters, op9_token_counts, op10_language_id]
+    found = [op1_substring_dedup, op2_quality_rules, op3_sentencepiece, op4_decontamination, op5_html_extract, op6_ngram_jaccard, op7_quality_classifier, op8_url_filters, op9_token_counts, op10_language_id, op11_lexical_search, op12_filter_audit, op13_byte_bpe]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_url_filters": op8_sql()}
+    return {"op1_substring_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_url_filters": op8_sql(), "op11_lexical_search": OP11_SQL, "op12_filter_audit": OP12_SQL}
