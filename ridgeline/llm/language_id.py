@@ -193,17 +193,17 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 def sample(docs: DataFrame, lang: Column, usable: Column, id_col: str, text_col: str, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG, max_doc_bytes: int = MAX_DOC_BYTES) -> dict[str, list[bytes]]:
     """The training sample of every language, bounded per language, on the driver.
 
-    Rows are counted per language; then only those pass whose id's hash is so low
-    that about half as many again as docs_per_lang are left of each language. These few are
-    ranked, and one text of each chosen id is read.
+    Distinct ids are counted per language (by a sketch, with a deviation of five percent); then only
+    those pass whose hash is so low that about half as many again as docs_per_lang are left of each language,
+    whatever rows share an id. These few are ranked, one row of each id, and one text of each chosen id is read.
     """
     size = F.octet_length(text_col)
     labelled = docs.where(usable & lang.isNotNull() & (size > 0))
     rows = labelled.select(lang.alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"), size.alias("n"), (size > max_doc_bytes).alias("long"))
-    counts = cut(rows.groupBy("lang", "long").agg(F.count("*").alias("c")))
+    counts = cut(rows.groupBy("lang", "long").agg(F.approx_count_distinct("id", 0.05).alias("c")))
     share = (F.pmod("h", F.lit(1 << 30)) + 1) / (1 << 30)
-    rows = rows.join(few(counts), ["lang", "long"]).where(share <= (1.5 * docs_per_lang + 50) / F.col("c")).drop("c").distinct()
-    order = Window.partitionBy("lang").orderBy("long", F.pmod("h", F.lit(1 << 30)), "id", "n")  # long texts only after all others
+    rows = rows.join(few(counts), ["lang", "long"]).where(share <= (1.5 * docs_per_lang + 50) / F.col("c")).groupBy("lang", "long", "id", "h").agg(F.min("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy("long", F.pmod("h", F.lit(1 << 30)), "id")  # long texts only after all others
     chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang)
     totals: dict[str, int] = {}
     is_long: dict[str, bool] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -135,3 +136,16 @@ def test_classifier_columns(spark):
     found = quality_classifier.classify(df, lab)
     assert found.columns == ["doc_id", "text", "lang", "source", "bad", "__host", "p_document", "p_site", "p_bad", "kept"]
     assert [(r["bad"], r["__host"], r["kept"]) for r in found.collect()] == [(4, "x", True)] * 2
+
+
+def test_languages_whose_rows_share_an_id_are_learned(spark):
+    rows = [(i, " ".join(("der", "hund", "und", "die", "katze")[(i + k) % 5] for k in range(30)), "de") for i in range(200)] + [(i, " ".join(("the", "dog", "and", "a", "cat")[(i + k) % 5] for k in range(30)), "en") for i in range(200, 400)]
+    shared = [i for i in range(900_000, 900_040) if zlib.crc32(str(i).encode()) % 5][:8]
+    for n, i in enumerate(shared):  # a language each, of 300 rows under one id
+        rows += [(i, " ".join(f"{chr(0x3B1 + n)}{chr(0x3B1 + n)}{k + r % 7}" for k in range(20)), f"x{n}") for r in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language_id.sample(df, F.col("lang"), ~language_id.held_out(), "doc_id", "text", docs_per_lang=20)
+    assert set(samples) == {"de", "en", *(f"x{n}" for n in range(8))} and all(len(v) == 1 for k, v in samples.items() if k[0] == "x")
+    assert 20 >= len(samples["de"]) > 10
+    got = language_id.identify(df.dropDuplicates(["doc_id"])).where("doc_id >= 900000").collect()
+    assert len(got) == 8 and all(r["lang_pred"] == r["lang"] for r in got)
