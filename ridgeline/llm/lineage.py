@@ -46,7 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Rows of an Arrow batch between the JVM and Python where the session leaves Spark's default: texts are long.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
