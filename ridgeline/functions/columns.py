@@ -61,28 +61,50 @@ class Series:
     def with_ewm(self, df: DataFrame, columns: dict[str, tuple[str, float]]) -> DataFrame:
         """Exponential means, y0 = x0 and y = alpha * x + (1 - alpha) * y before: {new column: (column, alpha)}.
 
-        Rows are cut into blocks of so many that a weight falls below 1e-17 in one. Within a block the mean is
-        one running sum of scaled values, and the block before adds its last mean: linear in the rows, all in
-        windows over the same partitions. A null value gives null and weighs nothing.
+        A null value gives null and weighs nothing. As the recursion has it, nothing is finite again after a NaN (or
+        infinities of both signs), and after an infinity all is infinite.
+        """
+        own = {new: f"__y{k}" for k, new in enumerate(columns)}
+        marks = {new: f"__m{k}" for k, new in enumerate(columns)}
+        out = self.with_decayed(df, {own[new]: (c, alpha) for new, (c, alpha) in columns.items()}).withColumns({marks[new]: F.bit_or(odd(c)).over(self.so_far) for new, (c, _) in columns.items()})
+        return out.withColumns({new: F.when(F.col(c).isNotNull(), spoiled(F.col(own[new]), F.col(marks[new]))) for new, (c, _) in columns.items()}).drop(*own.values(), *marks.values())
+
+    def with_decayed(self, df: DataFrame, columns: dict[str, tuple[str, float]], seeded: Column | None = None) -> DataFrame:
+        """The recursion y = alpha * x + (1 - alpha) * y before, from 0; null, NaN and infinite values count as 0.
+
+        Where `seeded` holds (default: everywhere) the first row of a series weighs 1. Rows are cut into blocks of so many
+        that a weight falls below 1e-17 in one. Within a block the mean is one running sum of scaled values, and the block
+        before adds its last mean: linear in the rows, all in windows over the same partitions.
         """
         df, own = df.withColumn("__i", F.row_number().over(self.window) - 1), ["__i"]
+        first = F.col("__i") == 0 if seeded is None else (F.col("__i") == 0) & seeded
         for k, (new, (c, alpha)) in enumerate(columns.items()):
+            value = F.when(odd(c) == 0, F.col(c).cast("double"))
             if alpha >= 1:
-                df = df.withColumn(new, F.col(c).cast("double"))
+                df = df.withColumn(new, F.coalesce(value, F.lit(0.0)))
                 continue
             q, n = 1 - alpha, math.ceil(math.log(1e-17) / math.log(1 - alpha))
             place, (block, term, local, end) = F.col("__i") % n, (f"__{x}{k}" for x in "btle")
             within = Window.partitionBy(*self.keys, block).orderBy(*self.order)
-            weight = F.when(F.col("__i") == 0, 1.0).otherwise(alpha)
-            df = df.withColumns({block: F.floor(F.col("__i") / n), term: weight * F.col(c) * F.pow(F.lit(1 / q), place)})
+            df = df.withColumns({block: F.floor(F.col("__i") / n), term: F.when(first, 1.0).otherwise(alpha) * value * F.pow(F.lit(1 / q), place)})
             df = df.withColumn(local, F.coalesce(F.sum(term).over(within.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)) * F.pow(F.lit(q), place))
             df = df.withColumn(end, F.last(local).over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-            before = F.coalesce(F.lag(end, n).over(self.window), F.lit(0.0))
-            df = df.withColumn(new, F.when(F.col(c).isNotNull(), F.col(local) + before * F.pow(F.lit(q), place + 1)))
+            df = df.withColumn(new, F.col(local) + F.coalesce(F.lag(end, n).over(self.window), F.lit(0.0)) * F.pow(F.lit(q), place + 1))
             own += [block, term, local, end]
         return df.drop(*own)
 
 
+def odd(c: str | Column) -> Column:
+    """4 for NaN, 1 and 2 for the infinities, 0 for other values and null."""
+    c = col(c).cast("double")
+    return F.when(F.isnan(c), 4).when(c == INF, 1).when(c == -INF, 2).otherwise(0)
+
+
+def spoiled(y: Column, marks: Column) -> Column:
+    """A sum's value after all that odd() marked in the rows before."""
+    return F.when(marks >= 3, NAN).when(marks == 1, INF).when(marks == 2, -INF).otherwise(y)
+
+
 def fdiv(a: str | Column, b: str | Column) -> Column:
     a, b = col(a).cast("double"), col(b).cast("double")
     return F.when(b != 0, a / b).when(b.isNull() | a.isNull(), None).when(F.isnan(a) | (a == 0), NAN).when(a > 0, INF).otherwise(-INF)

@@ -1,7 +1,8 @@
 """Experiments: a manifest declares how rows become a model's data; a loop runs many rounds as one Spark job.
 
 Preparation is a plan of DataFrame operations: selection, split, bars, features, target and scaling,
-with everything fitted on the training split. A round's prepared rows are packed (features as one array),
+with everything fitted on the training split. All rounds are prepared as one graph (operators/graph.py), in which steps
+that rounds have in common are computed once. A round's prepared rows are packed (features as one array),
 so that rounds with different features stand in one table, and each (round, series) is one task's group.
 """
 
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from ridgeline.functions.columns import Series, drop_null_rows
 from ridgeline.operators import evaluation as ev
 from ridgeline.operators import prep
-from ridgeline.operators.sweep import ParamSpace, model_arguments, resolve, train_rounds
+from ridgeline.operators.graph import FeatureGraph, staged_in
+from ridgeline.operators.sweep import ParamSpace, Task, model_arguments, resolve, train_rounds
 
 C = F.col
 
@@ -229,30 +231,42 @@ class Experiment:
             data = self.manifest.fetch_test_data(spark) if test and self.manifest.test_source else self.manifest.fetch_data(spark)
         self.data = data
 
-    def run(self, n: int | None = None, seed: int | None = None, random_search: bool = True, context: dict | None = None, params: dict | None = None, prep_each_round: bool = True, save_to: str | None = None, rounds: Sequence[dict] | None = None) -> Experiment:
-        """Prepare and train n rounds of the space (default: all), or the given ones. Sets rounds, prepared and outcomes.
+    def run(self, n: int | None = None, seed: int | None = None, random_search: bool = True, context: dict | None = None, params: dict | None = None, prep_each_round: bool = True, save_to: str | None = None, rounds: Sequence[dict] | None = None, stage_in: str | None = None) -> Experiment:
+        """Prepare and train n rounds of the space (default: all), or the given ones. Sets rounds, graph and outcomes.
 
-        save_to: a folder where the outcomes are written once, else each use trains again.
+        save_to: a folder where the outcomes are written once, else each use trains again. stage_in: a folder, shared by all executors,
+        where the features of all rounds are written once before anything is fitted on them, so that the source is scanned
+        once; else fits read the source for themselves.
         """
         if rounds is None:
             space = ParamSpace(params or self.spec.params(), n, seed)
             rounds = space if random_search else map(space.decode, range(space.n))
-        self.rounds = [{**p, **(context or {})} for p in rounds]
+        self.rounds, self._prepared = [{**p, **(context or {})} for p in rounds], {}
         if self.manifest is not None:
             if not prep_each_round:
                 raise ValueError("a manifest prepares each round")
-            make, model, extension = (lambda p: self.manifest.prepare(self.data, p, self.keys)), self.manifest.model, self.manifest.extension
+            self.graph = FeatureGraph(self.manifest, self.data, self.rounds, self.keys, staged_in(stage_in) if stage_in else None)
+            model, scaler = self.manifest.model, self.manifest.scaler_rules
+            rules = {tuple(f): prep.Scaler([*f, self.manifest.target], scaler, self.keys).rule for f in self.graph.features} if scaler is not None else {}
+            own = {i: Task(model, model_arguments(model, p), self.graph.features[i], self.manifest.extension, rules.get(tuple(self.graph.features[i])), self.manifest.target) for i, p in enumerate(self.rounds)}
+            packed = self.graph.packed
         else:
-            make, model, extension = (lambda p: self.spec.prep(self.data, p)), self.spec.model, None
-        first = None if prep_each_round or not self.rounds else make(self.rounds[0])
-        self.prepared = [first or make(p) for p in self.rounds]
-        packed = reduce(DataFrame.unionByName, (p.packed(i) for i, p in enumerate(self.prepared)))
-        self.outcomes = train_rounds(packed, {i: (model, model_arguments(model, p), self.prepared[i].features, extension) for i, p in enumerate(self.rounds)}, self.keys)
+            first = None if prep_each_round or not self.rounds else self.spec.prep(self.data, self.rounds[0])
+            self._prepared = {i: first or self.spec.prep(self.data, p) for i, p in enumerate(self.rounds)}
+            packed = reduce(DataFrame.unionByName, (p.packed(i) for i, p in self._prepared.items()))
+            own = {i: Task(self.spec.model, model_arguments(self.spec.model, p), self._prepared[i].features) for i, p in enumerate(self.rounds)}
+        self.outcomes = train_rounds(packed, own, self.keys)
         if save_to is not None:
             self.outcomes.write.mode("overwrite").parquet(save_to)
             self.outcomes = self.data.sparkSession.read.parquet(save_to)
         return self
 
+    def prepared(self, round_id: int) -> Prepared:
+        """One round's rows, prepared for themselves."""
+        if round_id not in self._prepared:
+            self._prepared[round_id] = self.manifest.prepare(self.data, self.rounds[round_id], self.keys)
+        return self._prepared[round_id]
+
     @property
     def predictions(self) -> DataFrame:
         return self.outcomes.select("round_id", *self.keys, F.explode("rows").alias("r")).select("round_id", *self.keys, "r.*")
@@ -270,14 +284,18 @@ class Experiment:
 
     def test_rows(self, round_id: int) -> DataFrame:
         """The bars of a round's test window with all columns, without the times that preparation lost."""
-        p = self.prepared[round_id]
+        p = self.prepared(round_id)
         within = p.bars.where("split = 'test'").join(F.broadcast(p.test_range()), list(p.keys)).where("datetime BETWEEN first_test_datetime AND last_test_datetime")
         return within.join(p.missing(), [*p.keys, "datetime"], "left_anti").drop("first_test_datetime", "last_test_datetime")
 
     def performance(self) -> DataFrame:
         """Predictions with their bars' prices, hit or miss, of all rounds."""
-        bars = reduce(DataFrame.unionByName, (self.test_rows(i).select(F.lit(i).alias("round_id"), *self.keys, "datetime", "open", "close") for i in range(len(self.rounds))))
-        return ev.prediction_performance(self.predictions, bars, ("round_id", *self.keys))
+        if self.manifest is None:
+            bars = reduce(DataFrame.unionByName, (self.test_rows(i).select(F.lit(i).alias("round_id"), *self.keys, "datetime", "open", "close") for i in range(len(self.rounds))))
+            return ev.prediction_performance(self.predictions, bars, ("round_id", *self.keys))
+        bases = self.data.sparkSession.createDataFrame(list(enumerate(self.graph.base_of)), "round_id int, base int")
+        found = ev.prediction_performance(self.predictions.join(F.broadcast(bases), "round_id"), self.graph.bars(), ("base", *self.keys))
+        return found.drop("base").select("round_id", *(c for c in found.columns if c not in ("round_id", "base")))
 
     def confusion(self, x: str, **options) -> DataFrame:
         """The parameters of each round, then its confusion metrics."""
@@ -301,6 +319,14 @@ def quantile_cutoff(train: DataFrame, keys: Sequence[str], col: str, q: float) -
     return prep.quantiles(train, keys, {"value": (col, 1.0 - q)})
 
 
+def _many_cutoffs(train: DataFrame, keys: Sequence[str], wanted: dict[str, dict]) -> DataFrame:
+    """The cut-offs of many rounds, by name, from one ranking."""
+    return prep.quantiles(train, keys, {name: (own["col"], 1.0 - own["q"]) for name, own in wanted.items()})
+
+
+quantile_cutoff.many = _many_cutoffs
+
+
 def flag_above(df: DataFrame, s: Series, target_column: str, col: str, cutoff: Column) -> DataFrame:
     """1 where the column is above the fitted cut-off."""
     return df.withColumn(target_column, (C(col) > cutoff).cast("int"))

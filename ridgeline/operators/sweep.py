@@ -7,6 +7,7 @@ import json
 import random
 import time
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from math import prod
 from typing import Any
 
@@ -84,12 +85,23 @@ def model_arguments(model: Callable, params: dict) -> dict[str, Any]:
     return out
 
 
-def train_rounds(packed: DataFrame, rounds: dict[int, tuple[Callable, dict, list[str], Callable | None]], keys: Sequence[str]) -> DataFrame:
+@dataclass(frozen=True)
+class Task:
+    """What a round trains: model(data, **arguments) on these features. extension: may add to the data; rules: a scaling of features and target by name, fitted on the training rows."""
+
+    model: Callable
+    arguments: dict
+    features: list[str]
+    extension: Callable | None = None
+    rules: dict[str, str] | None = None
+    target: str | None = None
+
+
+def train_rounds(packed: DataFrame, rounds: dict[int, Task], keys: Sequence[str]) -> DataFrame:
     """One row per round and series: round_id, keys, seconds, extras (JSON), rows (datetime, prediction, proba, actual of the test split).
 
-    rounds: by round_id the model, its arguments, the features' names and an extension of the data. Rows
-    with a null, NaN or infinite number are left out; a series that then has no two training rows or no
-    test row in a round gives no row.
+    packed: round_id, keys, datetime, split, x, y. Rows with a null, NaN or infinite number, before or after scaling, are left out; a series
+    that then has no two training rows or no test row in a round gives no row.
     """
     spec = T.StructType([T.StructField("round_id", T.IntegerType()), *(packed.schema[k] for k in keys), T.StructField("seconds", T.DoubleType()), T.StructField("extras", T.StringType())])
     test_row = T.StructType([packed.schema["datetime"], *(T.StructField(c, T.DoubleType()) for c in ("prediction", "proba", "actual"))])
@@ -100,24 +112,50 @@ def train_rounds(packed: DataFrame, rounds: dict[int, tuple[Callable, dict, list
         import pandas as pd
 
         began = time.time()
-        model, arguments, features, extension = rounds[int(pdf["round_id"].iloc[0])]
-        pdf = pdf[np.isfinite(np.column_stack([np.array(pdf["x"].to_list(), float), pdf["y"].to_numpy(float)])).all(axis=1)].sort_values("datetime", kind="stable")
-        part = {s: pdf[pdf["split"] == s] for s in SPLITS}
-        if len(part["train"]) < 2 or not len(part["test"]):
+        task = rounds[int(pdf["round_id"].iloc[0])]
+        split = pdf["split"].to_numpy()
+        own = np.column_stack([np.concatenate(pdf["x"].to_numpy()).astype(float).reshape(len(pdf), len(task.features)), pdf["y"].to_numpy(float)])
+        if task.rules is not None:
+            own = scaled(own, split == "train", [task.rules[c] for c in (*task.features, task.target)])
+        order = np.argsort(pdf["datetime"].to_numpy(), kind="stable")
+        order = order[np.isfinite(own[order]).all(axis=1)]
+        own, split, when = own[order], split[order], pdf["datetime"].to_numpy()[order]
+        if (split == "train").sum() < 2 or not (split == "test").any():
             return pd.DataFrame(columns=schema.names)
-        data: dict[str, Any] = {"features": features}
-        for s, own in part.items():
-            data[f"x_{s}"] = np.stack(own["x"].to_list()) if len(own) else np.zeros((0, len(features)))
-            data[f"y_{s}"] = own["y"].to_numpy(float)
-        if extension is not None:
-            data = extension(data, arguments)
-        got = model(data, **arguments)
-        rows = [{"datetime": t, "prediction": float(p), "proba": float(q), "actual": float(a)} for t, p, q, a in zip(part["test"]["datetime"], got["prediction"], got.get("proba", got["prediction"]), data["y_test"], strict=True)]
+        data: dict[str, Any] = {"features": task.features}
+        for s in SPLITS:
+            data[f"x_{s}"], data[f"y_{s}"] = own[split == s, :-1], own[split == s, -1]
+        if task.extension is not None:
+            data = task.extension(data, task.arguments)
+        got = task.model(data, **task.arguments)
+        rows = [{"datetime": t, "prediction": float(p), "proba": float(q), "actual": float(a)} for t, p, q, a in zip(pd.Series(when[split == "test"]), got["prediction"], got.get("proba", got["prediction"]), data["y_test"], strict=True)]
         return pd.DataFrame([[*(pdf[c].iloc[0] for c in ("round_id", *keys)), round(time.time() - began, 3), json.dumps(got.get("extras", {})), rows]], columns=schema.names)
 
     return packed.groupBy("round_id", *keys).applyInPandas(train, schema)
 
 
+def scaled(values, train, rules: Sequence[str]):
+    """Columns scaled by prep.Scaler's rules with the training rows' figures; a number without a logarithm (log1p) becomes NaN and doesn't count."""
+    import numpy as np
+
+    out = values.copy()
+    for j, rule in enumerate(rules):
+        if rule == "none":
+            continue
+        v = values[:, j]
+        if rule == "divide_100":
+            out[:, j] = v / 100.0
+            continue
+        lost = np.zeros(len(v), bool)
+        if rule == "log_standard":
+            lost = v <= -1
+            v = np.log1p(np.where(lost, 0, v))
+        fit = v[train & ~lost]
+        sd = fit.std() if len(fit) else np.nan
+        out[:, j] = np.where(lost, np.nan, (v - (fit.mean() if len(fit) else np.nan)) / (1.0 if sd == 0 else sd))
+    return out
+
+
 def _standardised(data: dict) -> dict:
     import numpy as np
 
@@ -148,7 +186,7 @@ def run_sweep(prepared: DataFrame, rounds: Sequence[dict], features: Callable[[d
     """
     packs = [F.struct(F.lit(i).alias("round_id"), F.array(*(F.col(c).cast("double") for c in features(p))).alias("x"), F.col(target(p)).cast("double").alias("y")) for i, p in enumerate(rounds)]
     packed = prepared.select(*keys, "datetime", "split", F.explode(F.array(*packs)).alias("p")).select(*keys, "datetime", "split", "p.*").where("y IS NOT NULL")
-    got = train_rounds(packed, {i: (_sweep_model(model, p), {}, list(features(p)), None) for i, p in enumerate(rounds)}, keys)
+    got = train_rounds(packed, {i: Task(_sweep_model(model, p), {}, list(features(p))) for i, p in enumerate(rounds)}, keys)
     return got.select("round_id", *keys, F.explode("rows").alias("r")).select("round_id", *keys, "r.*")
 
 

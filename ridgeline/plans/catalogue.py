@@ -14,7 +14,8 @@ from ridgeline.functions.columns import Series, drop_null_rows, finite, q_neares
 from ridgeline.operators import evaluation as ev
 from ridgeline.operators import experiment as ex
 from ridgeline.operators import features as ft
-from ridgeline.operators import flux, pools, prep, spans, specs, sweep
+from ridgeline.operators import flux, long_series, pools, prep, spans, specs, sweep
+from ridgeline.operators.graph import FeatureGraph
 from ridgeline.operators import indicators as ind
 from ridgeline.operators.bars import compute_bars
 from ridgeline.operators.klines import klines
@@ -386,6 +387,47 @@ def manifest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.Experiment(spec, _bars_of(spark, sf_dir)).run(2, seed=3).confusion("price_change")
 
 
+def manifest_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared rows of eight rounds from one graph: period, quantile and shift differ."""
+    m = ex.Manifest().add_indicator(ind.roc, period="p").with_target("flag").add_fitted_transform(ex.flag_above).fit_param("_cut", ex.quantile_cutoff, col="roc_{p}", q="q").with_params(target_column="target_column", col="roc_{p}", cutoff="_cut")
+    m = m.add_transform(ex.shifted, column="target_column", shift="shift").done()
+    rounds = [{"p": p, "q": k, "shift": shift} for p in (1, 4) for k in (0.3, 0.4) for shift in (-1, -2)]
+    rows = FeatureGraph(m, hourly(spark, sf_dir).select("series", "datetime", "close", "volume"), rounds).packed
+    return show(rows.withColumns({c: F.get("x", i) for i, c in enumerate(("close", "volume", "roc"))}).withColumnRenamed("y", "flag"), ["close", "volume", "roc", "flag"], others=("round_id", "split"))
+
+
+# one series of all trades, in segments
+
+TICKS, TICK_ROWS = Series(("series",), ("datetime", "trade_id")), 4096
+
+
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.from_events(read(spark, sf_dir, "events")).select("series", "datetime", "trade_id", "price", "quantity")
+
+
+def _tick_windows(df: DataFrame, s: Series) -> DataFrame:
+    mean = s.mean("price", 20)
+    df = df.withColumns({"mean_20": mean, "std_20": s.std("price", 20), "change_12": s.change("price", 12), "top_50": s.roll(F.max, "price", 50), "ahead_5": s.lag("price", -5)})
+    return df.withColumn("dev_std", s.std("mean_20", 10))
+
+
+def long_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = long_series.rolling(_ticks(spark, sf_dir), _tick_windows, TICKS, look_back=50, look_ahead=5, segment_rows=TICK_ROWS)
+    return show(out, ["mean_20", "std_20", "change_12", "top_50", "ahead_5", "dev_std"], keys=("datetime", "trade_id"))
+
+
+def long_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = long_series.rolling(_ticks(spark, sf_dir), lambda d, s: d.withColumn("gross", 1 + s.change("price")), TICKS, look_back=1, segment_rows=TICK_ROWS)
+    df = df.withColumn("large", F.when(C("quantity") > 5, C("price")))
+    out = long_series.running(df, {"total": ("sum", "quantity"), "top": ("max", "price"), "n_large": ("count", "large"), "equity": ("product", "gross"), "last_large": ("last", "large")}, TICKS, TICK_ROWS)
+    return show(out, ["total", "top", "n_large", "equity", "last_large"], keys=("datetime", "trade_id"), digits=4)
+
+
+def long_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = long_series.ewm(_ticks(spark, sf_dir), {"ewm_14": ("price", 1 / 14), "ewm_3": ("quantity", 1 / 3)}, TICKS, TICK_ROWS)
+    return show(out, ["ewm_14", "ewm_3"], keys=("datetime", "trade_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     by_type = lambda spark, sf_dir: tr.from_events(read(spark, sf_dir, "events"), C("event_type"))
     out = {name: _over_klines(entry[0], entry[1], *entry[2:]) for name, entry in OVER_KLINES.items()}
@@ -408,6 +450,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "iqr_filter_constant": lambda spark, sf_dir: show(pools.iqr_filter(hourly(spark, sf_dir).withColumn("flat", (C("close") > 450).cast("int")), ["flat", "std"]), ["flat", "std"]),
         "manifest_prepared": manifest_prepared, "manifest_logreg": _experiment("logreg", {"roc_period": [1, 4, 12], "shift": [-1, -2]}), "manifest_random": _experiment("random", {}),
         "manifest_boosted": _experiment("boosted", {"n_estimators": [30], "learning_rate": [0.1]}, ev.continuous_metrics), "manifest_calibrated": _experiment("calibrated", {"forward_periods": [2, 4]}), "manifest_confusion": manifest_confusion,
+        "manifest_graph": manifest_graph, "long_rolling": long_rolling, "long_running": long_running, "long_ewm": long_ewm,
     }
     return out
 

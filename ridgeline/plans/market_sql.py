@@ -231,6 +231,35 @@ s AS (SELECT series, avg(close) AS mc, stddev_pop(close) AS sc, avg(ln(1 + volum
 SELECT series, datetime, split, {_r('(close - mc) / sc', 'close')}, {_r('(ln(1 + volume) - mv) / sv', 'volume')}, {_r('x', 'roc_4')}, {_r('flag', 'flag')} FROM k JOIN s USING (series)"""
 
 
+def _graph() -> str:
+    """The rounds of manifest_graph, each for itself."""
+    one = """SELECT {i} AS round_id, series, datetime, split, close, volume, x AS roc, flag FROM (SELECT *, lead(y, {ahead}) OVER (PARTITION BY series, split ORDER BY datetime) AS flag FROM
+  (SELECT p.*, (x > cut)::INT AS y FROM ({rows}) p JOIN (SELECT series, {cut} AS cut FROM ({rows}) WHERE split = 'train' GROUP BY series) USING (series))) WHERE x IS NOT NULL AND flag IS NOT NULL"""
+    rounds = [(p, q, ahead) for p in (1, 4) for q in (0.3, 0.4) for ahead in (1, 2)]
+    roc = lambda p: f"SELECT series, datetime, split, close, volume, (close / lag(close, {p}) OVER (PARTITION BY series, split ORDER BY datetime) - 1) * 100 AS x FROM ({SPLIT})"
+    every = " UNION ALL ".join(one.format(i=i, rows=roc(p), cut=near("x", 1.0 - q), ahead=ahead) for i, (p, q, ahead) in enumerate(rounds))
+    return f"SELECT round_id, series, datetime, split, {', '.join(_r(c, c) for c in ('close', 'volume', 'roc', 'flag'))} FROM ({every})"
+
+
+TICKS = f"SELECT datetime, trade_id, price, quantity FROM ({TRADES})"
+
+
+def _tick(f: str, c: str, n: int) -> str:
+    w = f"OVER (ORDER BY datetime, trade_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({c}) {w} = {n} THEN {f}({c}) {w} END"
+
+
+_T, _SO_FAR = "OVER (ORDER BY datetime, trade_id)", "OVER (ORDER BY datetime, trade_id ROWS UNBOUNDED PRECEDING)"
+LONG_ROLLING = f"""WITH t AS ({TICKS}), w AS (SELECT *, {_tick('avg', 'price', 20)} AS mean_20, {_tick('stddev_samp', 'price', 20)} AS std_20, price / lag(price, 12) {_T} - 1 AS change_12,
+  {_tick('max', 'price', 50)} AS top_50, lead(price, 5) {_T} AS ahead_5 FROM t), d AS (SELECT *, {_tick('stddev_samp', 'mean_20', 10)} AS dev_std FROM w)
+SELECT datetime, trade_id, {', '.join(_r(c, c) for c in ('mean_20', 'std_20', 'change_12', 'top_50', 'ahead_5', 'dev_std'))} FROM d"""
+LONG_RUNNING = f"""WITH t AS ({TICKS}), g AS (SELECT *, price / lag(price) {_T} AS gross, CASE WHEN quantity > 5 THEN price END AS large FROM t)
+SELECT datetime, trade_id, round((sum(quantity) {_SO_FAR})::DOUBLE, 4) AS total, round((max(price) {_SO_FAR})::DOUBLE, 4) AS top, round((count(large) {_SO_FAR})::DOUBLE, 4) AS n_large,
+  round((product(gross) {_SO_FAR})::DOUBLE, 4) AS equity, round((last_value(large IGNORE NULLS) {_SO_FAR})::DOUBLE, 4) AS last_large FROM g"""
+#: The weights of rows further back than 600 are below the rounding.
+LONG_EWM = f"""WITH t AS ({TICKS}) SELECT datetime, trade_id, {', '.join(f"round(list_reduce(list({c}::DOUBLE) OVER (ORDER BY datetime, trade_id ROWS 600 PRECEDING), lambda x, y: {1 - a!r} * x + {a!r} * y), 6) AS {n}" for n, c, a in (('ewm_14', 'price', 1 / 14), ('ewm_3', 'quantity', 1 / 3)))} FROM t"""
+
+
 def _flagship() -> str:
     bars = klines(3600, f"SELECT * REPLACE ('all' AS series) FROM ({TRADES})")
     split = f"SELECT * EXCLUDE (series), CASE WHEN i < floor(cnt * 8 / 11) THEN 'train' WHEN i < floor(cnt * 8 / 11) + floor(cnt * 1 / 11) THEN 'val' ELSE 'test' END AS series FROM (SELECT *, row_number() OVER (ORDER BY datetime) - 1 AS i, count(*) OVER () AS cnt FROM ({bars}))"
@@ -286,6 +315,7 @@ def oracle_sql() -> dict[str, str]:
         "confidence_filter": f"WITH m AS (SELECT round_id, datetime, hour(datetime) % 2 = 0 AS val, target, avg(close * (1 + 0.01 * i) + i * maker_ratio) AS p, stddev_pop(close * (1 + 0.01 * i) + i * maker_ratio) AS u FROM ({PRED}), range(3) r(i) GROUP BY ALL), t AS (SELECT quantile_cont(u, 0.8) AS t FROM m WHERE val) SELECT round_id, datetime, u <= t AS is_confident, {_r('p', 'prediction')}, {_r('u', 'uncertainty')}, {_r('t', 'confidence_threshold')}, {_r('target', 'actual_value')}, {_r('1 / (1 + u)', 'confidence_score')} FROM m, t WHERE NOT val",
         "aggregate_predictions": f"WITH p AS ({PRED}) SELECT 'mean' AS how, datetime, {_r('avg(prediction)', 'prediction')} FROM p GROUP BY 2 UNION ALL SELECT 'median', datetime, {_r('median(prediction)', 'prediction')} FROM p GROUP BY 2 UNION ALL SELECT 'majority', datetime, arg_max(prediction, (n, f))::DOUBLE FROM (SELECT datetime, prediction, count(*) AS n, max(-substr(round_id, 2, 1)::INT) AS f FROM p GROUP BY 1, 2) GROUP BY 2",
         "iqr_filter": _iqr(K, ["volume", "std"], 0.5), "iqr_filter_constant": _iqr(f"SELECT *, (close > 450)::INT AS flat FROM ({K})", ["flat", "std"], 3.0), "calibrate": CALIBRATED, "split_random": SPLIT_RANDOM, "manifest_prepared": PREPARED, "flagship": _flagship(),
+        "manifest_graph": _graph(), "long_rolling": LONG_ROLLING, "long_running": LONG_RUNNING, "long_ewm": LONG_EWM,
     }
     return out
 
