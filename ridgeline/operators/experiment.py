@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.columns import Series, drop_null_rows
 from ridgeline.operators import evaluation as ev
-from ridgeline.operators import prep
+from ridgeline.operators import large_models, models, prep
 from ridgeline.operators.graph import FeatureGraph, staged_in
 from ridgeline.operators.sweep import ParamSpace, Task, model_arguments, resolve, train_rounds
+from ridgeline.plans.staging import Staged
 
 C = F.col
 
@@ -267,6 +268,20 @@ class Experiment:
             self._prepared[round_id] = self.manifest.prepare(self.data, self.rounds[round_id], self.keys)
         return self._prepared[round_id]
 
+    def fit_large(self, n: int | None = None, seed: int | None = None, rounds: Sequence[dict] | None = None) -> DataFrame:
+        """Predictions of logistic regressions over series of any length: as run() for such a manifest, but no series is gathered in a task."""
+        if self.manifest is None or self.manifest.model is not models.logreg_binary or self.manifest.extension is not None:
+            raise ValueError("only a manifest with logreg_binary, and without additions to its data, is fitted this way")
+        self.rounds, self._prepared = [dict(p) for p in (ParamSpace(self.spec.params(), n, seed) if rounds is None else rounds)], {}
+        self.graph = FeatureGraph(self.manifest, self.data, self.rounds, self.keys)
+        packed = self.graph.packed
+        if self.manifest.scaler_rules is not None:
+            rules = {i: prep.Scaler([*f, self.manifest.target], self.manifest.scaler_rules, self.keys).rule for i, f in enumerate(self.graph.features)}
+            packed = large_models.scaled(packed, {i: [r[c] for c in (*self.graph.features[i], self.manifest.target)] for i, r in rules.items()}, self.keys)
+        packed = Staged(packed).df
+        self.coefficients = large_models.fit_logistic(packed, {i: model_arguments(models.logreg_binary, p) for i, p in enumerate(self.rounds)}, self.keys)
+        return large_models.predict(packed, self.coefficients, self.keys)
+
     @property
     def predictions(self) -> DataFrame:
         return self.outcomes.select("round_id", *self.keys, F.explode("rows").alias("r")).select("round_id", *self.keys, "r.*")
