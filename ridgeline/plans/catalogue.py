@@ -14,7 +14,7 @@ from ridgeline.functions.columns import Series, drop_null_rows, finite, q_neares
 from ridgeline.operators import evaluation as ev
 from ridgeline.operators import experiment as ex
 from ridgeline.operators import features as ft
-from ridgeline.operators import flux, long_series, pools, prep, spans, specs, sweep
+from ridgeline.operators import flux, long_series, pools, prep, spans, specs, sweep, time_joins
 from ridgeline.operators.graph import FeatureGraph
 from ridgeline.operators import indicators as ind
 from ridgeline.operators.bars import compute_bars
@@ -428,6 +428,31 @@ def long_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(out, ["ewm_14", "ewm_3"], keys=("datetime", "trade_id"))
 
 
+# joins by time
+
+
+def _calm_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars that close above their mean: of each series some hours are missing."""
+    return hourly(spark, sf_dir).where("close > mean").select("series", C("datetime").alias("bar_time"), "close")
+
+
+def _asof(direction: str, tolerance: int | None, exact: bool) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bars = _calm_bars(spark, sf_dir).withColumn("datetime", C("bar_time"))
+        rows = trades(spark, sf_dir).select("series", "datetime", "trade_id", "price")
+        out = time_joins.asof_join(rows, bars, direction=direction, tolerance=tolerance, exact=exact, columns=["bar_time", "close"], segment_rows=TICK_ROWS)
+        return show(out, ["price", "close"], keys=("trade_id", "bar_time"))
+
+    return run
+
+
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trades of each bar's next hours, as many as its last digit says, summed up by bar."""
+    spans = hourly(spark, sf_dir).select("series", C("datetime").alias("start"), (C("datetime") + F.make_dt_interval(hours=(C("no_of_trades") % 10).cast("int"))).alias("end"))
+    met = time_joins.interval_join(trades(spark, sf_dir), spans)
+    return show(met.groupBy("series", "start").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"), F.max("price").alias("top")), ["n", "quantity", "top"], keys=("series", "start"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     by_type = lambda spark, sf_dir: tr.from_events(read(spark, sf_dir, "events"), C("event_type"))
     out = {name: _over_klines(entry[0], entry[1], *entry[2:]) for name, entry in OVER_KLINES.items()}
@@ -451,6 +476,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "manifest_prepared": manifest_prepared, "manifest_logreg": _experiment("logreg", {"roc_period": [1, 4, 12], "shift": [-1, -2]}), "manifest_random": _experiment("random", {}),
         "manifest_boosted": _experiment("boosted", {"n_estimators": [30], "learning_rate": [0.1]}, ev.continuous_metrics), "manifest_calibrated": _experiment("calibrated", {"forward_periods": [2, 4]}), "manifest_confusion": manifest_confusion,
         "manifest_graph": manifest_graph, "long_rolling": long_rolling, "long_running": long_running, "long_ewm": long_ewm,
+        "asof_backward": _asof("backward", None, True), "asof_forward": _asof("forward", 6 * 3_600_000_000, False), "asof_nearest": _asof("nearest", None, True), "interval_join": interval_join,
     }
     return out
 

@@ -260,6 +260,23 @@ SELECT datetime, trade_id, round((sum(quantity) {_SO_FAR})::DOUBLE, 4) AS total,
 LONG_EWM = f"""WITH t AS ({TICKS}) SELECT datetime, trade_id, {', '.join(f"round(list_reduce(list({c}::DOUBLE) OVER (ORDER BY datetime, trade_id ROWS 600 PRECEDING), lambda x, y: {1 - a!r} * x + {a!r} * y), 6) AS {n}" for n, c, a in (('ewm_14', 'price', 1 / 14), ('ewm_3', 'quantity', 1 / 3)))} FROM t"""
 
 
+def _asof(kind: str) -> str:
+    bars = f"SELECT series, datetime AS bar_time, close FROM ({klines()}) WHERE close > mean"
+    one = lambda sign: f"SELECT t.*, b.bar_time, b.close FROM ({TRADES}) t ASOF LEFT JOIN b ON t.series = b.series AND t.datetime {sign} b.bar_time"
+    if kind == "nearest":
+        found = f"""SELECT p.trade_id, p.price, CASE WHEN later THEN n.bar_time ELSE p.bar_time END AS bar_time, CASE WHEN later THEN n.close ELSE p.close END AS close
+  FROM ({one('>=')}) p JOIN ({one('<=')}) n USING (trade_id), LATERAL (SELECT n.bar_time IS NOT NULL AND (p.bar_time IS NULL OR epoch_us(n.bar_time) - epoch_us(n.datetime) < epoch_us(n.datetime) - epoch_us(p.bar_time)) AS later)"""
+    elif kind == "forward":
+        found = f"SELECT * REPLACE (CASE WHEN near THEN bar_time END AS bar_time, CASE WHEN near THEN close END AS close) FROM (SELECT *, bar_time - datetime <= INTERVAL 6 HOUR AS near FROM ({one('<')}))"
+    else:
+        found = one(">=")
+    return f"WITH b AS ({bars}) SELECT trade_id, bar_time, {_r('price', 'price')}, {_r('close', 'close')} FROM ({found})"
+
+
+INTERVALS = f"""WITH s AS (SELECT series, datetime AS start, datetime + INTERVAL 1 HOUR * (no_of_trades % 10) AS stop FROM ({klines()}))
+SELECT s.series, start, round(count(*)::DOUBLE, 6) AS n, {_r('sum(quantity)', 'quantity')}, {_r('max(price)', 'top')} FROM s JOIN ({TRADES}) t ON t.series = s.series AND t.datetime >= start AND t.datetime < stop GROUP BY ALL"""
+
+
 def _flagship() -> str:
     bars = klines(3600, f"SELECT * REPLACE ('all' AS series) FROM ({TRADES})")
     split = f"SELECT * EXCLUDE (series), CASE WHEN i < floor(cnt * 8 / 11) THEN 'train' WHEN i < floor(cnt * 8 / 11) + floor(cnt * 1 / 11) THEN 'val' ELSE 'test' END AS series FROM (SELECT *, row_number() OVER (ORDER BY datetime) - 1 AS i, count(*) OVER () AS cnt FROM ({bars}))"
@@ -316,6 +333,7 @@ def oracle_sql() -> dict[str, str]:
         "aggregate_predictions": f"WITH p AS ({PRED}) SELECT 'mean' AS how, datetime, {_r('avg(prediction)', 'prediction')} FROM p GROUP BY 2 UNION ALL SELECT 'median', datetime, {_r('median(prediction)', 'prediction')} FROM p GROUP BY 2 UNION ALL SELECT 'majority', datetime, arg_max(prediction, (n, f))::DOUBLE FROM (SELECT datetime, prediction, count(*) AS n, max(-substr(round_id, 2, 1)::INT) AS f FROM p GROUP BY 1, 2) GROUP BY 2",
         "iqr_filter": _iqr(K, ["volume", "std"], 0.5), "iqr_filter_constant": _iqr(f"SELECT *, (close > 450)::INT AS flat FROM ({K})", ["flat", "std"], 3.0), "calibrate": CALIBRATED, "split_random": SPLIT_RANDOM, "manifest_prepared": PREPARED, "flagship": _flagship(),
         "manifest_graph": _graph(), "long_rolling": LONG_ROLLING, "long_running": LONG_RUNNING, "long_ewm": LONG_EWM,
+        "asof_backward": _asof("backward"), "asof_forward": _asof("forward"), "asof_nearest": _asof("nearest"), "interval_join": INTERVALS,
     }
     return out
 
