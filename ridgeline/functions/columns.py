@@ -136,14 +136,14 @@ def q_nearest(c: str | Column, q: float) -> Column:
     """Aggregate: the sorted value at index round((n - 1) * q), half away from zero."""
     c = col(c)
     xs = F.array_sort(F.collect_list(c))
-    return F.try_element_at(xs, (F.floor((F.size(xs) - 1) * q + 0.5) + 1).cast("int"))
+    return F.get(xs, F.floor((F.size(xs) - 1) * q + 0.5).cast("int"))
 
 
 def q_exact(c: str | Column, q: float) -> Column:
     """Aggregate: the sorted value at index floor(q * n)."""
     c = col(c)
     xs = F.array_sort(F.collect_list(c))
-    return F.try_element_at(xs, (F.least(F.floor(F.size(xs) * q), F.size(xs) - 1) + 1).cast("int"))
+    return F.get(xs, F.least(F.floor(F.size(xs) * q), F.size(xs) - 1).cast("int"))
 
 
 def q_linear(c: str | Column, q: float) -> Column:

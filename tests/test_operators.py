@@ -134,18 +134,33 @@ def test_majority_tie_goes_to_the_first(spark):
     assert pools.aggregate_predictions(df, "other", threshold=0.5).first()["prediction"] == 1
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("quantiles", [True, False])
+def test_stream_equals_batch(spark, tmp_path, quantiles):
     rows = [("a", i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), float(i % 9 + 1), float(i % 4 + 1), i % 2 == 0) for i in range(200)]
     df = spark.createDataFrame(rows, "series string, trade_id long, datetime timestamp, price double, quantity double, is_buyer_maker boolean")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    query = stream.start(stream.stream_klines(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"), once=True)
-    query.awaitTermination(120)
+    for part in range(2):  # the second run starts from the first one's checkpoint
+        df.where((F.col("trade_id") >= 100) == bool(part)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        frame = stream.stream_klines(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), quantiles=quantiles)
+        stream.start(frame, str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination(240)
     got = {r["datetime"]: r.asDict() for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    expected = {r["datetime"]: r.asDict() for r in klines(df, quantiles="none").collect()}
-    assert got and all({k: pytest.approx(v) if isinstance(v, float) else v for k, v in got[t].items()} == expected[t] for t in got)
-    got = {t: (r["open"], r["close"], r["volume"], r["no_of_trades"]) for t, r in got.items()}
-    expected = {t: (r["open"], r["close"], r["volume"], r["no_of_trades"]) for t, r in expected.items()}
-    assert len(got) >= len(expected) - 2 and all(expected[k] == v for k, v in got.items())
+    expected = {r["datetime"]: r.asDict() for r in klines(df, quantiles="counted" if quantiles else "none").collect()}
+    assert len(got) >= 20 and got.keys() <= expected.keys()  # the last bucket is still open
+    for t, row in got.items():
+        assert row.keys() == expected[t].keys() and all(row[c] == (pytest.approx(v) if isinstance(v, float) else v) for c, v in expected[t].items()), (row, expected[t])
+
+
+def test_quantiles_of_klines_agree(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(1000)]), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=r.randint(0, 600)), r.choice([None, 1.0, 2.0, 2.5, 7.0, 9.0]), r.uniform(1, 5), r.choice([True, False, None])) for _ in range(900)]
+    rows += [("lost", i, dt.datetime(2024, 1, 1), None, 1.0, True) for i in range(3)]
+    df = spark.createDataFrame(rows, "series string, trade_id long, datetime timestamp_ntz, price double, quantity double, is_buyer_maker boolean").dropDuplicates(["trade_id", "series"])
+    key = lambda x: (x["series"] or "", x["datetime"])
+    counted, listed = (sorted(klines(df, 3600, quantiles=q).collect(), key=key) for q in ("counted", "list"))
+    assert len(counted) == len(listed) > 20
+    for x, y in zip(counted, listed, strict=True):
+        assert all(x[c] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v) for c, v in y.asDict().items()), (x, y)
+    with pytest.raises(ValueError):
+        klines(df, quantiles="guessed")
 
 
 def test_trade_selection(spark):
