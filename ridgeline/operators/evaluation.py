@@ -12,6 +12,8 @@ from ridgeline.functions.columns import clip, fdiv
 
 C = F.col
 K = ("round_id",)
+#: A log is broadcast up to so many bytes.
+BROADCAST_BYTES = 8 << 20
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -165,6 +167,35 @@ def confidence_filter(df: DataFrame, row: Sequence[str], target_confidence: floa
     return out.select(*row, "prediction", "uncertainty", (C("uncertainty") <= C("confidence_threshold")).alias("is_confident"), "confidence_threshold", "actual_value", (1 / (1 + C("uncertainty"))).alias("confidence_score"))
 
 
+def inversions(ranks) -> int:
+    """Pairs of a later and a smaller rank, in n log n: each pair counts at the highest bit in which its ranks differ."""
+    import numpy as np
+
+    ranks, count = np.asarray(ranks, np.int64), 0
+    for bit in range(int(ranks.max(initial=0)).bit_length() - 1, -1, -1):
+        ranks = ranks[np.argsort(ranks >> (bit + 1), kind="stable")]  # ranks that agree in the higher bits stand together, in their order
+        ones = (ranks >> bit) & 1
+        before = np.cumsum(ones) - ones
+        group = ranks >> (bit + 1)
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        own = before - np.repeat(before[begin], np.diff(np.append(begin, len(ranks))))
+        count += int(own[ones == 0].sum())
+    return count
+
+
+def kendall_pairs(x, y) -> tuple[int, int, int]:
+    """Concordant less discordant pairs, pairs that differ in x, and pairs that differ in y."""
+    import numpy as np
+
+    n = len(x)
+    if n < 2:
+        return 0, 0, 0
+    (x, y), pairs = (np.unique(v, return_inverse=True)[1] for v in (x, y)), lambda v: sum(int(c) * (int(c) - 1) // 2 for c in np.unique(v, return_counts=True)[1])
+    order = np.lexsort((y, x))
+    tied_x, tied_y, tied_both, every = pairs(x), pairs(y), pairs(x * (int(y.max()) + 1) + y), n * (n - 1) // 2
+    return every - tied_x - tied_y + tied_both - 2 * inversions(y[order]), every - tied_x, every - tied_y
+
+
 def rank_correlation(df: DataFrame, a: str, b: str, keys: Sequence[str] = K, method: str = "spearman") -> DataFrame:
     """Pearson, Spearman (average ranks) or Kendall (tau-b) correlation; null for constants."""
     keys = list(keys)
@@ -180,10 +211,7 @@ def rank_correlation(df: DataFrame, a: str, b: str, keys: Sequence[str] = K, met
             x, y = (pdf[c].to_numpy(float) for c in ("__a", "__b"))
             known = ~(np.isnan(x) | np.isnan(y))
             x, y = x[known], y[known]
-            both = only_x = only_y = 0
-            for i in range(len(x) - 1):  # one row against the later ones: memory in proportion to the group
-                dx, dy = np.sign(x[i + 1 :] - x[i]), np.sign(y[i + 1 :] - y[i])
-                both, only_x, only_y = both + int((dx * dy).sum()), only_x + int((dx != 0).sum()), only_y + int((dy != 0).sum())
+            both, only_x, only_y = kendall_pairs(x, y)
             return pd.DataFrame([[*key, both / np.sqrt(only_x) / np.sqrt(only_y) if only_x and only_y else None]], columns=schema.names).astype({"correlation": float})
 
         return df.select(*keys, C(a).cast("double").alias("__a"), C(b).cast("double").alias("__b")).groupBy(*keys).applyInPandas(tau, schema).withColumn("correlation", F.nanvl("correlation", F.lit(None).cast("double")))
@@ -198,20 +226,16 @@ def rank_correlation(df: DataFrame, a: str, b: str, keys: Sequence[str] = K, met
 def parameter_correlation(log: DataFrame, metric: str, params: Sequence[str], heads: Sequence[float] = (0.99, 0.5, 0.1), n_boot: int = 300, method: str = "spearman", seed: int = 0) -> DataFrame:
     """Correlation of each parameter with the metric in the best shares of rounds, with a bootstrap's median, interval and sign stability.
 
-    The log has a row per round (small); rounds drawn per bootstrap are exploded and joined, so the work is spread over bootstraps.
+    Each draw is a seeded hash of its bootstrap and number, made on the executors: n draws with replacement from the share's n rounds.
+    The log has a row per round; it is broadcast if it is small by its bytes.
     """
-    import numpy as np
-
     n = log.count()
-    order = Window.orderBy(C(metric).desc(), *params)
     ranked = log.select(C(metric).cast("double").alias("m"), *(C(p).try_cast("double").alias(p) for p in params)).withColumn("r", F.row_number().over(Window.partitionBy(F.lit("log")).orderBy(C("m").desc(), *params)) - 1)
-    del order
-    rng, draws = np.random.default_rng(seed), []
-    for h in heads:
-        size = max(1, int(n * h))
-        draws += [(float(h), -1, list(range(size)))] + [(float(h), b, rng.integers(size, size=size).tolist()) for b in range(n_boot)]
-    plan = log.sparkSession.createDataFrame(draws, "head double, boot int, rows array<long>").repartition(8, "head", "boot").select("head", "boot", F.explode("rows").alias("r"))
-    long = plan.join(F.broadcast(ranked) if n <= 100_000 else ranked, "r")
+    sizes = F.array(*(F.struct(F.lit(float(h)).alias("head"), F.lit(max(1, int(n * h))).alias("size")) for h in heads))
+    plan = log.sparkSession.range(-1, n_boot, 1, 8).select(C("id").cast("int").alias("boot"), F.explode(sizes).alias("h")).select("boot", "h.*").select("*", F.explode(F.sequence(F.lit(0), C("size") - 1)).alias("j"))
+    drawn = F.when(C("boot") < 0, C("j")).otherwise(F.pmod(F.xxhash64(F.lit(seed), "head", "boot", "j"), C("size")))
+    plan = plan.select("head", "boot", drawn.cast("int").alias("r"))
+    long = plan.join(F.broadcast(ranked) if n * 16 * (len(params) + 2) <= BROADCAST_BYTES else ranked, "r")
     long = long.select("head", "boot", "m", F.explode(F.array(*(F.struct(F.lit(p).alias("param"), C(p).alias("v")) for p in params))).alias("x")).select("head", "boot", "m", "x.*")
     each = rank_correlation(long, "m", "v", ["head", "param", "boot"], method)
     c, boot = C("correlation"), C("boot") >= 0
