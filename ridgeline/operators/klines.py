@@ -94,5 +94,35 @@ def _limited(out: DataFrame, n_rows: int | None, latest: bool, keys: tuple[str,
     return out.orderBy(C("datetime").desc() if latest else C("datetime").asc(), *keys).limit(n_rows)
 
 
+SUMMARY = ("open", "high", "low", "close", "volume", "liquidity_sum", "maker_ratio", "no_of_trades")
+
+
+def _summary() -> list[Column]:
+    return [
+        F.min_by("price", "trade_id").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "trade_id").alias("close"), F.sum("quantity").alias("volume"),
+        F.sum(C("price") * C("quantity")).alias("liquidity_sum"), F.avg(C("is_buyer_maker").cast("int")).alias("maker_ratio"), F.count("*").alias("no_of_trades"),
+    ]
+
+
+def sliding(trades: DataFrame, size: int, slide: int, keys: tuple[str, ...] = ("series",), delay: str | None = None) -> DataFrame:
+    """Summaries of overlapping windows: keys, datetime (start), end and eight columns. Windows start at multiples of `slide` seconds.
+
+    delay: of a stream's late rows; its state is a row for each open window, size / slide of them at a time.
+    """
+    if not 0 < slide <= size:
+        raise ValueError("need 0 < slide <= size")
+    rows = trades if delay is None else trades.withWatermark("datetime", delay)
+    return rows.groupBy(*keys, F.window("datetime", f"{size} seconds", f"{slide} seconds").alias("w")).agg(*_summary()).select(*keys, C("w.start").alias("datetime"), C("w.end").alias("end"), *SUMMARY)
+
+
+def sessions(trades: DataFrame, gap: int, keys: tuple[str, ...] = ("series",), delay: str | None = None) -> DataFrame:
+    """Summaries of sessions, which end when no trade comes for `gap` seconds: keys, datetime (first trade), end (last trade and gap) and eight columns.
+
+    delay: of a stream's late rows; its state is a row for each open session.
+    """
+    rows = trades if delay is None else trades.withWatermark("datetime", delay)
+    return rows.groupBy(*keys, F.session_window("datetime", f"{gap} seconds").alias("w")).agg(*_summary()).select(*keys, C("w.start").alias("datetime"), C("w.end").alias("end"), *SUMMARY)
+
+
 def presented(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in DECIMALS.items() if c in df.columns})

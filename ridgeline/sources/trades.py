@@ -11,7 +11,7 @@ import datetime as dt
 import io
 import sqlite3
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,17 +84,34 @@ def select_trades(trades: DataFrame, month_year: tuple[int, int] | None = None,
     return trades.orderBy(F.md5(F.concat_ws(":", "trade_id", "timestamp").cast("binary")), "trade_id").limit(n_random)
 
 
-def write_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append an experiment's log (parquet or csv); as a table: saveAsTable on the same frame."""
-    writer = df.write.mode("append").format(fmt)
+def write_log(df: DataFrame, path: str, fmt: str = "parquet", run: str | None = None) -> None:
+    """Append an experiment's log (parquet or csv); as a table: saveAsTable on the same frame.
+
+    run: the rows go to a partition `run` of this name and replace what an earlier try of the same run has left there, so that a repeated job adds nothing.
+    """
+    if run is None:
+        writer = df.write.mode("append").format(fmt)
+    else:
+        writer = df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
 
-def to_sqlite(log: DataFrame, path: str, table: str) -> None:
-    """Append an experiment's log, which has a row per round, to a table of an SQLite file on the driver; rows come one partition at a time."""
+def batch_log(path: str, fmt: str = "parquet", run: str = "stream") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch of a stream of logs: each batch is a run of its own, written once however often it is tried."""
+    return lambda df, batch: write_log(df, path, fmt, f"{run}-{batch}")
+
+
+def to_sqlite(log: DataFrame, path: str, table: str, run: str | None = None) -> None:
+    """Append an experiment's log, which has a row per round, to a table of an SQLite file on the driver; rows come one partition at a time.
+
+    run: a column of this name and value; what the run has written before is replaced, in one transaction.
+    """
+    log = log if run is None else log.withColumn("run", F.lit(run))
     with contextlib.closing(sqlite3.connect(path)) as con, con:
         names = ", ".join(f'"{c}"' for c in log.columns)
         con.execute(f'CREATE TABLE IF NOT EXISTS "{table}" ({names})')
+        if run is not None:
+            con.execute(f'DELETE FROM "{table}" WHERE run = ?', (run,))
         con.executemany(f'INSERT INTO "{table}" ({names}) VALUES ({", ".join("?" * len(log.columns))})', (tuple(r) for r in log.toLocalIterator()))
 
 
