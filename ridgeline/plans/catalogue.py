@@ -18,7 +18,7 @@ from ridgeline.operators import flux, long_series, pools, prep, spans, specs, sw
 from ridgeline.operators.graph import FeatureGraph
 from ridgeline.operators import indicators as ind
 from ridgeline.operators.bars import compute_bars
-from ridgeline.operators.klines import klines
+from ridgeline.operators.klines import SUMMARY, klines, sessions, sliding
 from ridgeline.plans import market_sql as q
 from ridgeline.sources import trades as tr
 
@@ -428,6 +428,17 @@ def long_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(out, ["ewm_14", "ewm_3"], keys=("datetime", "trade_id"))
 
 
+# overlapping windows and sessions of trades
+
+
+def _windows(f: Callable) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = f(trades(spark, sf_dir)).withColumns({c: C(c).cast("timestamp_ntz") for c in ("datetime", "end")})
+        return show(out, list(SUMMARY), others=("end",))
+
+    return run
+
+
 # joins by time
 
 
@@ -477,6 +488,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "manifest_boosted": _experiment("boosted", {"n_estimators": [30], "learning_rate": [0.1]}, ev.continuous_metrics), "manifest_calibrated": _experiment("calibrated", {"forward_periods": [2, 4]}), "manifest_confusion": manifest_confusion,
         "manifest_graph": manifest_graph, "long_rolling": long_rolling, "long_running": long_running, "long_ewm": long_ewm,
         "asof_backward": _asof("backward", None, True), "asof_forward": _asof("forward", 6 * 3_600_000_000, False), "asof_nearest": _asof("nearest", None, True), "interval_join": interval_join,
+        "windows_sliding": _windows(lambda d: sliding(d, 3600, 900)), "windows_session": _windows(lambda d: sessions(d, 1200)),
     }
     return out
 

@@ -277,6 +277,29 @@ INTERVALS = f"""WITH s AS (SELECT series, datetime AS start, datetime + INTERVAL
 SELECT s.series, start, round(count(*)::DOUBLE, 6) AS n, {_r('sum(quantity)', 'quantity')}, {_r('max(price)', 'top')} FROM s JOIN ({TRADES}) t ON t.series = s.series AND t.datetime >= start AND t.datetime < stop GROUP BY ALL"""
 
 
+_SUMMARY = f"""{_r('arg_min(price, trade_id)', 'open')}, {_r('max(price)', 'high')}, {_r('min(price)', 'low')}, {_r('arg_max(price, trade_id)', 'close')}, {_r('sum(quantity)', 'volume')},
+  {_r('sum(price * quantity)', 'liquidity_sum')}, {_r('avg(is_buyer_maker::INT)', 'maker_ratio')}, {_r('count(*)', 'no_of_trades')}"""
+SLIDING = f"""SELECT series, start AS datetime, start + INTERVAL 3600 SECOND AS "end", {_SUMMARY} FROM
+  (SELECT *, time_bucket(INTERVAL 900 SECOND, datetime, TIMESTAMP '1970-01-01') - INTERVAL 900 SECOND * k AS start FROM ({TRADES}), range(4) r(k)) GROUP BY series, start"""
+SESSIONS = f"""WITH m AS (SELECT *, coalesce(lag(datetime) OVER (PARTITION BY series ORDER BY datetime) + INTERVAL 1200 SECOND < datetime, true)::INT AS new FROM ({TRADES})),
+g AS (SELECT *, sum(new) OVER (PARTITION BY series ORDER BY datetime) AS s FROM m)
+SELECT series, min(datetime) AS datetime, max(datetime) + INTERVAL 1200 SECOND AS "end", {_SUMMARY} FROM g GROUP BY series, s"""
+
+
+#: The account's state bar by bar: money, sums bought and sold, credit and debit.
+SEQUENTIAL = f"""WITH RECURSIVE a AS MATERIALIZED (SELECT round_id, open, close, row_number() OVER (PARTITION BY round_id ORDER BY datetime) AS n FROM ({PRED}) WHERE prediction = 1 AND open > 0 AND close > 0),
+w AS (SELECT DISTINCT round_id, 0::BIGINT AS n, 30000.0::DOUBLE AS usdt, 0.0::DOUBLE AS bought, 0.0::DOUBLE AS sold, 30000.0::DOUBLE AS credit, 0.0::DOUBLE AS debit, 0.0::DOUBLE AS stake, 0.0::DOUBLE AS gain, false AS traded FROM ({PRED})
+  UNION ALL SELECT round_id, n, CASE WHEN go THEN round(credit2 - debit2, 2) ELSE usdt END, CASE WHEN go THEN bought2 ELSE bought END, CASE WHEN go THEN sold + round(amount / close, 15) ELSE sold END,
+    CASE WHEN go THEN credit2 ELSE credit END, CASE WHEN go THEN debit2 ELSE debit END, stake2, round(credit2 - debit2, 2) - usdt, go
+  FROM (SELECT *, credit + amount AS credit2, debit + stake2 AS debit2 FROM (SELECT *, gross - gross * 0.001::DOUBLE AS amount FROM (SELECT *, (bought2 - sold) * close AS gross FROM
+    (SELECT w.*EXCLUDE (n, stake, gain, traded), a.n, a.close, usdt > 1 AS go, usdt - usdt * 0.001::DOUBLE AS stake2, bought + round((usdt - usdt * 0.001::DOUBLE) / a.open, 15) AS bought2 FROM w JOIN a ON a.round_id = w.round_id AND a.n = w.n + 1))))),
+t AS (SELECT *, max(usdt) OVER (PARTITION BY round_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS peak, coalesce(lag(usdt) OVER (PARTITION BY round_id ORDER BY n), 30000.0) AS before, count(*) OVER (PARTITION BY round_id) AS trades FROM w WHERE traded),
+m AS (SELECT round_id, arg_max(usdt, n) - 30000 AS pnl, avg((gain > 0)::INT) AS win_rate, max((peak - usdt) / peak) AS max_drawdown, avg(gain) AS expected_value,
+  CASE WHEN max(trades) > 1 AND stddev_samp((usdt - before) / before) > 0 THEN avg((usdt - before) / before) / stddev_samp((usdt - before) / before) END AS sharpe_ratio, sum(stake) AS volume FROM t GROUP BY round_id)
+SELECT round_id, {', '.join(f"coalesce(round({e}, 2), 0)::DOUBLE AS {n}" for n, e in (('pnl', 'pnl'), ('win_rate', 'win_rate'), ('max_drawdown', 'max_drawdown'), ('expected_value', 'expected_value'), ('sharpe_ratio', 'sharpe_ratio'), ('net_long_volume', 'volume'), ('net_short_volume', '0.0'), ('net_trade_volume', 'volume')))}
+FROM (SELECT DISTINCT round_id FROM ({PRED})) LEFT JOIN m USING (round_id)"""
+
+
 def _flagship() -> str:
     bars = klines(3600, f"SELECT * REPLACE ('all' AS series) FROM ({TRADES})")
     split = f"SELECT * EXCLUDE (series), CASE WHEN i < floor(cnt * 8 / 11) THEN 'train' WHEN i < floor(cnt * 8 / 11) + floor(cnt * 1 / 11) THEN 'val' ELSE 'test' END AS series FROM (SELECT *, row_number() OVER (ORDER BY datetime) - 1 AS i, count(*) OVER () AS cnt FROM ({bars}))"
@@ -334,6 +357,7 @@ def oracle_sql() -> dict[str, str]:
         "iqr_filter": _iqr(K, ["volume", "std"], 0.5), "iqr_filter_constant": _iqr(f"SELECT *, (close > 450)::INT AS flat FROM ({K})", ["flat", "std"], 3.0), "calibrate": CALIBRATED, "split_random": SPLIT_RANDOM, "manifest_prepared": PREPARED, "flagship": _flagship(),
         "manifest_graph": _graph(), "long_rolling": LONG_ROLLING, "long_running": LONG_RUNNING, "long_ewm": LONG_EWM,
         "asof_backward": _asof("backward"), "asof_forward": _asof("forward"), "asof_nearest": _asof("nearest"), "interval_join": INTERVALS,
+        "sequential_backtest": SEQUENTIAL, "windows_sliding": SLIDING, "windows_session": SESSIONS,
     }
     return out
 
