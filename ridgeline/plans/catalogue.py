@@ -20,6 +20,7 @@ from ridgeline.operators import indicators as ind
 from ridgeline.operators.bars import compute_bars
 from ridgeline.operators.klines import SUMMARY, klines, sessions, sliding
 from ridgeline.plans import market_sql as q
+from ridgeline.plans import surface
 from ridgeline.sources import trades as tr
 
 C = F.col
@@ -151,10 +152,13 @@ def _klines(size: int, by: Callable | None = None, **limits) -> Callable:
     return run
 
 
+BAR_NUMBERS = ["open", "high", "low", "close", "volume", "no_of_trades", "liquidity_sum", "maker_ratio", "maker_volume", "maker_liquidity", "mean", "bar_count", "base_interval"]
+
+
 def _bars(kind: str, threshold: float) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bars = compute_bars(hourly(spark, sf_dir), kind, threshold)
-        return show(bars, ["open", "high", "low", "close", "volume", "no_of_trades", "liquidity_sum", "maker_ratio", "maker_volume", "maker_liquidity", "mean", "bar_count", "base_interval"])
+        return show(bars, BAR_NUMBERS)
 
     return run
 
@@ -428,6 +432,22 @@ def long_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(out, ["ewm_14", "ewm_3"], keys=("datetime", "trade_id"))
 
 
+# plain SQL
+
+
+def sql_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bars_volume in SQL."""
+    surface.register(spark)
+    out = spark.sql("SELECT * FROM activity_bars(TABLE(SELECT * FROM {klines}) PARTITION BY series ORDER BY (datetime), 2000D, 'volume')", klines=hourly(spark, sf_dir))
+    return show(out, BAR_NUMBERS)
+
+
+def sql_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sequential_backtest in SQL."""
+    surface.register(spark)
+    return spark.sql("SELECT * FROM sequential_backtest(TABLE(SELECT * FROM {predictions}) PARTITION BY round_id ORDER BY (datetime), 30000D, 0.001D)", predictions=predictions(spark, sf_dir))
+
+
 # overlapping windows and sessions of trades
 
 
@@ -488,7 +508,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "manifest_boosted": _experiment("boosted", {"n_estimators": [30], "learning_rate": [0.1]}, ev.continuous_metrics), "manifest_calibrated": _experiment("calibrated", {"forward_periods": [2, 4]}), "manifest_confusion": manifest_confusion,
         "manifest_graph": manifest_graph, "long_rolling": long_rolling, "long_running": long_running, "long_ewm": long_ewm,
         "asof_backward": _asof("backward", None, True), "asof_forward": _asof("forward", 6 * 3_600_000_000, False), "asof_nearest": _asof("nearest", None, True), "interval_join": interval_join,
-        "windows_sliding": _windows(lambda d: sliding(d, 3600, 900)), "windows_session": _windows(lambda d: sessions(d, 1200)),
+        "sql_bars": sql_bars, "sql_backtest": sql_backtest, "windows_sliding": _windows(lambda d: sliding(d, 3600, 900)), "windows_session": _windows(lambda d: sessions(d, 1200)),
     }
     return out
 

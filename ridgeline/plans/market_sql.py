@@ -357,7 +357,7 @@ def oracle_sql() -> dict[str, str]:
         "iqr_filter": _iqr(K, ["volume", "std"], 0.5), "iqr_filter_constant": _iqr(f"SELECT *, (close > 450)::INT AS flat FROM ({K})", ["flat", "std"], 3.0), "calibrate": CALIBRATED, "split_random": SPLIT_RANDOM, "manifest_prepared": PREPARED, "flagship": _flagship(),
         "manifest_graph": _graph(), "long_rolling": LONG_ROLLING, "long_running": LONG_RUNNING, "long_ewm": LONG_EWM,
         "asof_backward": _asof("backward"), "asof_forward": _asof("forward"), "asof_nearest": _asof("nearest"), "interval_join": INTERVALS,
-        "sequential_backtest": SEQUENTIAL, "windows_sliding": SLIDING, "windows_session": SESSIONS,
+        "sequential_backtest": SEQUENTIAL, "sql_backtest": SEQUENTIAL, "sql_bars": _bars("volume", 2000), "windows_sliding": SLIDING, "windows_session": SESSIONS,
     }
     return out
 
