@@ -17,7 +17,6 @@ import contextlib
 import io
 import itertools
 import json
-import logging
 import re
 import uuid
 from collections.abc import Callable, Sequence
@@ -26,6 +25,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +60,7 @@ def changes_rows(df: DataFrame) -> bool:
 @contextlib.contextmanager
 def _quiet():
     """Without Spark's log lines on questions whose answer may be no."""
-    log = logging.getLogger("DataFrameQueryContextLogger")
+    log = PySparkLogger.getLogger("DataFrameQueryContextLogger")  # of its own class, which must exist before a plain one of the name
     before, log.disabled = log.disabled, True
     try:
         yield
