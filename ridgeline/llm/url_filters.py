@@ -1,7 +1,7 @@
 """URL filters by rules and a path-template tree.
 
 Method: a URL's path is cut into segments; numbers and long hexadecimal strings in
-a segment become wildcards. Level by level, below each host and template prefix,
+a segment become wildcards. From level to level, below each host and template prefix,
 rare segments of a node with many children become one wildcard branch, and labelled
 branches whose share of good labels doesn't differ significantly from that of
 their siblings (two-proportion z test) are merged into it. Each leaf is a
@@ -15,7 +15,9 @@ All steps are DataFrame operations. What is grouped level by level is the distin
 generalised paths with their counts, never the pages; each grouping is
 pre-aggregated, so a hot host is spread over its paths. The tree is as deep as paths
 branch: a path that is alone below its prefix ends there, with its last segments as they
-are. What a step joins is written first, and the tree is broadcast if it's small, so that
+are, and segments that all paths below a prefix share are passed at once, as many as
+each prefix of the host has; so the number of steps is that of the levels on which some
+host branches. What a step joins is written first, and the tree is broadcast if it's small, so that
 Spark can split a frequent host or path over tasks.
 
 Defined results: a null URL or one without `://` has an empty host and path, and
@@ -31,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.lineage import cut, few
+from ridgeline.llm.lineage import cut, drop, few
 
 #: The query's rules: host and path prefix, verdict. Fixed values.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -67,12 +69,31 @@ def template_tree(urls: DataFrame, good: Column) -> DataFrame:
     """host, shape (generalised path), template, n_labels, purity, rejected. urls: with host and path; good: 1, 0 or null."""
     shapes = urls.select("host", generalised(F.col("path")).alias("segments"), good.cast("double").alias("good"))
     shapes = shapes.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("good").alias("labels"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("goods")).withColumn("prefix", F.lit(""))
-    shapes, done, level = cut(shapes), [], 0
+    shapes, done = cut(shapes.withColumn("level", F.lit(0))), []
     sums = [F.sum(c).alias(c) for c in ("n", "labels", "goods")]
-    while not shapes.isEmpty():
-        level += 1
-        shapes = shapes.withColumn("seg", F.coalesce(F.try_element_at("segments", F.lit(level)), F.lit("")))
-        branches = shapes.groupBy("host", "prefix", "seg").agg(*sums)
+    level, size = F.col("level"), F.size("segments")
+    rest = F.slice("segments", level + 1, F.greatest(size - level, F.lit(0)))
+    joined = lambda parts: F.array_join(F.filter(parts, lambda x: x != ""), "/")
+    longer = lambda more: F.when(more == "", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), more))
+    while True:
+        # segments shared by all paths below a prefix are those shared by the least and the greatest; an empty one ends them, because prefixes leave it out and may meet there
+        same = F.zip_with("least", "most", lambda x, y: F.coalesce((x == y) & (x != ""), F.lit(False)))
+        nodes = shapes.groupBy("host", "prefix").agg(F.count("*").alias("paths"), F.min(rest).alias("least"), F.max(rest).alias("most"))
+        nodes = cut(nodes.select("host", "prefix", (F.col("paths") == 1).alias("alone"), F.when(F.col("paths") > 1, F.array_position(F.array_append(same, F.lit(False)), F.lit(False)) - 1).cast("int").alias("common")))
+        if nodes.where("NOT alone").isEmpty():
+            done.append(shapes.withColumn("prefix", longer(joined(rest))))
+            drop(nodes)
+            break
+        hosts = cut(nodes.groupBy("host").agg(F.min("common").alias("passed")))  # null: each of the host's paths is alone
+        # a path that is alone below its prefix has no siblings any more: its last segments follow as they are
+        moved = shapes.join(nodes.select("host", "prefix", "alone"), ["host", "prefix"]).join(hosts, "host")
+        moved = moved.withColumn("prefix", F.when(F.col("alone"), longer(joined(rest))).otherwise(longer(joined(F.slice("segments", level + 1, F.coalesce("passed", F.lit(0)))))))
+        moved = moved.withColumn("level", level + F.coalesce("passed", F.lit(0)) + 1)
+        moved = cut(moved.withColumn("seg", F.coalesce(F.try_element_at("segments", level), F.lit(""))).drop("passed"))
+        drop(nodes, hosts)
+        done.append(moved.where("alone"))
+        moved = moved.where("NOT alone").drop("alone")
+        branches = moved.groupBy("host", "prefix", "seg").agg(*sums)
         nodes = branches.groupBy("host", "prefix").agg(F.count("*").alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labels", "goods")))
         b = branches.join(nodes, ["host", "prefix"])
         others, other_good = F.col("all_labels") - F.col("labels"), F.col("all_goods") - F.col("goods")
@@ -83,17 +104,12 @@ def template_tree(urls: DataFrame, good: Column) -> DataFrame:
         rare = (F.col("children") > MANY_CHILDREN) & (F.col("n") < RARE_SHARE * F.col("all_n")) & ~F.col("seg").startswith("{")
         branch = F.when(F.col("seg") == "", "").when(F.coalesce(similar, F.lit(False)) | rare, "*").otherwise(F.col("seg"))
         b = cut(b.select("host", "prefix", "seg", branch.alias("branch")))
-        shapes = shapes.join(b, ["host", "prefix", "seg"])
-        shapes = shapes.withColumn("prefix", F.when(F.col("branch") == "", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "branch"))).drop("branch", "seg")
-        # a shape that is alone below its prefix has no siblings any more: its last segments follow as they are
-        alone = cut(shapes.groupBy("host", "prefix").agg((F.count("*") == 1).alias("alone")))
-        shapes = cut(shapes.join(alone, ["host", "prefix"]))
-        rest = F.array_join(F.filter(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), lambda x: x != ""), "/")
-        ended = F.col("alone") | (F.size("segments") < level)
-        done.append(shapes.where(ended).withColumn("prefix", F.when(rest == "", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), rest))))
-        shapes = shapes.where(~ended).drop("alone")
+        shapes = cut(moved.join(b, ["host", "prefix", "seg"]).withColumn("prefix", longer(F.col("branch"))).drop("branch", "seg"))
+        drop(b)
+        done.append(shapes.where(size < level))
+        shapes = shapes.where(size >= level)
     leaf = ["host", "prefix", "segments", "labels", "goods"]
-    shapes = reduce(DataFrame.unionByName, [d.select(*leaf) for d in done], shapes.select(*leaf))
+    shapes = reduce(DataFrame.unionByName, [d.select(*leaf) for d in done])
     leaves = shapes.groupBy("host", "prefix").agg(F.sum("labels").alias("n_labels"), F.sum("goods").alias("goods"))
     purity = (F.col("goods") + SMOOTHING / 2) / (F.col("n_labels") + SMOOTHING)
     leaves = leaves.select("host", "prefix", "n_labels", purity.alias("purity"), ((F.col("n_labels") >= MIN_LABELS) & (purity < LEAST_PURITY)).alias("rejected"))

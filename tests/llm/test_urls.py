@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from ridgeline.llm import queries, url_filters
+from ridgeline.llm.lineage import cut
 
 
 def pages(spark, urls):
@@ -49,6 +50,28 @@ def test_paths_branch_at_any_depth(spark):
     assert got[f"http://h.test/{deep}/bad/99"][1] == f"h.test/{deep}/bad/{{n}}"
 
 
+def test_shared_segments_are_passed_at_once(spark, monkeypatch):
+    # the SQL walks four levels; empty segments let different prefixes meet
+    r = random.Random(4)
+    cases = []
+    for _ in range(1_200):
+        middle = r.choice(["a//b/c", "a/b//c", "a//b//", "a/b/c", "", "/", "x/y/z"])
+        cases.append(f"http://{r.choice(['p.com', 'q.net', 'example.com', 'u.org'])}/{r.choice(['en', 'de', 'es'])}/{middle}{r.choice(['', '/', f'/{r.choice(list('abcdefgh'))}'])}")
+    got = {row["page_id"]: (row["host"], row["path"], row["rule"], row["verdict"]) for row in url_filters.judge(pages(spark, cases)).collect()}
+    assert got == by_sql(cases)
+    written = []
+    monkeypatch.setattr(url_filters, "cut", lambda df: written.append(1) or cut(df))
+    steps = {}
+    for n in (3, 300):
+        written.clear()
+        shared = "http://h.test/" + "/".join(f"s{chr(97 + i % 26)}" for i in range(n))
+        rows = [(f"{shared}/bad/{i}", 0) for i in range(9)] + [(f"{shared}/good/{i}", 1) for i in range(9)]
+        found = url_filters.judge(spark.createDataFrame(rows, "url string, good int"), rules=(), good=F.col("good")).collect()
+        assert all(row["verdict"] == ("block" if "/bad/" in row["url"] else "allow") for row in found)
+        steps[n] = len(written)
+    assert steps[3] == steps[300]
+
+
 def test_ties_repeated_rows_clashing_columns_and_empty_tables(spark):
     names = ("rejected", "shape", "n_labels", "template", "segments", "__good", "prefix")
     rows = [("http://h.test/spam/1", 1, 0)] * 6 + [("http://h.test/fine/1", 2, 1)] * 6 + [(None, 3, None)]
