@@ -10,15 +10,17 @@ windows whose anchor it is, at most 28. Steps:
    the others are left out.
 2. The index has one entry for each distinct block: how often it stands in the
    corpus, and its first and last place, which are its reference positions.
-3. A document is parsed from left to right. A block that stands elsewhere too is copied
-   from a reference position; as long as the next block follows there as it does here,
-   the factor goes on (so it's the longest one from its begin along its reference), else
-   the next factor begins. A factor is (begin, end, reference, reference's begin).
-4. Factors end where a block isn't repeated as a whole. There, at the factors'
-   boundaries, its windows are looked up one by one among the windows of all indexed
-   blocks with the same anchor.
-5. Factors of `min_words` words and more, and windows found at boundaries, become
-   duplicate spans; their union is removed.
+3. Copies end inside blocks that aren't repeated as a whole. There, at the factors'
+   boundaries, the windows are looked up one by one among the windows of all indexed
+   blocks with the same anchor; a window that is found has its first and last place
+   there as reference positions, like a block.
+4. A document is parsed from left to right, greedily: a factor begins with all
+   reference positions of its first block or boundary window and goes on as long as
+   one of them is followed there by what follows here, so it is the longest along any
+   of them and reaches from the copy's first word to its last; then the next one
+   begins. A factor is (begin, end, reference, reference's begin).
+5. Factors of `min_words` words and more are the duplicate spans; their union, and
+   nothing else, is removed.
 
 The outcome is exact for the windows (equality by hashes of 128 bits together: the
 anchor's and the block's or window's), whichever block or document a repeat lies in.
@@ -33,30 +35,32 @@ holds of one key is what belongs to one document.
 Defined results: a null or empty text has no words and is left as it is. Repeated
 rows are occurrences of each other. Rows are told apart by id and text (where ids
 repeat or are null, by 128 bits of hashes of both), so ids may be null or occur twice.
-Of equal places the least key and place is the reference. Very long texts are parsed
-whole. Input columns are kept; the operator's own columns replace columns of the same
+Of references that reach equally far, the least key and place is the factor's. Very
+long texts are parsed whole. Input columns are kept; the operator's own columns replace columns of the same
 name. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm import textkit
-from ridgeline.llm.lineage import cut, small_batches
+from ridgeline.llm.lineage import cut, drop, small_batches
 from ridgeline.llm.sentencepiece_codec import _spread
 
 MIN_WORDS, ANCHOR_WORDS = 35, 8
 _KEY = ["__k1", "__k2"]
 #: A block's place in its document: first window * 64 + number of windows.
 _PLACE = 64
+#: Anchors are compared by this many upper bits of their hashes, equal ones by place: a window's anchor depends on its words only.
+_COMPARED = 32
 
 
 def anchors(w: textkit.Words, hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
@@ -66,7 +70,7 @@ def anchors(w: textkit.Words, hashes: np.ndarray, min_words: int) -> tuple[np.nd
     if len(hashes) < min_words:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    bits = np.uint64(max(1, int(len(g)).bit_length()))
+    bits = np.uint64(64 - _COMPARED)
     low = (g >> bits << bits) | np.arange(len(g), dtype=np.uint64)  # ties: the leftmost
     step = 1
     while step * 2 <= reach:
@@ -96,22 +100,31 @@ def _columns(values: pa.StructArray) -> list[np.ndarray]:
     return [x.to_numpy(zero_copy_only=False) for x in values.flatten()]
 
 
-def parse(blocks: Iterator[tuple[int, ...]], min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+def parse(parts: Iterator[tuple[int, ...]], min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
     """The factors of one text: begin, end, reference, begin in the reference.
 
-    blocks: of each repeated block, from left to right, its first window and number of
-    windows, and two reference positions (key, first window), of which the second is
-    another one where the first is the block's own place.
+    parts: of each repeated block or boundary window, from left to right, its first
+    window and number of windows, and two reference positions (key, first window), of
+    which the second is another one where the first is the part's own place.
     """
     factors: list[tuple[int, int, int, int]] = []
-    ref, shift, after = None, 0, -1  # the present reference, its places less ours, the window after the factor's last
-    for start, count, *places in blocks:
-        if not (start == after and (ref, start + shift) in (tuple(places[:2]), tuple(places[2:]))):
-            ref, shift = places[0], places[1] - start
-            factors.append((start, 0, ref, places[1]))
-        after = start + count
-        factors[-1] = (factors[-1][0], after - 1 + min_words, *factors[-1][2:])
-    return [f for f in factors if f[1] - f[0] >= min_words]
+    begin, after, copies = 0, -1, set()  # the factor's first window, the one after its last; references with their places less ours
+
+    def close() -> None:
+        end = after - 1 + min_words
+        if copies and end - begin >= min_words:
+            ref, shift = min(copies)
+            factors.append((begin, end, ref, begin + shift))
+
+    for start, count, k0, s0, k1, s1 in parts:
+        here = {(k0, s0 - start), (k1, s1 - start)}
+        longer = copies & here if start == after else None
+        if not longer:
+            close()
+            begin = start
+        copies, after = longer or here, start + count
+    close()
+    return factors
 
 
 def _parsed(docs: DataFrame, id_col: str, text_col: str, min_words: int, keep: list[str], rest_whole: bool) -> DataFrame:
@@ -139,18 +152,23 @@ def _parsed(docs: DataFrame, id_col: str, text_col: str, min_words: int, keep: l
     found = rows.select(*_KEY, "__text").mapInArrow(list_blocks, T.StructType(longs("a", "block", *_KEY, "place")))
     twice = cut(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     hits = cut(found.join(twice, "a"))
+    drop(twice)
     place = F.struct(*_KEY, "place")
     index = cut(hits.groupBy("a", "block").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")))
     copied = hits.join(index.where("n > 1").select("a", "block", "first", "last"), ["a", "block"])
-    # the reference is another place than the block's own, if there is one
-    own = place == F.col("first")
-    refs = [F.when(own, F.col("last")).otherwise(F.col("first")), F.when(place == F.col("last"), F.col("first")).otherwise(F.col("last"))]
-    begin = lambda p: F.floor(p["place"] / _PLACE)
-    block = F.struct(F.floor(F.col("place") / _PLACE).alias("start"), F.pmod("place", F.lit(_PLACE)).alias("count"), *(x for i, r in enumerate(refs) for x in (r["__k1"].alias(f"k{i}"), begin(r).alias(f"s{i}"))))
+
+    def part(place: Column, count: Column, window: Callable[[Column], Column]) -> Column:
+        """A part of the parse; its references are other places than its own, if there are any."""
+        first, last = F.col("first"), F.col("last")
+        refs = [F.when(place == first, last).otherwise(first), F.when(place == last, first).otherwise(last)]
+        return F.struct(window(place).alias("start"), count.alias("count"), *(x for i, r in enumerate(refs) for x in (r["__k1"].alias(f"k{i}"), window(r).alias(f"s{i}"))))
+
+    block = part(place, F.pmod("place", F.lit(_PLACE)), lambda p: F.floor(p["place"] / _PLACE))
     # boundaries: anchors with several distinct blocks, of which one stands alone
     mixed = cut(index.groupBy("a").agg(F.count("*").alias("blocks"), F.min("n").alias("least")).where("blocks > 1 AND least = 1").select("a"))
     asked = index.join(mixed, "a").select("first.*", "a", (F.col("n") == 1).alias("alone"))
     asked = cut(asked.groupBy(*_KEY).agg(F.collect_list(F.struct("place", "a", "alone")).alias("__asked")))
+    drop(mixed)
 
     def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,24 +186,27 @@ def _parsed(docs: DataFrame, id_col: str, text_col: str, min_words: int, keep: l
 
     windows = rows.select(*_KEY, "__text").join(asked, _KEY).mapInArrow(list_windows, T.StructType([*longs("a", "h", *_KEY, "at"), T.StructField("alone", T.BooleanType())]))
     windows = cut(windows)
+    drop(asked)
     again = cut(windows.groupBy("a", "h").agg(F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("n"), F.bool_or("alone").alias("alone")).where("n > 1 AND alone").select("a", "h"))
-    checked = windows.where("alone").join(again, ["a", "h"]).select(*_KEY, "at")
-    matches = copied.select(*_KEY, block.alias("b")).unionByName(checked, allowMissingColumns=True).groupBy(*_KEY).agg(F.collect_set("b").alias("__blocks"), F.collect_set("at").alias("__windows"))
+    shared = cut(windows.join(again, ["a", "h"]))
+    drop(windows, again)
+    at = F.struct(*_KEY, "at")
+    places = cut(shared.groupBy("a", "h").agg(F.min(at).alias("first"), F.max(at).alias("last")))
+    checked = shared.where("alone").join(places, ["a", "h"])
+    window = part(at, F.lit(1).cast("long"), lambda p: p["at"])
+    parts = copied.select(*_KEY, block.alias("p")).union(checked.select(*_KEY, window.alias("p")))
+    matches = cut(parts.groupBy(*_KEY).agg(F.collect_set("p").alias("__parts")))
+    drop(hits, index, shared, places)
     schema = T.StructType([T.StructField(c, f.dataType, f.nullable) for c, f in fields.items()] + longs("n_words", "n_removed") + [T.StructField("spans", T.ArrayType(T.StructType(longs("begin", "end")))), T.StructField("factors", T.ArrayType(T.StructType(longs("begin", "end", "ref", "ref_begin")))), T.StructField("kept_text", T.StringType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block_lists, window_lists = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            lists = batch.column(batch.num_columns - 1)
             texts = textkit.utf8(batch.column(2))
             for w in textkit.words(texts):
                 n = len(w.starts)
                 steps = np.zeros(n + 1, np.int64)
-                values, of = _numbers(window_lists, w.row, w.row + len(w))
-                if len(of):
-                    at = w.first[of] + values.to_numpy(zero_copy_only=False)
-                    np.add.at(steps, at, 1)
-                    np.add.at(steps, at + min_words, -1)
-                values, of = _numbers(block_lists, w.row, w.row + len(w))
+                values, of = _numbers(lists, w.row, w.row + len(w))
                 factors, n_factors = [], np.zeros(len(w), np.int64)
                 if len(of):
                     columns = _columns(values)
@@ -211,7 +232,7 @@ def _parsed(docs: DataFrame, id_col: str, text_col: str, min_words: int, keep: l
                     text = pc.if_else(pa.array(removed > 0), text, batch.column(2).slice(w.row, len(w)).cast(pa.string()))  # null stays null
                 yield pa.RecordBatch.from_arrays([batch.column(3 + i).slice(w.row, len(w)) for i in range(len(keep))] + [pa.array(np.diff(w.first)), pa.array(removed), spans, factors, text], names=schema.names)
 
-    return rows.join(cut(matches), _KEY, "left").mapInArrow(remove, schema)
+    return rows.join(matches, _KEY, "left").mapInArrow(remove, schema)
 
 
 def _lists(bounds: np.ndarray, names: tuple[str, ...], columns) -> pa.ListArray:

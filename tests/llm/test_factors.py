@@ -42,12 +42,35 @@ def test_factors_are_copies_and_end_with_them(spark):
     for i, own in found.items():
         for begin, end, ref, at in own:
             assert end - begin >= 35 and texts[i][begin:end] == texts[ref][at : at + end - begin] and (i, begin) != (ref, at)
-    # what blocks can't cover lies within 27 words of a copy's ends, and is found window by window
+    # windows at a copy's ends belong to its factor
+    assert found[1][-1][:2] == (140, 230) and [f[:2] for f in found[2]] == [(0, 90)]
     assert any(f[2] == 0 and f[1] - f[0] >= 60 for f in found[1]) and any(f[2] == 1 or f[2] == 3 for f in found[2])
     rows = substring_dedup.find_spans(frame(spark, texts[:4])).collect()
     assert [(r["n_removed"], [tuple(s) for s in r["spans"]]) for r in sorted(rows, key=lambda r: r["doc_id"])] == [(120, [(50, 170)]), (210, [(20, 230)]), (90, [(0, 90)]), (170, [(0, 80), (89, 179)])]
 
 
+def test_spans_are_what_the_factors_cover(spark):
+    r = random.Random(5)
+    passages = [unlike(f"p{i}_", r.randint(30, 150)) for i in range(8)]
+    texts = [sum(([f"u{i}_{j}"] * r.randint(0, 3) + unlike(f"v{i}_{j}_", r.randint(0, 40)) + r.choice(passages)[r.randint(0, 5) :] for j in range(4)), []) for i in range(40)]
+    places: dict[tuple, int] = {}
+    for t in texts:
+        for at in range(len(t) - 34):
+            places[tuple(t[at : at + 35])] = places.get(tuple(t[at : at + 35]), 0) + 1
+    for row in substring_dedup.find_spans(frame(spark, texts)).collect():
+        own = texts[row["doc_id"]]
+        gone = {i for at in range(len(own) - 34) if places[tuple(own[at : at + 35])] > 1 for i in range(at, at + 35)}
+        assert gone == {i for f in row["factors"] for i in range(f["begin"], f["end"])} == {i for s in row["spans"] for i in range(s["begin"], s["end"])}
+        assert all(own[f["begin"] : f["end"]] == texts[f["ref"]][f["ref_begin"] : f["ref_begin"] + f["end"] - f["begin"]] for f in row["factors"])
+
+
+def test_a_passage_that_stands_twice_is_one_factor_to_its_last_word(spark):
+    for seed in range(3):
+        passage = unlike(f"p{seed}_", 36 + 29 * seed)
+        found = factors(spark, [unlike("x", 17) + passage + unlike("y", 40), unlike("z", 51) + passage + unlike("w", 5)])
+        assert found == {0: [(17, 17 + len(passage), 1, 51)], 1: [(51, 51 + len(passage), 0, 17)]}
+
+
 def test_columns_with_the_operators_names_and_empty_tables(spark):
     df = spark.createDataFrame([(1, " ".join(unlike("a", 40)), "n", 5, 6, 7), (2, " ".join(unlike("a", 40)), "n", 5, 6, 7), (3, None, None, None, None, None)], "doc_id long, text string, factors string, n_words int, block int, __text int")
     found = substring_dedup.find_spans(df)
