@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm import textkit
-from ridgeline.llm.lineage import cut, few, kept_and
+from ridgeline.llm.lineage import cut, drop, few, kept_and
 
 ORDER = 3
 DOCS_PER_LANG = 400
@@ -205,24 +205,16 @@ def sample(docs: DataFrame, lang: Column, usable: Column, id_col: str, text_col:
     rows = rows.join(few(counts), ["lang", "long"]).where(share <= (1.5 * docs_per_lang + 50) / F.col("c")).groupBy("lang", "long", "id", "h").agg(F.min("n").alias("n"))
     order = Window.partitionBy("lang").orderBy("long", F.pmod("h", F.lit(1 << 30)), "id")  # long texts only after all others
     chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang)
-    totals: dict[str, int] = {}
-    is_long: dict[str, bool] = {}
-    ids: dict = {}
-    for r in chosen.orderBy("lang", "k").collect():  # no texts; docs_per_lang rows per language
-        if r["long"] and not is_long.setdefault(r["lang"], True):
-            continue
-        is_long[r["lang"]] = r["long"]
-        if totals.get(r["lang"], 0) < bytes_per_lang:
-            totals[r["lang"]] = totals.get(r["lang"], 0) + min(r["n"], bytes_per_lang)
-            ids[r["id"], r["lang"]] = r["long"]
-    out: dict[str, list[bytes]] = {k: [] for k in totals}
-    if ids:
-        schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang", T.StringType()), T.StructField("long", T.BooleanType())])
-        wanted = docs.sparkSession.createDataFrame([(*k, v) for k, v in ids.items()], schema)
-        texts = labelled.select(F.col(id_col).alias("id"), F.left(text_col, F.lit(bytes_per_lang)).alias("t"), lang.alias("lang"), (size > max_doc_bytes).alias("long"))
-        got = texts.join(F.broadcast(wanted), ["id", "lang", "long"], "left_semi").groupBy("id", "lang", "long").agg(F.min("t").alias("t"))  # one text of each id
-        for r in sorted(got.collect(), key=lambda r: (r["id"], r["lang"], r["t"])):
-            out[r["lang"]].append(r["t"].encode()[:bytes_per_lang])
+    before = F.sum(F.least("n", F.lit(bytes_per_lang))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chosen = chosen.select("id", "lang", "long", F.first("long").over(order).alias("first"), F.coalesce(before, F.lit(0)).alias("before"))
+    # stays in Spark: rows made from a Python list start Python workers of another kind in every executor, beside those that predict
+    wanted = cut(chosen.where((F.col("long") == F.col("first")) & (F.col("before") < bytes_per_lang)).select("id", "lang", "long"))
+    texts = labelled.select(F.col(id_col).alias("id"), F.left(text_col, F.lit(bytes_per_lang)).alias("t"), lang.alias("lang"), (size > max_doc_bytes).alias("long"))
+    got = texts.join(F.broadcast(wanted), ["id", "lang", "long"], "left_semi").groupBy("id", "lang", "long").agg(F.min("t").alias("t"))  # one text of each id
+    out: dict[str, list[bytes]] = {}
+    for r in sorted(got.collect(), key=lambda r: (r["id"], r["lang"], r["t"])):
+        out.setdefault(r["lang"], []).append(r["t"].encode()[:bytes_per_lang])
+    drop(wanted)
     return out
 
 

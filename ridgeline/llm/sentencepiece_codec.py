@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 from ridgeline.llm import textkit
 from ridgeline.llm.lineage import kept_and
 
-#: Segments remembered by one Python worker; bounds its memory at about 200 MB.
-CACHE_SEGMENTS, CACHE_IDS = 600_000, 16_000_000
+#: Segments and ids remembered by one Python worker; bounds the cache at about 40 MB. Most segments of a text come once only; what is
+#: forgotten is encoded again. A worker keeps its memory for the stages after this one.
+CACHE_SEGMENTS, CACHE_IDS = 120_000, 3_000_000
 _NONE = np.iinfo(np.int32).max
 #: Segments of more symbols (unbroken strings, not words) are merged one by one from a heap, in time n log n; the outcome is the same.
 LONG_SEGMENT = 256
